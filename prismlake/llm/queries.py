@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import chat, packing
+from prismlake.llm import chat, decontamination, fingerprints, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [chat.op4_chat_formatting, packing.op10_best_fit_packing]
+    found = [
+        chat.op4_chat_formatting,
+        decontamination.op6_benchmark_decontamination,
+        fingerprints.op7_document_fingerprints,
+        packing.op10_best_fit_packing,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.OP4_SQL}
+    return {"op4_chat_formatting": chat.OP4_SQL, "op6_benchmark_decontamination": decontamination.OP6_SQL}
