@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import chat, decontamination, fingerprints, minhash, packing
+from prismlake.llm import chat, decontamination, fingerprints, linededup, minhash, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        linededup.op1_line_dedup,
         minhash.op3_minhash_near_dedup,
         chat.op4_chat_formatting,
         decontamination.op6_benchmark_decontamination,
