@@ -58,12 +58,23 @@ def subtract(a: Column, b: Column) -> Column:
     return add(a, b, -1)
 
 
-def as_text(n: Column, lanes: Column) -> Column:
-    return F.concat_ws(".", F.hex(n), F.array_join(F.transform(lanes, F.hex), "."))
+def packed(n: Column, lanes: Column) -> Column:
+    """Lanes as one binary value: each in as many hex digits as n has, since no lane exceeds n."""
+    digits = F.length(F.hex(n))
+    return F.unhex(F.array_join(F.transform(lanes, lambda v: F.lpad(F.hex(v), digits, F.lit("0"))), ""))
+
+
+def unpacked(n: Column, value: Column) -> Column:
+    digits, text = F.length(F.hex(n)), F.hex(value)
+    return F.transform(F.sequence(F.lit(0), F.lit(4 * BITS - 1)), lambda i: F.conv(F.substring(text, i * digits + 1, digits), 16, 10).cast("long"))
+
+
+def as_text(n: Column, value: Column) -> Column:
+    return F.concat_ws(".", F.hex(n), F.hex(value))
 
 
 def likeness(n: Column, a: Column, m: Column, b: Column) -> Column:
-    """0 to 1, from two fingerprints alone."""
+    """0 to 1, from two fingerprints (numbers of paragraphs and lanes) alone."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -82,57 +93,64 @@ def fingerprint(docs: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(*sums()).select(*key, "n", lanes(F.col("sums")).alias("lanes"))
 
 
+#: Tells documents apart; never null, so that joins and groups share one partitioning.
+KEY = ["id", "text_hash"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id (a null doc_id is 0, which the hash tells from a true 0), text_hash, doc_id, text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("text_hash"), F.col("doc_id").cast("long"), text.alias("text"))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_chars of each document with the ids of the next one; the last one's next is the first.
+    """Each keyed document's n_chars, copies and the keys of the next and previous one, in a ring, with the previous one's n_chars.
 
-    Ids are range-partitioned and led within each part; the parts' first ids, a row for each part, close
-    the gaps. No task sees more than its part.
+    Keys are range-partitioned and led within each part; the parts' ends, a row for each part, close the
+    gaps. No task sees more than its part.
     """
-    key = ["doc_id", "text_hash"]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ids = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.char_length(text).cast("long").alias("n_chars")).distinct()
-    ids = written(ids.repartitionByRange(*key).withColumn("part", F.spark_partition_id()))
-    ids = ids.withColumn("id", F.struct(*key))
-    parts = ids.groupBy("part").agg(F.min("id").alias("first"))
+    ids = docs.select(*KEY, "doc_id", F.char_length("text").cast("long").alias("n_chars"))
+    ids = ids.groupBy(*KEY, "doc_id", "n_chars").agg(F.count("*").alias("copies"))
+    ids = written(ids.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
+    ids = ids.withColumn("me", F.struct(*KEY, "n_chars"))
+    parts = ids.groupBy("part").agg(F.min("me").alias("first"), F.max("me").alias("last"))
     after = Window.orderBy("part")
     whole = after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = parts.select("part", F.coalesce(F.lead("first").over(after), F.first("first").over(whole)).alias("next_first"))
-    within = Window.partitionBy("part").orderBy("id")
-    led = ids.withColumn("next", F.lead("id").over(within)).join(F.broadcast(parts), "part")  # a row for each part
-    led = led.withColumn("next", F.coalesce("next", "next_first"))
-    return led.select(*key, "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.text_hash").alias("next_hash"))
-
-
-def same(left_id: str, left_hash: str, right_id: str, right_hash: str) -> Column:
-    return F.col(left_id).eqNullSafe(F.col(right_id)) & (F.col(left_hash) == F.col(right_hash))
+    following = F.coalesce(F.lead("first").over(after), F.first("first").over(whole))
+    before = F.coalesce(F.lag("last").over(after), F.last("last").over(whole))
+    parts = parts.select("part", following.alias("following"), before.alias("before"))
+    within = Window.partitionBy("part").orderBy("me")
+    led = ids.withColumns({"next": F.lead("me").over(within), "prev": F.lag("me").over(within)}).join(F.broadcast(parts), "part")  # a row for each part
+    led = led.withColumns({"next": F.coalesce("next", "following"), "prev": F.coalesce("prev", "before")})
+    return led.select(*KEY, "doc_id", "n_chars", "copies", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("next", "prev") for c in (*KEY, "n_chars")))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of the text whose last quarter the next document's start replaces."""
+    """Packed fingerprints of each text and of the text whose last quarter the next document's start replaces."""
+    docs = keyed(docs)
     order = written(in_order(docs))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    texts = docs.groupBy(*KEY).agg(F.min("text").alias("text"))  # one shuffle of the texts, which both uses share
+    rows = texts.join(order, KEY)
+    heads = rows.select(F.col("prev_id").alias("id"), F.col("prev_text_hash").alias("text_hash"), F.left("text", F.floor(F.col("prev_n_chars") / 4).cast("int")).alias("head"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    wanted = order.select(F.col("doc_id").alias("for_id"), F.col("text_hash").alias("for_hash"), "n_chars", "next_id", "next_hash")
-    heads = wanted.join(texts, same("next_id", "next_hash", "doc_id", "text_hash")).select("for_id", "for_hash", "n_chars", "next_id", "next_hash", F.left("text", quarter).alias("head"))
-    both = texts.join(heads, same("doc_id", "text_hash", "for_id", "for_hash"))
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - quarter), F.col("head"))
-    both = both.select("doc_id", "text_hash", "copies", "n_chars", "next_id", "next_hash", "text", edited.alias("edited"))
-    key = ["doc_id", "text_hash", "copies", "n_chars", "next_id", "next_hash", "edited_sha256"]
+    both = rows.join(heads, KEY).withColumn("edited", edited)
+    key = [*KEY, "doc_id", "n_chars", "copies", "prev_id", "prev_text_hash", "edited_sha256"]
     rows = both.withColumn("edited_sha256", F.sha2("edited", 256))
     rows = rows.select(*key, F.explode(F.concat(hashed(F.col("text"), 0), hashed(F.col("edited"), 1))).alias("p")).select(*key, "p.*")
-    per = rows.groupBy(*key, "kind").agg(*sums())
-    own, other = (F.when(F.col("kind") == kind, F.struct("n", "sums")) for kind in (0, 1))
-    per = per.groupBy(*key).agg(F.max(own).alias("own"), F.max(other).alias("edit"))
-    return written(per)
+    per = rows.groupBy(*key, "kind").agg(*sums()).select(*key, "kind", "n", packed(F.col("n"), lanes(F.col("sums"))).alias("value"))
+    own, other = (F.when(F.col("kind") == kind, F.struct("n", "value")) for kind in (0, 1))
+    return written(per.groupBy(*key).agg(F.max(own).alias("own"), F.max(other).alias("edit")))
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = edited_fingerprints(table(spark, sf_dir, "documents"))
-    following = per.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("own").alias("following"))
-    rows = per.join(following, same("next_id", "next_hash", "d", "t")).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    n, a, m, b, k, c = (f(x) for x in ("own", "edit", "following") for f in (lambda x: F.col(f"{x}.n"), lambda x: lanes(F.col(f"{x}.sums"))))
+    following = per.select(F.col("prev_id").alias("id"), F.col("prev_text_hash").alias("text_hash"), F.col("own").alias("following"))
+    rows = per.join(following, KEY).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    numbers = [F.col(f"{x}.n") for x in ("own", "edit", "following")]
+    rows = rows.withColumns({f"{x}_lanes": unpacked(F.col(f"{x}.n"), F.col(f"{x}.value")) for x in ("own", "edit", "following")})
+    n, m, k = numbers
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(n, a).alias("fingerprint"), as_text(m, b).alias("edited_fingerprint"),
-        likeness(n, a, m, b).alias("near_edited"), likeness(n, a, k, c).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_text(n, F.col("own.value")).alias("fingerprint"), as_text(m, F.col("edit.value")).alias("edited_fingerprint"),
+        likeness(n, F.col("own_lanes"), m, F.col("edit_lanes")).alias("near_edited"), likeness(n, F.col("own_lanes"), k, F.col("following_lanes")).alias("near_next"),
     )
