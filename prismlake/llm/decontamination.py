@@ -60,10 +60,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
 
     def shingled(k: int) -> DataFrame:
+        # rows, not array functions: exploding, slicing, hashing and joining then run in one generated loop
         rows = text.where(F.size("words") >= k)
-        hashes = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.xxhash64(F.slice(F.col("words"), i, k)))
-        rows = rows.select("doc_id", "text_hash", "words", F.posexplode(hashes).alias("place", "h"))
-        return rows.select("doc_id", "text_hash", F.size("words").alias("n_words"), "place", "h", F.slice("words", F.col("place") + 1, k).alias("found"))
+        rows = rows.select("doc_id", "text_hash", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - k + 1)).alias("place", "word"))
+        found = F.slice("words", F.col("place") + 1, k)
+        return rows.select("doc_id", "text_hash", F.size("words").alias("n_words"), "place", F.xxhash64(found).alias("h"), found.alias("found"))
 
     none = text.where("false").select("doc_id", "text_hash", F.lit(0).alias("n_words"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("h"), F.col("words").alias("found"))
     places = reduce(DataFrame.unionByName, map(shingled, sorted(sizes)), none)
