@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import chat, decontamination, fingerprints, linededup, minhash, packing
+from prismlake.llm import chat, decontamination, fingerprints, licenses, linededup, lmscore, minhash, packing, tokencounts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         linededup.op1_line_dedup,
+        lmscore.op2_lm_scoring,
         minhash.op3_minhash_near_dedup,
         chat.op4_chat_formatting,
+        toxicity.op5_toxicity,
         decontamination.op6_benchmark_decontamination,
         fingerprints.op7_document_fingerprints,
+        tokencounts.op8_token_counts,
+        licenses.op9_license_scan,
         packing.op10_best_fit_packing,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.OP4_SQL, "op6_benchmark_decontamination": decontamination.OP6_SQL}
+    return {"op4_chat_formatting": chat.OP4_SQL, "op6_benchmark_decontamination": decontamination.OP6_SQL, "op9_license_scan": licenses.OP9_SQL}
