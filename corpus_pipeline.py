@@ -1,25 +1,66 @@
-"""The training-data pipeline: stages over documents, each written as Parquet and read again."""
+"""The training-data pipeline: stages over documents, each written as Parquet and read again.
+
+Every stage but the last returns the columns of the documents it gets; ``n_chars``, if there, follows the
+text. A row is dropped only by a decision of its stage:
+
+1. toxicity: documents that the labelled examples call toxic;
+2. line dedup: later copies of repeated line runs go from the texts, and a document whose text had words and
+   has none left goes;
+3. MinHash near-dedup: of each group of near duplicates the document with the least id stays;
+4. benchmark decontamination: documents with an occurrence of a benchmark window go;
+5. best-fit packing: the rest in sequences of at most 1024 tokens, a row for each piece.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prismlake.llm import packing
+from prismlake.llm import decontamination, linededup, minhash, packing
+from prismlake.llm import toxicity as toxic
 from prismlake.llm.session import table, written
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxic.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    extra = [c for c in ("n_lines", "removed_lines") if c in docs.columns]
+    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in extra})
+    rows = linededup.dedup_lines(renamed)
+    rows = rows.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.drop("n_lines", "removed_lines").withColumnsRenamed({f"_own_{c}": c for c in extra}).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits, _ = decontamination.occurrences(docs, table(spark, sf_dir, "benchmark"))
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents in sequences of at most 1024 tokens, a row for each piece."""
     return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: No SQL for the stages: scores, signatures and token ids are beyond it; tests hold them against brute force.
+#: No SQL for the stages: votes, signatures and token ids are beyond it; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
