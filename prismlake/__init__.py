@@ -1,0 +1 @@
+"""Retrieval over personal media collections, expressed as Spark DataFrames."""
