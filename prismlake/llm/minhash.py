@@ -13,10 +13,14 @@ with its values. No bucket is expanded into all its pairs:
 1. in each bucket the member with the most bucket mates is the hub, and only hub-member pairs are verified by
    exact Jaccard similarity;
 2. connected components over the verified links (min-label propagation with pointer jumping);
-3. members of a bucket in another component than its hub (outsiders) are still held against the other
-   members of the bucket outside their component, unless the triangle inequality of the Jaccard distance, with
-   the exact distances to the hub, rules a link out; then components again. Every pair of a bucket is thus
-   in one component, verified, or excluded exactly.
+3. members of a bucket in another component than its hub (outsiders) are still held against the bucket's
+   other members outside their component, by prefix filtering: the members' shingles are ordered with those
+   that the hub lacks first (the rare ones), two sets at the threshold must share one of their first
+   ``n - ceil(threshold * n) + 1``, and the places where they share it bound the overlap. In a family of copies
+   each of which was changed elsewhere, most outsiders have only shingles of their own there, and no
+   candidate. What is left is verified exactly, and components are taken again.
+
+Every pair of a bucket is thus in one component, verified, or excluded exactly.
 
 With 30 bands of 5 values a pair at similarity 0.8 shares no bucket with probability 7e-6.
 
@@ -29,6 +33,7 @@ ignored; very long texts are hashed in one piece of memory.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,21 +153,28 @@ def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, "key long, shingles binary")
 
 
-def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and the exact similarity of pairs of keys (a, b)."""
+def jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, their exact similarity, the size of b and b's first shingles in the order that a gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            similar, sizes, prefixes = [], [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = np.intersect1d(one, two, assume_unique=True).size
-                out.append(shared / max(1, one.size + two.size - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+                own = np.isin(two, one, assume_unique=True)
+                shared = int(own.sum())
+                similar.append(shared / max(1, one.size + two.size - shared))
+                sizes.append(two.size)
+                prefixes.append(np.concatenate([two[~own], two[own]])[: two.size - math.ceil(threshold * two.size - 1e-9) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(similar, pa.float64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["a", "b", "similarity", "size", "prefix"],
+            )
 
     x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return rows.mapInArrow(run, "a long, b long, similarity double, size long, prefix array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,22 +212,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), n)
     sets = written(sets.join(mates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
     pairs = mates.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    starred = written(jaccard(pairs, sets))
+    starred = written(jaccard(pairs, sets, threshold))
     links = starred.where(F.col("similarity") >= threshold).select("a", "b")
     found = components(links)
 
     def labelled(key: str, name: str) -> DataFrame:
         return found.select(F.col("key").alias(key), F.col("component").alias(name))
 
-    near = starred.select(F.col("a").alias("hub"), F.col("b").alias("key"), F.col("similarity"))
-    placed = mates.join(labelled("key", "c"), "key", "left").join(labelled("hub", "hub_c"), "hub", "left").join(near, ["hub", "key"], "left")
-    placed = placed.select("bucket", "key", "hub", F.coalesce("c", "key").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"), (1 - F.coalesce("similarity", F.lit(1.0))).alias("far"))
-    placed = written(placed.where("key <> hub"))
-    outside = placed.where("c <> hub_c").select("bucket", F.col("key").alias("a"), F.col("c").alias("c_a"), F.col("far").alias("far_a"))
-    other = placed.select("bucket", F.col("key").alias("b"), F.col("c").alias("c_b"), F.col("far").alias("far_b"))
-    rest = outside.join(other, "bucket").where((F.col("c_a") != F.col("c_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - threshold + 1e-9))
+    # the members of each hub in the components so far; the hub's own pairs are all verified
+    placed = starred.select(F.col("a").alias("hub"), F.col("b").alias("key"), "size", "prefix").join(labelled("key", "c"), "key", "left").join(labelled("hub", "hub_c"), "hub", "left")
+    placed = placed.withColumns({"c": F.coalesce("c", "key"), "hub_c": F.coalesce("hub_c", "hub")})
+    outside = placed.where("c <> hub_c")
+    others = placed.join(outside.select("hub").distinct(), "hub", "left_semi")
+
+    def first_shingles(rows: DataFrame, mark: str) -> DataFrame:
+        rows = rows.select("hub", F.col("key").alias(mark), F.col("c").alias(f"c_{mark}"), F.col("size").alias(f"size_{mark}"), F.posexplode("prefix").alias(f"at_{mark}", "shingle"))
+        return rows
+
+    reach = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = reach >= (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
+    rest = first_shingles(outside, "a").join(first_shingles(others, "b"), ["hub", "shingle"]).where((F.col("c_a") != F.col("c_b")) & enough)
     rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = written(jaccard(rest, sets).where(F.col("similarity") >= threshold).select("a", "b"))
+    more = written(jaccard(rest, sets, threshold).where(F.col("similarity") >= threshold).select("a", "b"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     classes = firsts.join(labelled("words_hash", "component"), "words_hash", "left").select("words_hash", "first", F.coalesce("component", "words_hash").alias("component"))
