@@ -3,10 +3,12 @@
 A licence stands in a text as a whole text, as a line, or as a passage of some lines between blank ones; each
 of these units is held against every template whose size allows the threshold. Dice's coefficient of two sets
 with a and b bigrams is at most 2 * min(a, b) / (a + b), so a unit is a candidate only for templates with
-b * t / (2 - t) <= a <= b * (2 - t) / t. Units within the bounds of no template go before their bigrams are
-made; the others' bigrams join the templates' bigrams, and the shared ones are counted.
+b * t / (2 - t) <= a <= b * (2 - t) / t. A match also shares at least b * t / (2 - t) of a template's b bigrams, so
+it has one of any b - ceil(b * t / (2 - t)) + 1 of them: of those with the longest words, which are rare. Texts
+without any of these words are out after one look at their words. The others' units within the bounds of some
+template get their bigrams, these join the templates' bigrams, and the shared ones are counted.
 
-The templates (a fixed table of some tens of rows) are broadcast, with the ids of their bigrams.
+The templates (a table of some tens of rows, whose size is bounded by the caller) are broadcast.
 
 Defined cases: normalised words are lower-cased (A-Z) letters, digits and non-ASCII characters; a unit or
 template of one word has that word as its only bigram; null, empty and wordless texts match nothing; rows that
@@ -16,6 +18,7 @@ the least name; a null doc_id is an id; an empty table gives no rows; extra colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +77,15 @@ def template_table(spark: SparkSession, templates: Iterable[tuple[str, str]]) ->
     return rows.select("*", F.size("bigrams").alias("size")).where("size > 0")
 
 
+def telling_words(bigram_lists: Iterable[list[str]], threshold: float) -> list[str]:
+    """Words of which every text that matches a template has one."""
+    out = set()
+    for grams in bigram_lists:
+        spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9) + 1
+        out |= set(sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))[:spare])
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: doc_id, licence and dice of its best match (null if none), and all licences found.
 
@@ -86,7 +98,9 @@ def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, thre
 
     key = ["doc_id", "text_hash"]
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    parts = base.select(*key, F.explode(units(F.col("text"))).alias("unit"))
+    telling = telling_words((r["bigrams"] for r in known.select("bigrams").collect()), threshold)  # some tens of rows
+    hopeful = base.where(F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, telling)).cast("array<string>")))
+    parts = hopeful.select(*key, F.explode(units(F.col("text"))).alias("unit"))
     # a unit with more words than bytes allow, or fewer bytes than its least bigrams need, is out before it is split
     parts = parts.where(F.octet_length("unit") >= 2 * low - 1).select(*key, F.xxhash64("unit").alias("unit"), words(F.col("unit")).alias("words"))
     parts = parts.where((F.size("words") > 0) & (F.size("words") >= low))
