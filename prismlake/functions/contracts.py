@@ -7,9 +7,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prismlake.functions.text import BytePairs
+
 # fixed values that a model description must have, by path
 REQUIRED = {
     "format_version": 1, "model.name": "MobileCLIP2-S0", "model.embeddings_l2_normalized": True, "model.embedding_dimension": 512,
@@ -84,12 +86,28 @@ def merge_list(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     parts = F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")
     lines = lines.where(~F.col("text").startswith("#version:") & F.col("text").rlike(r"\S")).select("line", parts.alias("parts")).where(F.size("parts") == 2)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.orderBy("line")) - 1  # one file of a fixed size
     return lines.select(F.col("parts")[0].alias("first"), F.col("parts")[1].alias("second"), rank.alias("rank"))
 
 
+def read_tokenizer(config: dict, vocabulary: str, merges: DataFrame) -> BytePairs:
+    """The tokenizer of a checked description, if its files have the promised sizes, ids and examples."""
+    known, described = json.loads(vocabulary), config["tokenizer"]
+    pairs = [(r["first"], r["second"]) for r in merges.orderBy("rank").collect()]  # one file of a fixed size
+    promised = {
+        "vocabulary entries": (len(known), described["vocab_size"]), "merges": (len(pairs), described["merge_count"]),
+        "start id": (known.get(described["sot_token"]), described["sot_token_id"]), "end id": (known.get(described["eot_token"]), described["eot_token_id"]),
+    }
+    for what, (got, wanted) in promised.items():
+        if got != wanted:
+            raise ContractError(f"{what}: {got!r}, not {wanted!r}")
+    made = BytePairs(known, pairs, described["sot_token"], described["eot_token"], described["context_length"], described["padding_value"], described["regex"])
+    for i, example in enumerate(config["tokenizer_test_vectors"]):
+        if made.ids(example["text"]) != example["input_ids"]:
+            raise ContractError(f"example {i} has other ids")
+    return made
+
+
 @dataclass(frozen=True)
 class Output:
     name: str

@@ -62,13 +62,14 @@ def canonical_handle(name: str) -> str:
     return clean
 
 
+def wordy(c: str, marks: bool) -> bool:
+    """A letter, digit or underscore, or perhaps a combining mark."""
+    return c == "_" or unicodedata.category(c)[0] in ("LNM" if marks else "LN")
+
+
 def parse(query: str) -> tuple[str, list[str]]:
     """The text without mentions, and the mentioned handles in order."""
     out, handles, i = [], [], 0
-
-    def wordy(c: str, marks: bool) -> bool:
-        return c == "_" or unicodedata.category(c)[0] in ("LNM" if marks else "LN")
-
     while i < len(query):
         if query[i] == "@" and (not i or not (query[i - 1] == "@" or wordy(query[i - 1], False))):
             end = i + 1
@@ -87,6 +88,12 @@ def parse(query: str) -> tuple[str, list[str]]:
     return text, list(dict.fromkeys(handles))
 
 
+def open_mention(draft: str) -> str | None:
+    """The handle being typed at the end of a draft (maybe empty), or None; for ``store.suggestions``."""
+    m = re.search(r"(?:^|\s)@([^\s@]*)$", unicodedata.normalize("NFC", draft))
+    return m[1].lower() if m and all(wordy(c, True) for c in m[1]) else None
+
+
 def people_vectors(people: DataFrame, handles: Sequence[str], model: str = FACE_MODEL) -> list[list[float]]:
     """The mentioned persons' vectors; unknown ones and ones of another model fail, before anything is encoded."""
     if not handles:

@@ -215,6 +215,18 @@ def test_mentions_and_handles(spark):
             assert plans.canonical_handle(name) == wanted
 
 
+def test_open_mentions():
+    cases = {"photos of @Ma": "ma", "@": "", "@mai ": None, "a@b": None, "x @Đặng": "đặng", "x @a.b": None, "@@x": None}
+    assert {k: plans.open_mention(k) for k in cases} == cases
+
+
+def test_faces_get_their_numbers(spark):
+    df = spark.createDataFrame([(1, [5.0, 6.0]), (2, [])], "mediaId long, faces array<double>")
+    assert [tuple(r) for r in faces.numbered(df).collect()] == [(1, 0, 5.0), (1, 1, 6.0)]
+    with pytest.raises(Exception, match="too many faces"):
+        faces.numbered(df, most=1).collect()
+
+
 def test_cleaning_and_byte_pairs(spark):
     cases = {"  A &amp; B\n": "a & b", "&amp;lt;TAG&amp;gt;": "<tag>", "cafÃ©": "café", "Ünïcode 日本": "ünïcode 日本", "&#x41;&#66;&#xD800; &nope;": "ab&#xd800; &nope;"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
@@ -437,6 +449,16 @@ def test_contracts(spark, tmp_path):
     assert contracts.matches(["batch", 3], ["batch", 3]) and not contracts.matches(["batch", 3], ["batch", "3"])
     (tmp_path / "merges.txt").write_text("#version: 0.2\nt h\n\n th e</w> \nonly\n")
     assert [(r.first, r.second, r["rank"]) for r in contracts.merge_list(spark, str(tmp_path / "merges.txt")).orderBy("rank").collect()] == [("t", "h", 0), ("th", "e</w>", 1)]
+    names = [*text.byte_alphabet().values(), *(c + "</w>" for c in text.byte_alphabet().values()), "th", "the</w>", "<s>", "<e>"]
+    described = contract() | {"tokenizer_test_vectors": [{"text": "The t", "input_ids": [514, 513, names.index("t</w>"), 515] + [0] * 73}]}
+    described["tokenizer"] |= {"vocab_size": 516, "merge_count": 2, "sot_token_id": 514, "eot_token_id": 515, "regex": text.BytePairs.PATTERN}
+    merges, vocabulary = contracts.merge_list(spark, str(tmp_path / "merges.txt")), json.dumps({n: i for i, n in enumerate(names)})
+    assert contracts.read_tokenizer(described, vocabulary, merges).ids("the")[:3] == [514, 513, 515]
+    for key, value in (("merge_count", 3), ("sot_token_id", 1)):
+        with pytest.raises(contracts.ContractError):
+            contracts.read_tokenizer(described | {"tokenizer": described["tokenizer"] | {key: value}}, vocabulary, merges)
+    with pytest.raises(contracts.ContractError, match="example 0"):
+        contracts.read_tokenizer(described | {"tokenizer_test_vectors": [{"text": "x", "input_ids": [0] * 77}]}, vocabulary, merges)
     files = library.images(spark, str(tmp_path))
     digest = files.select(F.sha2("content", 256)).first()[0]
     assert contracts.with_checksum(files, {"merges.txt": digest}).count() == 1
