@@ -8,7 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch between the JVM and a Python worker: whole texts, so far fewer than Spark's 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_ROWS``, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +39,7 @@ def written(df: DataFrame) -> DataFrame:
     An empty result keeps its schema, since the schema is given on reading.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/prismlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
