@@ -16,9 +16,10 @@ with its values. No bucket is expanded into all its pairs:
 3. members of a bucket in another component than its hub (outsiders) are still held against the bucket's
    other members outside their component, by prefix filtering: the members' shingles are ordered with those
    that the hub lacks first (the rare ones), two sets at the threshold must share one of their first
-   ``n - ceil(threshold * n) + 1``, and the places where they share it bound the overlap. In a family of copies
-   each of which was changed elsewhere, most outsiders have only shingles of their own there, and no
-   candidate. What is left is verified exactly, and components are taken again.
+   ``n - ceil(threshold * n) + 1``, and the places where they share it bound the overlap. Besides, two sets at the
+   threshold must share enough of what tells each from the hub, and a bitmap of these differences bounds that
+   from above. In a family of copies each of which was changed elsewhere, few pairs pass both bounds. What is
+   left is verified exactly, and components are taken again.
 
 Every pair of a bucket is thus in one component, verified, or excluded exactly.
 
@@ -46,6 +47,8 @@ from prismlake.llm.session import table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Bits of the bitmaps of differences, a multiple of 64.
+BITS = 256
 _U = np.uint64
 
 
@@ -154,27 +157,30 @@ def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, their exact similarity, the size of b and b's first shingles in the order that a gives."""
+    """a, b, their exact similarity; the size of b and its first shingles in the order that a gives; how many shingles
+    differ, a bitmap of these and how many of them share a bit with another."""
+    names = ["a", "b", "similarity", "size", "prefix", "differ", "bits", "clash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            similar, sizes, prefixes = [], [], []
+            rows = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 own = np.isin(two, one, assume_unique=True)
                 shared = int(own.sum())
-                similar.append(shared / max(1, one.size + two.size - shared))
-                sizes.append(two.size)
-                prefixes.append(np.concatenate([two[~own], two[own]])[: two.size - math.ceil(threshold * two.size - 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(similar, pa.float64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["a", "b", "similarity", "size", "prefix"],
-            )
+                prefix = np.concatenate([two[~own], two[own]])[: two.size - math.ceil(threshold * two.size - 1e-9) + 1].view(np.int64)
+                differ = one.size + two.size - 2 * shared
+                bits = np.zeros(BITS, bool)
+                bits[np.setxor1d(one, two, assume_unique=True) % _U(BITS)] = True
+                rows.append((shared / max(1, one.size + two.size - shared), two.size, prefix, differ, np.packbits(bits).view(np.int64), differ - int(bits.sum())))
+            kinds = (pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64())
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     rows = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(run, "a long, b long, similarity double, size long, prefix array<long>")
+    return rows.mapInArrow(run, "a long, b long, similarity double, size long, prefix array<long>, differ long, bits array<long>, clash long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,18 +226,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
         return found.select(F.col("key").alias(key), F.col("component").alias(name))
 
     # the members of each hub in the components so far; the hub's own pairs are all verified
-    placed = starred.select(F.col("a").alias("hub"), F.col("b").alias("key"), "size", "prefix").join(labelled("key", "c"), "key", "left").join(labelled("hub", "hub_c"), "hub", "left")
+    about = ["size", "differ", "bits", "clash"]
+    placed = starred.select(F.col("a").alias("hub"), F.col("b").alias("key"), "prefix", *about).join(labelled("key", "c"), "key", "left").join(labelled("hub", "hub_c"), "hub", "left")
     placed = placed.withColumns({"c": F.coalesce("c", "key"), "hub_c": F.coalesce("hub_c", "hub")})
     outside = placed.where("c <> hub_c")
     others = placed.join(outside.select("hub").distinct(), "hub", "left_semi")
 
     def first_shingles(rows: DataFrame, mark: str) -> DataFrame:
-        rows = rows.select("hub", F.col("key").alias(mark), F.col("c").alias(f"c_{mark}"), F.col("size").alias(f"size_{mark}"), F.posexplode("prefix").alias(f"at_{mark}", "shingle"))
-        return rows
+        columns = [F.col(x).alias(f"{x}_{mark}") for x in ("key", "c", *about)]
+        return rows.select("hub", "hub_c", *columns, F.posexplode("prefix").alias(f"at_{mark}", "shingle"))
 
+    ours, theirs = first_shingles(outside, "a"), first_shingles(others, "b").drop("hub_c")
+    sizes = F.col("size_a") + F.col("size_b")
     reach = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    enough = reach >= (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
-    rest = first_shingles(outside, "a").join(first_shingles(others, "b"), ["hub", "shingle"]).where((F.col("c_a") != F.col("c_b")) & enough)
+    enough = reach >= sizes * (threshold / (1 + threshold)) - 1e-6
+    # the symmetric difference of two members is that of their differences from the hub
+    needed = (F.col("differ_a") + F.col("differ_b") - sizes * ((1 - threshold) / (1 + threshold))) / 2
+    both = sum((F.bit_count(F.col("bits_a")[i].bitwiseAND(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    alike = both + F.least("clash_a", "clash_b") >= needed - 1e-6
+    once = (F.col("c_b") == F.col("hub_c")) | (F.col("key_a") < F.col("key_b"))
+    rest = ours.join(theirs, ["hub", "shingle"]).where((F.col("c_a") != F.col("c_b")) & once & enough & alike)
+    rest = rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = written(jaccard(rest, sets, threshold).where(F.col("similarity") >= threshold).select("a", "b"))
     if not more.isEmpty():
