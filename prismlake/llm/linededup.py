@@ -59,18 +59,11 @@ def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, before
 
 
-def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        data, offs = textops.flat(batch.column("text"))
-        for lo, hi in textops.chunks(offs):
-            yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """doc (doc_id, text_hash), and for each text its lines' ids and word counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offs in by_chunk(batches):
+        for part, data, offs in textops.by_chunk(batches):
             starts, ends, before = lines_of(data, offs)
             ids = textops.hash_spans(data, starts, ends, seed=1)
             heads, _, _ = textops.words(data, offs, textops.NON_SPACE)
@@ -121,7 +114,7 @@ def double(level: DataFrame, half: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, start, length of the minimal runs that are later copies."""
+    """doc_id, text_hash, start, length of the minimal runs that are later copies, and the doc_id of their first copy."""
     key = ["doc_id", "text_hash"]
     kept = written(stretches(line_table(docs).dropDuplicates(key), min_words).select(*key, "line", "id", "n_words", "stretch"))
 
@@ -135,7 +128,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = written(runs.select(*key, (F.col("first") + F.col("r.start")).alias("start"), F.col("r.length").alias("length"), k.alias("k")))
     depth = runs.agg(F.max("k")).first()[0]
     if depth is None:
-        return runs.select(*key, "start", "length")
+        return runs.select(*key, "start", "length", F.col("doc_id").alias("first_doc"))
     level = kept.select(*key, "line", F.col("id").alias("rank"))
     levels = level.withColumn("k", F.lit(0))
     for step in range(depth):
@@ -149,14 +142,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = written(named.select(*key, "start", "length", "head", "tail"))
     place = F.struct("doc_id", "text_hash", "start")
     firsts = named.groupBy("length", "head", "tail").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(firsts, ["length", "head", "tail"]).where(place > F.col("place")).select(*key, "start", "length")
+    return named.join(firsts, ["length", "head", "tail"]).where(place > F.col("place")).select(*key, "start", "length", F.col("place.doc_id").alias("first_doc"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies deleted from ``text``, and n_lines, removed_lines (array of line numbers from 0)."""
-    runs = repeated_runs(docs, min_words)
+    """``docs`` with later copies deleted from ``text``, and n_lines, removed_lines (array of line numbers from 0) and
+    copied_from (array of the doc_ids that keep the first copies)."""
+    runs = written(repeated_runs(docs, min_words))
+    sources = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("first_doc")).alias("sources"))  # at most one for each of its runs
     gone = runs.select("doc_id", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("line")).distinct()
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("gone")).join(sources, ["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     removed = F.coalesce("gone", F.array().cast("array<int>"))
 
@@ -168,8 +163,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
 
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.withColumns({"text": without("text", "gone"), "n_lines": n_lines.cast("long"), "removed_lines": removed}).drop("_id", "_hash", "_text_hash", "gone")
+    return rows.withColumns({"text": without("text", "gone"), "n_lines": n_lines.cast("long"), "removed_lines": removed, "copied_from": F.coalesce("sources", F.array().cast("array<bigint>"))}).drop("_id", "_hash", "_text_hash", "gone", "sources")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "copied_from")

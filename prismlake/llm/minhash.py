@@ -113,18 +113,11 @@ def distinct_shingles(data: np.ndarray, offs: np.ndarray, n: int = SHINGLE) -> t
     return np.concatenate(parts) if parts else np.zeros(0, _U), np.cumsum([0, *map(len, parts)]), whole
 
 
-def by_chunk(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        data, offs = textops.flat(batch.column(text))
-        for lo, hi in textops.chunks(offs):
-            yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-
-
 def signed(docs: DataFrame, n: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, words_hash (null: no words) and the buckets of the text's signature (null if the batch had the words before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offs in by_chunk(batches, "text"):
+        for part, data, offs in textops.by_chunk(batches):
             found, bounds, whole = distinct_shingles(data, offs, n)
             hashes, new = np.unique(whole, return_index=True)
             new = new[hashes != 0]
@@ -148,7 +141,7 @@ def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     """key (hash of the words) and the sorted distinct shingles as 8-byte hashes in one binary value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in by_chunk(batches, "text"):
+        for _, data, offs in textops.by_chunk(batches):
             found, bounds, whole = distinct_shingles(data, offs, n)
             sets = [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], ["key", "shingles"])

@@ -58,6 +58,14 @@ def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with a ``text`` column in parts of about ``CHUNK_BYTES``, each with its bytes and offsets."""
+    for batch in batches:
+        data, offs = flat(batch.column("text"))
+        for lo, hi in chunks(offs):
+            yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+
+
 def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in ``data``, and the number of words before each text (one more than texts)."""
     inside = member[data]

@@ -51,10 +51,8 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
-    for batch in batches:
-        data, offs = textops.flat(batch.column("text"))
-        for lo, hi in textops.chunks(offs):
-            yield batch.slice(lo, hi - lo), *terms(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), hi - lo
+    for part, data, offs in textops.by_chunk(batches):
+        yield part, *terms(data, offs), part.num_rows
 
 
 class Vocabulary:

@@ -27,7 +27,9 @@ def test_against_brute_force(spark):
         texts = ["\n".join(rng.choices(kinds, k=rng.randint(1, 14))) for _ in range(30)]
         texts += [texts[3], texts[4] + "\nnew", "\n".join([kinds[5]] * 9)]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        got = {r.doc_id: (list(r.removed_lines), r.text) for r in linededup.dedup_lines(docs, 8).collect()}
+        rows = linededup.dedup_lines(docs, 8).collect()
+        got = {r.doc_id: (list(r.removed_lines), r.text) for r in rows}
+        assert all(bool(r.copied_from) == bool(r.removed_lines) and all(d <= r.doc_id for d in r.copied_from) for r in rows)
         assert [got[i] for i in range(len(texts))] == brute(texts, 8)
 
 
