@@ -28,13 +28,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    extra = [c for c in ("n_lines", "removed_lines") if c in docs.columns]
+    extra = [c for c in ("n_lines", "removed_lines", "copied_from") if c in docs.columns]
     renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in extra})
     rows = linededup.dedup_lines(renamed)
     rows = rows.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("n_lines", "removed_lines").withColumnsRenamed({f"_own_{c}": c for c in extra}).select(*docs.columns)
+    return rows.drop("n_lines", "removed_lines", "copied_from").withColumnsRenamed({f"_own_{c}": c for c in extra}).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
