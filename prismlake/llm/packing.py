@@ -150,8 +150,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``length``, ``task`` and ``local_rank``.
 
-    The planned slots are at most some thousands of rows, whatever the input (a split of equal bins needs
-    another length), and are broadcast; the offsets of tasks are joined as Spark sees fit.
+    The planned slots are broadcast: their number depends on the capacity alone (each length splits at most one
+    run of equal bins, so 1024 lengths give some thousands of rows), not on the documents. The offsets of tasks
+    are joined as Spark sees fit.
     """
     spark = pieces.sparkSession
     per_task = pieces.groupBy("task", "length").agg(F.max("local_rank").alias("most"))
