@@ -1,15 +1,15 @@
 """Document probabilities from a subword lattice.
 
 The pieces are those of an existing vocabulary; its order gives their first scores (Zipf's law over the
-vocabulary's ranks), and expectation maximisation over all training words re-estimates them. A word,
-with the space before it, is worth the sum of the probabilities of all its segmentations, taken by the forward
-recursion in log space over the lattice of its bytes; every byte is a piece too, so nothing is unknown. No
-piece crosses a space, so the recursion over a text is the product of those over its words and one end, and
-each distinct word needs one lattice. ``lattice_score`` is the log10 of that product.
-
-``score`` adds one edge over each whole word that training documents have, with the share that its count
-earns: in each class P(word) = (c_class + m * G(word)) / (N_class + m), G = (c + u * lattice) / (N + u), u and m the
-numbers of words seen once (in all, in the class). The classes are the training documents' most frequent
+vocabulary's ranks), and expectation maximisation over all distinct training words re-estimates them in each
+class. A word, with the space before it, is worth the sum of the probabilities of all its segmentations, taken
+by the forward recursion in log space over the lattice of its bytes; every byte is a piece too, so nothing is
+unknown. No piece crosses a space, so the recursion over a text is the product of those over its words and one
+end, and each distinct word needs one lattice.
+
+The lattice has one more edge over each whole word that training documents have, with the share that its
+count earns: in each class P(word) = (c_class + m * G(word)) / (N_class + m), G = (c + u * lattice) / (N + u), u and m
+the numbers of words seen once (in all, in the class). The classes are the training documents' most frequent
 languages, at most ``CLASSES``, and the rest; a text's probability sums over them, weighted by their shares of
 the training documents, so no language is looked at when a text is scored.
 
@@ -43,6 +43,8 @@ SMOOTHING = 0.1
 HEAD = 200_000
 CLASSES = 8
 LONG_WORD = 2048
+#: Up to so many bytes no word's probability leaves the range of doubles (each byte is a piece of at least 1e-7).
+SHORT_WORD = 40
 #: Bytes of words whose lattices are worked on at once.
 LATTICE_BYTES = 200_000
 _U = np.uint64
@@ -65,10 +67,10 @@ def pieces_of(model: str) -> list[bytes]:
 
 
 class Lattice:
-    """Pieces and their log probabilities; pickled once for each stage."""
+    """Pieces and their log probabilities, a row for each class; pickled once for each stage."""
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
-        self.log_p = log_p
+        self.log_p = np.atleast_2d(log_p)
         self.most = max(map(len, pieces))
         self.by_length = []
         for n in range(1, self.most + 1):
@@ -104,78 +106,96 @@ class Lattice:
                 out[n - 1, at[good]] = ids[spot[good]]
         return out
 
-    def forward(self, data: np.ndarray, bounds: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probabilities of words (runs of bytes); with counts, also the pieces' expected counts."""
+    def forward(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log probabilities of words (runs of bytes), classes x words."""
         size = np.diff(bounds)
         if len(size) == 1 and size[0] > LONG_WORD:
-            return self.long_forward(data, counts)
+            return self.long_forward(data)
         order = np.argsort(-size, kind="stable")
         base, length = bounds[:-1][order], size[order]
         ids = self.edges(data, bounds)
-        score = np.where(ids >= 0, self.log_p[np.maximum(ids, 0)], -np.inf)
         longest = int(length[0]) if len(length) else 0
         alive = np.searchsorted(-length, -np.arange(longest + 1), side="right")  # words of at least j bytes
-        alpha = np.full((longest + 1, len(size)), -np.inf)
-        alpha[0] = 0
+        out = np.empty((len(self.log_p), len(size)))
+        for c, log_p in enumerate(self.log_p):
+            score = np.where(ids >= 0, log_p[np.maximum(ids, 0)], -np.inf)
+            alpha = np.full((longest + 1, len(size)), -np.inf)
+            alpha[0] = 0
+            for j in range(1, longest + 1):
+                k = alive[j]
+                terms = np.stack([alpha[j - n, :k] + score[n - 1, base[:k] + j - n] for n in range(1, min(j, self.most) + 1)])
+                top = terms.max(axis=0)
+                alpha[j, :k] = top + np.log(np.exp(terms - top).sum(axis=0))
+            out[c, order] = alpha[length, np.arange(len(size))]
+        return out
+
+    def expected(self, data: np.ndarray, bounds: np.ndarray, c: int = 0) -> np.ndarray:
+        """How often each piece is expected in all segmentations of the words, in class ``c``.
+
+        The same recursion from both ends, without logarithms: short words' probabilities fit a double.
+        """
+        size = np.diff(bounds)
+        if len(size) == 1 and size[0] > SHORT_WORD:
+            return self.long_expected(data, c)
+        order = np.argsort(-size, kind="stable")
+        base, length = bounds[:-1][order], size[order]
+        ids = self.edges(data, bounds)
+        p = np.where(ids >= 0, np.exp(self.log_p[c])[np.maximum(ids, 0)], 0.0)
+        longest = int(length[0]) if len(length) else 0
+        alive = np.searchsorted(-length, -np.arange(longest + 1), side="right")
+        alpha, beta = np.zeros((longest + 1, len(size))), np.zeros((longest + 1, len(size)))
+        alpha[0] = 1
         for j in range(1, longest + 1):
             k = alive[j]
-            terms = np.stack([alpha[j - n, :k] + score[n - 1, base[:k] + j - n] for n in range(1, min(j, self.most) + 1)])
-            top = terms.max(axis=0)
-            alpha[j, :k] = top + np.log(np.exp(terms - top).sum(axis=0))
-        total = alpha[length, np.arange(len(size))]
-        out = np.empty(len(size))
-        out[order] = total
-        if counts is None:
-            return out, None
-        beta = np.full((longest + 1, len(size)), -np.inf)
-        beta[length, np.arange(len(size))] = 0
-        expected = np.zeros(len(self.log_p))
-        weight = counts[order]
+            for n in range(1, min(j, self.most) + 1):
+                alpha[j, :k] += alpha[j - n, :k] * p[n - 1, base[:k] + (j - n)]
+        own = np.arange(len(size))
+        beta[length, own] = 1
+        share = 1 / alpha[length, own]
+        out = np.zeros(self.log_p.shape[1])
         for j in range(longest - 1, -1, -1):
-            k = alive[j + 1]
-            reach = np.minimum(length[:k] - j, self.most)
-            terms = []
             for n in range(1, min(longest - j, self.most) + 1):
-                terms.append(np.where(reach >= n, score[n - 1, base[:k] + j] + beta[min(j + n, longest), :k], -np.inf))
-            terms = np.stack(terms)
-            top = terms.max(axis=0)
-            beta[j, :k] = top + np.log(np.exp(terms - top).sum(axis=0))
-            share = np.exp(terms + alpha[j, :k] - total[:k]) * weight[:k]
-            used = ids[: len(terms), base[:k] + j]
-            good = (used >= 0) & (share > 0)
-            expected += np.bincount(used[good], share[good], len(expected))
-        return out, expected
-
-    def long_forward(self, data: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
-        ids = self.edges(data, np.array([0, len(data)])).T
-        n = len(data)
-        steps = [[(m + 1, int(i)) for m, i in enumerate(row) if i >= 0] for row in ids]
-        log_p = self.log_p
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+                k = alive[j + n]  # words that reach beyond the edge; no edge leaves its word
+                at = base[:k] + j
+                worth = p[n - 1, at] * beta[j + n, :k]
+                beta[j, :k] += worth
+                used = np.flatnonzero(worth)
+                if len(used):
+                    out += np.bincount(ids[n - 1, at[used]], worth[used] * alpha[j, used] * share[used], len(out))
+        return out
 
-        def total(xs: list[float]) -> float:
-            top = max(xs)
-            return top + math.log(sum(math.exp(x - top) for x in xs))
+    def long_steps(self, data: np.ndarray) -> list[list[tuple[int, int]]]:
+        ids = self.edges(data, np.array([0, len(data)])).T
+        return [[(m + 1, int(i)) for m, i in enumerate(row) if i >= 0] for row in ids]
 
+    def long_alpha(self, steps: list[list[tuple[int, int]]], c: int) -> list[float]:
+        log_p, n = self.log_p[c], len(steps)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        alpha = [0.0] * (n + 1)
         for j in range(n + 1):
             if j:
-                alpha[j] = total(into[j])
+                alpha[j] = log_sum(into[j])
                 into[j] = []
-            if j < n:
-                for m, i in steps[j]:
-                    into[j + m].append(alpha[j] + log_p[i])
-        if counts is None:
-            return np.array([alpha[n]]), None
-        expected = np.zeros(len(log_p))
+            for m, i in steps[j] if j < n else ():
+                into[j + m].append(alpha[j] + log_p[i])
+        return alpha
+
+    def long_forward(self, data: np.ndarray) -> np.ndarray:
+        steps = self.long_steps(data)
+        return np.array([[self.long_alpha(steps, c)[-1]] for c in range(len(self.log_p))])
+
+    def long_expected(self, data: np.ndarray, c: int) -> np.ndarray:
+        steps = self.long_steps(data)
+        alpha, log_p, n = self.long_alpha(steps, c), self.log_p[c], len(data)
+        beta, out = [0.0] * (n + 1), np.zeros(len(log_p))
         for j in range(n - 1, -1, -1):
-            beta[j] = total([log_p[i] + beta[j + m] for m, i in steps[j]])
+            beta[j] = log_sum([log_p[i] + beta[j + m] for m, i in steps[j]])
             for m, i in steps[j]:
-                expected[i] += counts[0] * math.exp(alpha[j] + log_p[i] + beta[j + m] - alpha[n])
-        return np.array([alpha[n]]), expected
+                out[i] += math.exp(alpha[j] + log_p[i] + beta[j + m] - alpha[n])
+        return out
 
-    def words(self, column: pa.Array, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """``forward`` of a column of words, each after a space, in parts of like lengths."""
+    def parts(self, column: pa.Array, alone: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, bytes and bounds of a column's words, each after a space, by like lengths; words over ``alone`` bytes by themselves."""
         raw, offs = textops.flat(column)
         size = np.diff(offs) + 1
         bounds = np.concatenate([[0], np.cumsum(size)])
@@ -184,21 +204,44 @@ class Lattice:
         inside[bounds[:-1]] = False
         data[inside] = raw
         order = np.argsort(size, kind="stable")
-        out, expected, lo = np.empty(len(size)), np.zeros(len(self.log_p)) if counts is not None else None, 0
-        upto = np.cumsum(size[order])
+        upto, lo = np.cumsum(size[order]), 0
         while lo < len(order):
-            done = upto[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(upto, done + LATTICE_BYTES, side="right")))
-            if size[order[hi - 1]] > LONG_WORD:
-                hi = max(lo + 1, lo + int(np.searchsorted(size[order[lo:hi]], LONG_WORD, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + LATTICE_BYTES, side="right")))
+            if size[order[hi - 1]] > alone:
+                hi = max(lo + 1, lo + int(np.searchsorted(size[order[lo:hi]], alone, side="right")))
             rows = order[lo:hi]
             own = np.concatenate([[0], np.cumsum(size[rows])])
-            at = np.repeat(bounds[rows] - own[:-1], size[rows]) + np.arange(own[-1])
-            out[rows], more = self.forward(data[at], own, None if counts is None else counts[rows])
-            if more is not None:
-                expected += more
+            yield rows, data[np.repeat(bounds[rows] - own[:-1], size[rows]) + np.arange(own[-1])], own
             lo = hi
-        return out, expected
+
+    def words(self, column: pa.Array) -> np.ndarray:
+        """``forward`` of a column."""
+        out = np.empty((len(self.log_p), len(column)))
+        for rows, data, bounds in self.parts(column, LONG_WORD):
+            out[:, rows] = self.forward(data, bounds)
+        return out
+
+    def expected_in(self, column: pa.Array, c: int = 0) -> np.ndarray:
+        """``expected`` of a column."""
+        return sum((self.expected(data, bounds, c) for _, data, bounds in self.parts(column, SHORT_WORD)), np.zeros(self.log_p.shape[1]))
+
+
+def larger(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes: words are short, and the recursion's cost is one for each step and batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def log_sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top + math.log(sum(math.exp(x - top) for x in xs))
 
 
 def split(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
@@ -230,28 +273,45 @@ def word_table(docs: DataFrame, classes: int) -> DataFrame:
     return found.select("hash", "word", sum((F.col(c) for c in names), F.lit(0)).cast("long").alias("n"), *names)
 
 
-def re_estimate(trained: DataFrame, pieces: list[bytes], n_docs: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces and, last, of the end; one row for each piece reaches the driver."""
+def re_estimate(trained: DataFrame, pieces: list[bytes], class_docs: list[int], rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces and, last, of the end, in each class; a row for each class and piece reaches the driver.
+
+    Every distinct training word of a class counts once: the lattice is for words that counts don't know.
+    """
+    classes = len(class_docs)
     first = 1.0 / (np.arange(len(pieces) + 1) + 10.0)
-    log_p = np.log(first / first.sum())
+    log_p = np.tile(np.log(first / first.sum()), (classes, 1))
     for _ in range(rounds):
-        lattice = trained.sparkSession.sparkContext.broadcast(Lattice(pieces, log_p[:-1]))
+        lattice = trained.sparkSession.sparkContext.broadcast(Lattice(pieces, log_p[:, :-1]))
 
         def run(batches: Iterator[pa.RecordBatch], lattice=lattice) -> Iterator[pa.RecordBatch]:
-            expected = np.zeros(len(lattice.value.log_p))
-            for batch in batches:
-                expected += lattice.value.words(batch.column("word"), batch.column("n").to_numpy().astype(float))[1]
-            some = np.flatnonzero(expected)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(expected[some])], ["piece", "expected"])
-
-        counts = np.full(len(pieces) + 1, SMOOTHING)
-        for r in trained.select(F.col("word").cast("string"), "n").mapInArrow(run, "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("n")).collect():
-            counts[r["piece"]] += r["n"]
-        counts[-1] += n_docs
-        log_p = np.log(counts / counts.sum())
+            expected = np.zeros(lattice.value.log_p.shape)
+            for batch in larger(batches):
+                for c in range(classes):
+                    expected[c] += lattice.value.expected_in(batch.column("word").filter(pa.array(batch.column(f"n_{c}").to_numpy() > 0)), c)
+            kind, piece = np.nonzero(expected)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(piece), pa.array(expected[kind, piece])], ["class", "piece", "expected"])
+
+        counts = np.full(log_p.shape, SMOOTHING)
+        found = trained.select(F.col("word").cast("string"), *(f"n_{c}" for c in range(classes))).mapInArrow(run, "class long, piece long, expected double")
+        sums = found.groupBy("class", "piece").agg(F.sum("expected").alias("n")).toPandas()
+        np.add.at(counts, (sums["class"].to_numpy(dtype=int), sums["piece"].to_numpy(dtype=int)), sums["n"].to_numpy(dtype=float))
+        counts[:, -1] += class_docs
+        log_p = np.log(counts / counts.sum(axis=1, keepdims=True))
     return log_p
 
 
+def most_frequent(values: DataFrame, most: int) -> DataFrame:
+    """Words from a count on that at most ``most`` words reach; a histogram finds it, so no task sorts or sends more."""
+    level = F.floor(F.log2(F.col("n") + 1) * 32)
+    left, least = most, math.inf
+    for row in sorted(values.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):  # 32 rows for each doubling
+        if row["n"] > left:
+            break
+        left, least = left - row["n"], row["level"]
+    return values.where(level >= least)
+
+
 def with_classes(docs: DataFrame, most: int = CLASSES) -> tuple[DataFrame, list[int]]:
     """``docs`` with a class by language, and the training documents in each class."""
     if "lang" not in docs.columns:
@@ -282,36 +342,36 @@ def score_documents(docs: DataFrame, model: str | None = None, rounds: int = ROU
     totals += [n_docs, *class_docs]
     n, v = int(totals[0]), distinct + (n_docs > 0)
     pieces = pieces_of(model)
-    log_p = re_estimate(words.where("n > 0"), pieces, n_docs, rounds)
-    lattice = spark.sparkContext.broadcast(Lattice(pieces, log_p[:-1]))
+    log_p = re_estimate(words.where("n > 0"), pieces, class_docs, rounds)
+    lattice = spark.sparkContext.broadcast(Lattice(pieces, log_p[:, :-1]))
     ten = math.log(10)
 
     def smoothed(lattice_log: np.ndarray, count: np.ndarray, by_class: list[np.ndarray]) -> list[np.ndarray]:
         """log10 P(word) in each class."""
         with np.errstate(divide="ignore"):
-            general = np.logaddexp(np.log(count), np.log(once[0]) + lattice_log) - np.log(totals[0] + once[0])
-            return [(np.logaddexp(np.log(c), np.log(m) + general) - np.log(t + m)) / ten for c, t, m in zip(by_class, totals[1:], once[1:], strict=True)]
+            general = [np.logaddexp(np.log(count), np.log(once[0]) + x) - np.log(totals[0] + once[0]) for x in lattice_log]
+            return [(np.logaddexp(np.log(c), np.log(m) + g) - np.log(t + m)) / ten for c, g, t, m in zip(by_class, general, totals[1:], once[1:], strict=True)]
 
-    names = ["hash", "n", "lattice", *(f"p_{k}" for k in range(classes))]
+    names = ["hash", "n", *(f"p_{k}" for k in range(classes))]
     sums_of = names[2:]
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            log = lattice.value.words(batch.column("word"))[0]
+        for batch in larger(batches):
+            log = lattice.value.words(batch.column("word"))
             counts = [batch.column(c).to_numpy().astype(float) for c in ("n", *own)]
-            columns = [log / ten, *smoothed(log, counts[0], counts[1:])]
+            columns = smoothed(log, counts[0], counts[1:])
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n"), *map(pa.array, columns)], names)
 
     schema = "hash long, n long, " + ", ".join(f"{c} double" for c in sums_of)
     values = written(words.select("hash", F.col("word").cast("string"), "n", *own).mapInArrow(valued, schema))
-    top = values.orderBy(F.desc("n"), "hash").limit(head).toPandas().sort_values("hash")  # `head` rows
+    top = most_frequent(values, head).toPandas().sort_values("hash")  # at most `head` rows
     known = spark.sparkContext.broadcast((top["hash"].to_numpy(), top["n"].to_numpy(), [top[c].to_numpy() for c in sums_of]))
 
     def base(count):
         return np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
 
-    end_log = np.array([log_p[-1]])
-    end = [float(base(float(n_docs))), float(end_log[0] / ten), *(float(x[0]) for x in smoothed(end_log, np.array([float(n_docs)]), [np.array([float(c)]) for c in class_docs]))]
+    end_log = log_p[:, -1:]
+    end = [float(base(float(n_docs))), *(float(x[0]) for x in smoothed(end_log, np.array([float(n_docs)]), [np.array([float(c)]) for c in class_docs]))]
     measures = ["base_score", *sums_of]
     counted_names = ["key", "doc_id", "held_out", "hash", "n_tokens", "n_known", *measures]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()] + [pa.float64()] * len(measures)
@@ -355,7 +415,7 @@ def score_documents(docs: DataFrame, model: str | None = None, rounds: int = ROU
     weighted = [F.col(f"p_{k}") + math.log10(max(c, 0.5) / max(n_docs, 1)) for k, c in enumerate(class_docs)]
     most = F.greatest(*weighted, F.lit(None))  # the log-space sum over the classes
     score = most + F.log10(sum((F.pow(F.lit(10.0), w - most) for w in weighted), F.lit(0.0)))
-    return both.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", score.alias("score"), F.col("lattice").alias("lattice_score"))
+    return both.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
