@@ -4,7 +4,7 @@ A licence stands in a text as a whole text, as a line, or as a passage of some l
 of these units is held against every template whose size allows the threshold. Dice's coefficient of two sets
 with a and b bigrams is at most 2 * min(a, b) / (a + b), so a unit is a candidate only for templates with
 b * t / (2 - t) <= a <= b * (2 - t) / t. A match also shares at least b * t / (2 - t) of a template's b bigrams, so
-it has one of any b - ceil(b * t / (2 - t)) + 1 of them: of those with the longest words, which are rare. Texts
+it has one of any b - ceil(b * t / (2 - t)) + 1 of them: of those with the rarest (longest) words. Texts
 without any of these words are out after one look at their words. The others' units within the bounds of some
 template get their bigrams, these join the templates' bigrams, and the shared ones are counted.
 
@@ -49,6 +49,9 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
+# fixed values: English words that tell nothing
+FREQUENT = {"a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "may", "not", "of", "on", "or", "that", "the", "this", "to", "was", "with", "you"}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -79,10 +82,14 @@ def template_table(spark: SparkSession, templates: Iterable[tuple[str, str]]) ->
 
 def telling_words(bigram_lists: Iterable[list[str]], threshold: float) -> list[str]:
     """Words of which every text that matches a template has one."""
+
+    def rarity(word: str) -> tuple:
+        return word not in FREQUENT, len(word), word
+
     out = set()
     for grams in bigram_lists:
         spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9) + 1
-        out |= set(sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))[:spare])
+        out |= set(sorted((max(g.split(" "), key=rarity) for g in grams), key=rarity)[-spare:])
     return sorted(out)
 
 
