@@ -46,12 +46,13 @@ class Encoder:
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = json.loads(Path(path).read_text(encoding="utf-8"))["model"]["vocab"]
+        self.path, self.other = path, None
+        described = json.loads(Path(path).read_text(encoding="utf-8"))
+        vocabulary = described["model"]["vocab"]
         byte_of = {c: b for b, c in byte_characters(sorted(pre_tokenizers.ByteLevel.alphabet())).items()}
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        special = {t["content"]: t["id"] for t in described["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         # the pre-tokenizer's fixed pattern
         self.pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,7 +66,14 @@ class Encoder:
         except BaseException as error:  # its panics aren't Exceptions
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self.slowly(text)
+
+    def slowly(self, text: str) -> bytes:
+        if self.other is None:
+            from tokenizers import Tokenizer
+
+            self.other = Tokenizer.from_file(self.path)
+        return np.array(self.other.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if self.cut is None or not self.cut.search(text):

@@ -99,6 +99,12 @@ def test_packing_is_an_exact_round_trip(spark):
     assert len(bins) <= -(-sum(map(len, ids.values())) // 1024) * 1.03 + 1
 
 
+def test_both_encoders_agree():
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("", "It's  1,000 \n\n é日本 🎉", texts_with_space()):
+        assert encoder.plain(text) == encoder.slowly(text)
+
+
 def texts_with_space():
     return "a  b\n\n\n c \t d" * 3
 
