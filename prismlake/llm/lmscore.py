@@ -7,9 +7,10 @@ by the forward recursion in log space over the lattice of its bytes; every byte
 unknown. No piece crosses a space, so the recursion over a text is the product of those over its words and one
 end, and each distinct word needs one lattice.
 
-The lattice has one more edge over each whole word that training documents have, with the share that its
-count earns: in each class P(word) = (c_class + m * G(word)) / (N_class + m), G = (c + u * lattice) / (N + u), u and m
-the numbers of words seen once (in all, in the class). The classes are the training documents' most frequent
+The lattice has one more edge over each whole word that training documents have. G(word) is (c - d) / N for these
+words, with d taken from the numbers of words seen once and twice; what the discounts leave goes to all other words
+by their lattices, over what the lattice gives words not seen. In each class P(word) = (c_class + m * G(word)) /
+(N_class + m), with m the number of words seen once in the class. The classes are the training documents' most frequent
 languages, at most ``CLASSES``, and the rest; a text's probability sums over them, weighted by their shares of
 the training documents, so no language is looked at when a text is scored.
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import textops
@@ -336,42 +337,47 @@ def score_documents(docs: DataFrame, model: str | None = None, rounds: int = ROU
     classes, n_docs = len(class_docs), sum(class_docs)
     own = [f"n_{k}" for k in range(classes)]
     words = written(word_table(docs, classes))
-    seen = [F.sum(c) for c in ("n", *own)] + [F.count_if(F.col(c) == 1) for c in ("n", *own)] + [F.count_if(F.col("n") > 0)]
-    *sums, distinct = (x or 0 for x in words.agg(*seen).first())
-    totals, once = np.array(sums[: classes + 1], float), np.maximum(1.0, np.array(sums[classes + 1 :], float))
-    totals += [n_docs, *class_docs]
-    n, v = int(totals[0]), distinct + (n_docs > 0)
+    seen = [F.sum(c) for c in ("n", *own)] + [F.count_if(F.col(c) == 1) for c in ("n", *own)] + [F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 0)]
+    *sums, twice, distinct = (x or 0 for x in words.agg(*seen).first())
+    n, v = sums[0] + n_docs, distinct + (n_docs > 0)
+    in_class = [c + d for c, d in zip(sums[1 : classes + 1], class_docs, strict=True)]
+    once, once_in = sums[classes + 1], [max(1, x) for x in sums[classes + 2 :]]
+    discount = once / (once + 2 * twice) if once else 0.5
     pieces = pieces_of(model)
     log_p = re_estimate(words.where("n > 0"), pieces, class_docs, rounds)
     lattice = spark.sparkContext.broadcast(Lattice(pieces, log_p[:, :-1]))
     ten = math.log(10)
+    logs = [f"l_{k}" for k in range(classes)]
 
-    def smoothed(lattice_log: np.ndarray, count: np.ndarray, by_class: list[np.ndarray]) -> list[np.ndarray]:
-        """log10 P(word) in each class."""
-        with np.errstate(divide="ignore"):
-            general = [np.logaddexp(np.log(count), np.log(once[0]) + x) - np.log(totals[0] + once[0]) for x in lattice_log]
-            return [(np.logaddexp(np.log(c), np.log(m) + g) - np.log(t + m)) / ten for c, g, t, m in zip(by_class, general, totals[1:], once[1:], strict=True)]
-
-    names = ["hash", "n", *(f"p_{k}" for k in range(classes))]
-    sums_of = names[2:]
-
-    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in larger(batches):
-            log = lattice.value.words(batch.column("word"))
-            counts = [batch.column(c).to_numpy().astype(float) for c in ("n", *own)]
-            columns = smoothed(log, counts[0], counts[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n"), *map(pa.array, columns)], names)
-
-    schema = "hash long, n long, " + ", ".join(f"{c} double" for c in sums_of)
-    values = written(words.select("hash", F.col("word").cast("string"), "n", *own).mapInArrow(valued, schema))
+            found = lattice.value.words(batch.column("word"))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("hash", "n", *own)] + [pa.array(x) for x in found], ["hash", "n", *own, *logs])
+
+    schema = ", ".join([f"{c} long" for c in ("hash", "n", *own)] + [f"{c} double" for c in logs])
+    weighed = written(words.select("hash", F.col("word").cast("string"), "n", *own).mapInArrow(with_lattice, schema))
+    known_share = weighed.where("n > 0").agg(*(F.coalesce(F.sum(F.exp(c)), F.lit(0.0)) for c in logs)).first()
+    new_share = [max(1e-6, 1 - x - math.exp(e)) for x, e in zip(known_share, log_p[:, -1], strict=True)]  # of the lattice, for words not seen
+    to_new = [math.log(discount * v / n) - math.log(x) if n else 0.0 for x in new_share]
+    sums_of = [f"p_{k}" for k in range(classes)]
+
+    def smoothed(k: int) -> Column:
+        """log10 P(word) in class k."""
+        general = F.when(F.col("n") > 0, F.log((F.col("n") - discount) / max(n, 1))).otherwise(F.col(f"l_{k}") + to_new[k])
+        count, m = F.col(f"n_{k}"), once_in[k]
+        log = F.when(count > 0, F.log(count + m * F.exp(general))).otherwise(math.log(m) + general)
+        return ((log - math.log(in_class[k] + m)) / ten).alias(f"p_{k}")
+
+    values = weighed.select("hash", "n", *map(smoothed, range(classes)))
     top = most_frequent(values, head).toPandas().sort_values("hash")  # at most `head` rows
     known = spark.sparkContext.broadcast((top["hash"].to_numpy(), top["n"].to_numpy(), [top[c].to_numpy() for c in sums_of]))
 
     def base(count):
         return np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
 
-    end_log = log_p[:, -1:]
-    end = [float(base(float(n_docs))), *(float(x[0]) for x in smoothed(end_log, np.array([float(n_docs)]), [np.array([float(c)]) for c in class_docs]))]
+    general_end = (n_docs - discount) / n if n_docs else 0.0
+    end_p = [(c + m * (general_end or math.exp(e))) / (t + m) for c, m, t, e in zip(class_docs, once_in, in_class, log_p[:, -1], strict=True)]
+    end = [float(base(float(n_docs))), *map(math.log10, end_p)]
     measures = ["base_score", *sums_of]
     counted_names = ["key", "doc_id", "held_out", "hash", "n_tokens", "n_known", *measures]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()] + [pa.float64()] * len(measures)
