@@ -149,11 +149,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies deleted from ``text``, and n_lines, removed_lines (array of line numbers from 0) and
     copied_from (array of the doc_ids that keep the first copies)."""
     runs = written(repeated_runs(docs, min_words))
-    sources = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("first_doc")).alias("sources"))  # at most one for each of its runs
+    sources = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("first_doc")).alias("__sources"))  # at most one for each of its runs
     gone = runs.select("doc_id", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("line")).distinct()
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("gone")).join(sources, ["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    removed = F.coalesce("gone", F.array().cast("array<int>"))
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("__gone")).join(sources, ["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    rows = docs.withColumn("__text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    removed = F.coalesce("__gone", F.array().cast("array<int>"))
 
     @F.udf("string", useArrow=True)
     def without(text, gone):
@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
 
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.withColumns({"text": without("text", "gone"), "n_lines": n_lines.cast("long"), "removed_lines": removed, "copied_from": F.coalesce("sources", F.array().cast("array<bigint>"))}).drop("_id", "_hash", "_text_hash", "gone", "sources")
+    return rows.withColumns({"text": without("text", "__gone"), "n_lines": n_lines.cast("long"), "removed_lines": removed, "copied_from": F.coalesce("__sources", F.array().cast("array<bigint>"))}).drop("__id", "__hash", "__text_hash", "__gone", "__sources")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,8 +242,8 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     index = fit(docs, training(docs, labels))
     plain = docs.withColumn("text", F.col("text").cast("string"))
     clash = [c for c in ("score", "predicted", "evidence") if c in plain.columns]
-    marked = score(plain.withColumnsRenamed({c: f"_own_{c}" for c in clash}).withColumn("_all", F.lit(True)), index)
-    kept = marked.where("predicted = 0").drop("score", "predicted", "evidence", "_all")
+    marked = score(plain.withColumnsRenamed({c: f"_own_{c}" for c in clash}).withColumn("__all", F.lit(True)), index)
+    kept = marked.where("predicted = 0").drop("score", "predicted", "evidence", "__all")
     return kept.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ import zlib
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prismlake.llm import packing
@@ -71,6 +72,20 @@ def test_whole_run_packs_what_is_kept(spark, case):
     assert {r.doc_id for r in rows} == set(texts) - gone
 
 
+def test_stages_on_empty_and_odd_tables(spark, case):
+    """No rows, and columns with the names that operators use for their own."""
+    folder = case[0]
+    names = "line n_lines removed_lines copied_from gone sources score predicted evidence key hash text_hash words toxic class_id"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.select("*", *(F.lit("mine").alias(c) for c in names.split()))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).collect() == []
+        plain, more = stage(spark, docs, folder), stage(spark, odd, folder)
+        assert plain.count() == more.count()
+        if name != "best_fit_packing":
+            assert more.columns == odd.columns and more.where("gone <> 'mine' OR score <> 'mine' OR key <> 'mine'").isEmpty()
+
+
 def test_packing_is_an_exact_round_trip(spark):
     rng = random.Random(1)
     texts = [sentence(rng, rng.choice([0, 1, 5, 50, 300, 900, 2500])) for _ in range(120)] + [None, "<|endoftext|> x", texts_with_space()]
