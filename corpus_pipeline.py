@@ -29,12 +29,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     extra = [c for c in ("n_lines", "removed_lines", "copied_from") if c in docs.columns]
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in extra})
+    renamed = docs.withColumnsRenamed({c: f"__own_{c}" for c in extra})
     rows = linededup.dedup_lines(renamed)
     rows = rows.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("n_lines", "removed_lines", "copied_from").withColumnsRenamed({f"_own_{c}": c for c in extra}).select(*docs.columns)
+    return rows.drop("n_lines", "removed_lines", "copied_from").withColumnsRenamed({f"__own_{c}": c for c in extra}).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hits, _ = decontamination.occurrences(docs, table(spark, sf_dir, "benchmark"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    hits = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
