@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine, found exactly with a block-max inverted index.
 
 Terms are words of letters and digits (A-Z lower-cased) and their first 4, 5 and 6 bytes, which catch inflected
-forms. The vocabulary is what tells the labelled examples apart: terms most of whose examples have label 1,
-too many for chance (binomial tail; ``ALPHA`` such terms are expected by accident among all that are frequent
-enough to be told from chance at all), at most ``TERMS``. Document frequencies come from all documents, whole texts.
+forms. The vocabulary is every term of the labelled examples, so an example's vector has all its terms. Terms that
+tell the examples apart weigh ``TELLING`` times as much: those most of whose examples have label 1, too many for
+chance (binomial tail; ``ALPHA`` such terms are expected by accident among all that are frequent enough to be told
+from chance at all), at most ``TERMS``. Document frequencies come from all documents, whole texts.
 
 The examples are at most ``EXAMPLES`` labelled training rows (chosen by a hash of the id where there are more),
 so vocabulary, examples and index are of bounded size and are broadcast. Postings lie in blocks of ``BLOCK``
 examples; for each text the blocks' best possible cosine orders them, and blocks below the k-th best cosine
-found are never opened, which leaves the exact k nearest (ties by example number). The score is the vote
-of the nearest, weighted by squared cosine, with the training rate as one more vote; a text without any
-vocabulary term has the rate of such training examples. The nearest examples' ids are the evidence.
+found are never opened, which leaves the exact k nearest (ties by example number). Terms that at least a ``COMMON``
+part of the examples has lie in a dense matrix instead, whose products are made for some texts at a time and
+enter the bounds exactly. The score is the vote of the nearest, weighted by squared cosine, with the training rate
+as one more vote; a text without any term of an example has the rate of examples without terms. The nearest
+examples' ids are the evidence.
 
 Defined cases: null and empty texts have no terms; examples without text or label are left out; of
 contradicting labels for one doc_id the toxic one counts; without any example of label 1 every score is the
@@ -20,19 +23,24 @@ no rows; other columns are kept by ``reject`` and ignored by ``score``.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import textops
-from prismlake.llm.session import table
+from prismlake.llm.session import table, written
 
 EXAMPLES, TERMS, ALPHA, PURE = 16384, 4096, 0.05, 0.85
+TELLING = 16  # chosen among 1 to 64 on the held-out labels of the 10,000-document set, where 16 to 64 find as many
 BLOCK, NEAREST = 64, 32
+COMMON, TOGETHER = 1 / 16, 64
 PREFIXES = (4, 5, 6)
 _U = np.uint64
 
@@ -58,16 +66,26 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 class Vocabulary:
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes.astype(_U))
-        self.maybe = np.zeros(1 << 16, bool)  # most terms are none; a table lookup tells
-        self.maybe[self.hashes & _U(0xFFFF)] = True
+        self.shift = _U(64 - max(8, len(self.hashes).bit_length() + 1))
+        heads = (self.hashes >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)  # by leading bits
+        self.longest = int(np.diff(self.first).max(initial=0))
+
+    def __reduce__(self):
+        return Vocabulary, (self.hashes,)
 
     def counts(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, term number and times of each vocabulary term in each text, in this order."""
-        some = np.flatnonzero(self.maybe[hashes & _U(0xFFFF)])
-        found = hashes[some]
-        spot = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
-        good = self.hashes[spot] == found if len(self.hashes) else np.zeros(len(found), bool)
-        pair = owner[some][good].astype(np.int64) * len(self.hashes) + spot[good]
+        head = (hashes >> self.shift).astype(np.int64)
+        spot, end = self.first[head], self.first[head + 1]
+        left, good = np.flatnonzero(spot < end), np.zeros(len(hashes), bool)
+        for _ in range(self.longest):
+            same = self.hashes[spot[left]] == hashes[left]
+            good[left[same]] = True
+            left = left[~same]
+            spot[left] += 1
+            left = left[spot[left] < end[left]]
+        pair = owner[good].astype(np.int64) * len(self.hashes) + spot[good]
         pair, times = np.unique(pair, return_counts=True)
         return pair // max(len(self.hashes), 1), pair % max(len(self.hashes), 1), times
 
@@ -85,8 +103,8 @@ def chance(hits: int, n: int, p: float) -> float:
     return min(total, 1.0)
 
 
-def select_terms(examples: DataFrame, rate: float) -> np.ndarray:
-    """Hashes of the vocabulary, from texts with labels."""
+def select_terms(examples: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of texts with labels, and of those that tell the labels apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, hashes, owner, _ in pieces(batches):
@@ -101,7 +119,11 @@ def select_terms(examples: DataFrame, rate: float) -> np.ndarray:
             )
 
     counts = examples.select(F.col("text").cast("string"), "toxic").mapInArrow(run, "term long, n long, hits long")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where("n >= 3")
+    counts = written(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
+    every = counts.select("term").toArrow()["term"].to_numpy().view(_U)  # terms of `EXAMPLES` rows
+    if not 0 < rate < 1:
+        return every, np.zeros(0, _U)
+    counts = counts.where("n >= 3")
     most = math.ceil(math.log(1e-18) / math.log(rate))
     by_n = dict(counts.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*")).collect())  # some tens of rows
     tried = {k: sum(v for n, v in by_n.items() if n >= k) for k in range(3, most + 1)}
@@ -109,102 +131,196 @@ def select_terms(examples: DataFrame, rate: float) -> np.ndarray:
     pure = (F.col("hits") + 1) / (F.col("n") + 2) >= PURE
     clear = counts.where((F.col("n") >= least) & (F.col("hits") >= least) & pure)
     best = clear.orderBy(F.desc(F.col("hits") * F.col("hits") / F.col("n")), "term").limit(TERMS).collect()  # `TERMS` rows
-    return np.array([r["term"] for r in best if chance(r["hits"], r["n"], rate) * max(tried.get(least, 1), 1) <= ALPHA], np.int64).view(_U)
+    return every, np.array([r["term"] for r in best if chance(r["hits"], r["n"], rate) * max(tried.get(least, 1), 1) <= ALPHA], np.int64).view(_U)
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the length of each range."""
+    size = (ends - starts).astype(np.int64)
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum()), size
 
 
 class Index:
     """Normalised TF-IDF vectors of the examples in postings by term, cut into blocks with their greatest weights."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, rate: float, bare_rate: float):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, rate: float, bare_rate: float, times: list[np.ndarray] | None = None):
         self.vocabulary, self.idf, self.rate, self.bare_rate = vocabulary, idf, rate, bare_rate
         # alike vectors side by side, so that blocks differ
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist(), int(ids[i])))
+        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), int(ids[i])))
         self.labels, self.ids = labels[order], ids[order]
         self.blocks = -(-len(order) // BLOCK)
-        number = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]) if order else np.zeros(0, np.int64)
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        by_term = np.lexsort((number, term))
-        self.numbers, self.weights = number[by_term], weight[by_term]
-        self.from_ = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
-        self.most = np.zeros((len(idf), max(self.blocks, 1)))
-        np.maximum.at(self.most, (term, number // BLOCK), weight)
+        size = np.zeros(len(idf), np.int64)
+        for found, _ in vectors:
+            size[found] += 1
+        self.from_ = np.concatenate([[0], np.cumsum(size)])
+        self.numbers, self.weights = np.zeros(self.from_[-1], np.min_scalar_type(len(order))), np.zeros(self.from_[-1], np.float32)
+        # with times, workers get those and make the weights from them, since they pack far better
+        self.times = None if times is None else np.zeros(self.from_[-1], np.min_scalar_type(max((int(x.max()) for x in times), default=0)))
+        self.norms = None if times is None else np.array([self.raw(vectors[i][0], times[i])[1] for i in order])
+        end = self.from_[:-1].copy()
+        for number, i in enumerate(order):
+            found, weights = vectors[i]
+            self.numbers[end[found]], self.weights[end[found]] = number, weights
+            if times is not None:
+                self.times[end[found]] = times[i]
+            end[found] += 1
         self.known: dict[bytes, tuple] = {}
 
-    def vector(self, found: np.ndarray, times: np.ndarray) -> np.ndarray:
+    @functools.cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each common term, -1 of others, and weights by row and example."""
+        often = np.flatnonzero(np.diff(self.from_) >= max(COMMON * len(self.ids), 1))
+        row, weights = np.full(len(self.idf), -1, np.int32), np.zeros((len(often), self.blocks * BLOCK))
+        row[often] = np.arange(len(often))
+        for r, t in enumerate(often):
+            lo, hi = self.from_[t], self.from_[t + 1]
+            weights[r, self.numbers[lo:hi]] = self.weights[lo:hi]
+        return row, weights
+
+    @functools.cached_property
+    def cut(self) -> tuple[np.ndarray, ...]:
+        """Number, start, end and greatest weight of each block of each term, and where each term's blocks start."""
+        block, new = self.numbers // BLOCK, np.ones(len(self.numbers), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.from_[:-1][np.diff(self.from_) > 0]] = True
+        start = np.flatnonzero(new).astype(np.int32)
+        most = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0, np.float32)
+        return block[start], start, np.append(start[1:], len(new)).astype(np.int32), most, np.searchsorted(start, self.from_)
+
+    def raw(self, found: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+        """TF-IDF weights and their norm."""
         w = (1 + np.log(times)) * self.idf[found]
-        return w / np.sqrt((w * w).sum())
+        return w, np.sqrt((w * w).sum())
 
-    def nearest(self, found: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, found: np.ndarray, times: np.ndarray) -> np.ndarray:
+        w, norm = self.raw(found, times)
+        return w / norm
+
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The part of each vector's cosine with each example that comes from common terms."""
+        rows, dense = self.dense
+        asked = np.zeros((len(vectors), len(dense)))
+        for i, (found, weights) in enumerate(vectors):
+            row = rows[found]
+            asked[i, row[row >= 0]] = weights[row >= 0]
+        return asked @ dense
+
+    def nearest(self, found: np.ndarray, weights: np.ndarray, k: int = NEAREST, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first, ties by number."""
-        bound = weights @ self.most[found]
+        if not self.blocks:
+            return np.zeros(0, np.int64), np.zeros(0)
+        sums = (self.common([(found, weights)])[0] if common is None else common).copy()
+        rare = self.dense[0][found] < 0
+        blocks, starts, ends, most, pairs = self.cut
+        pair, times = spread(pairs[found[rare]], pairs[found[rare] + 1])
+        weight, block = np.repeat(weights[rare], times), blocks[pair]
+        bound = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weight * most[pair], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, cosines, at = np.zeros(0, np.int64), np.zeros(0), 0
+        best, cosines, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(1, k // BLOCK + 1)
         while at < len(order):
             if len(best) == k and bound[order[at]] < cosines[-1] - 1e-12:
                 break
-            step = order[at : at + max(1, k // BLOCK + 1)]
-            at += len(step)
-            for block in step:
-                sums = np.zeros(BLOCK)
-                for t, w in zip(found, weights, strict=True):
-                    lo, hi = self.from_[t], self.from_[t + 1]
-                    a, b = lo + np.searchsorted(self.numbers[lo:hi], [block * BLOCK, (block + 1) * BLOCK])
-                    sums[self.numbers[a:b] - block * BLOCK] += w * self.weights[a:b]
-                some = np.flatnonzero(sums)
-                best, cosines = np.concatenate([best, some + block * BLOCK]), np.concatenate([cosines, sums[some]])
+            opened = np.zeros(self.blocks, bool)
+            opened[order[at : at + step]] = True
+            at, step = at + step, step * 4
+            some = opened[block]
+            spot, times = spread(starts[pair[some]], ends[pair[some]])
+            sums += np.bincount(self.numbers[spot], np.repeat(weight[some], times) * self.weights[spot], len(sums))
+            new = np.flatnonzero(np.repeat(opened, BLOCK) & (sums > (cosines[-1] - 1e-9 if len(best) == k else 0)))
+            best, cosines = np.concatenate([best, new]), np.concatenate([cosines, sums[new]])
             keep = np.lexsort((best, -np.round(cosines, 12)))[:k]
             best, cosines = best[keep], cosines[keep]
         return best, cosines
 
-    def score(self, found: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
-        if not len(found):
-            return self.bare_rate, []
-        key = found.astype(np.int32).tobytes() + times.astype(np.int32).tobytes()
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            best, cosines = self.nearest(found, self.vector(found, times))
-            votes = cosines**2
-            score = (float(votes @ self.labels[best]) + self.rate) / (float(votes.sum()) + 1)
-            self.known[key] = (min(max(score, 0.0), 1.0), self.ids[best[:5]].tolist())
-        return self.known[key]
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Score and evidence for the terms and times of each text."""
+        keys = [hashlib.blake2b(f.astype(np.int32).tobytes() + t.astype(np.int32).tobytes(), digest_size=16).digest() for f, t in texts]
+        if len(self.known) > 50_000:
+            self.known.clear()
+        new = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.known and len(text[0])}
+        vectors = [(f, self.vector(f, t)) for f, t in new.values()]
+        for lo in range(0, len(vectors), TOGETHER):
+            some = vectors[lo : lo + TOGETHER]
+            for key, vector, common in zip([*new][lo : lo + TOGETHER], some, self.common(some), strict=True):
+                best, cosines = self.nearest(*vector, common=common)
+                votes = cosines**2
+                score = (float(votes @ self.labels[best]) + self.rate) / (float(votes.sum()) + 1)
+                self.known[key] = (min(max(score, 0.0), 1.0), self.ids[best[:5]].tolist())
+        return [self.known[key] if len(text[0]) else (self.bare_rate, []) for key, text in zip(keys, texts, strict=True)]
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("dense", "cut")} | {"known": {}}
+        if self.times is not None:
+            steps = np.diff(self.numbers, prepend=self.numbers[:1] * 0)  # modulo the type's size
+            packed = {"numbers": steps, "times": self.times, "from_": np.diff(self.from_).astype(np.uint16 if len(self.ids) < 1 << 16 else np.int64)}
+            state |= {k: (v.dtype, v.nbytes, pa.compress(v.tobytes(), "zstd", asbytes=True)) for k, v in packed.items()} | {"weights": None}
+        return state
+
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state)
+        if self.weights is None:
+            for k in ("numbers", "times", "from_"):
+                kind, size, data = state[k]
+                setattr(self, k, np.frombuffer(pa.decompress(data, size, "zstd"), kind))
+            self.numbers = np.cumsum(self.numbers, dtype=self.numbers.dtype)
+            lengths = self.from_.astype(np.int64)
+            self.from_ = np.concatenate([[0], np.cumsum(lengths)])
+            weights = (1 + np.log(np.arange(1, int(self.times.max(initial=0)) + 1))).astype(np.float32)[self.times - 1]
+            weights *= np.repeat(self.idf.astype(np.float32), lengths)
+            weights *= (1 / self.norms).astype(np.float32)[self.numbers]
+            self.weights, self.times = weights, None
+
+
+def numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers in a binary column, and where each row's start."""
+    size = pc.binary_length(column).to_numpy() // 4
+    return np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(b"".join(x.to_pylist()), np.int32) for x in column.chunks)]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
 def fit(docs: DataFrame, examples: DataFrame) -> Index:
     """An index of ``examples`` (doc_id, text, toxic), with document frequencies from all ``docs``."""
     n, hits = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = hits / n if n else 0.0
-    vocabulary = Vocabulary(select_terms(examples, rate) if 0 < rate < 1 else np.zeros(0, _U))
+    every, telling = select_terms(examples, rate)
+    vocabulary = Vocabulary(every)
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = held.value
         total, rows = np.zeros(len(vocabulary.hashes), np.int64), 0
         for _, hashes, owner, size in pieces(batches):
-            total += np.bincount(vocabulary.counts(hashes, owner)[1], minlength=len(total))
+            np.add.at(total, vocabulary.counts(hashes, owner)[1], 1)
             rows += size
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([rows, *total[some]], pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], ["term", "n"])
 
-    df = dict(docs.select(F.col("text").cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # `TERMS` rows
-    idf = np.array([1 + math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) for i in range(len(vocabulary.hashes))])
+    df = docs.select(F.col("text").cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # terms of `EXAMPLES` rows
+    term, n = df["term"].to_numpy(), df["n"].to_numpy()
+    total = np.zeros(len(vocabulary.hashes))
+    total[term[term >= 0]] = n[term >= 0]
+    idf = 1 + np.log((1 + n[term < 0].sum()) / (1 + total))
+    idf[np.searchsorted(vocabulary.hashes, telling)] *= TELLING
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = held.value
         for part, hashes, owner, size in pieces(batches):
             texts, found, times = vocabulary.counts(hashes, owner)
-            bounds = np.searchsorted(texts, np.arange(size + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int64))) for x in (found, times)]
+            bounds = np.searchsorted(texts, np.arange(size + 1))
+            lists = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (found, times)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "terms", "times"])
 
-    rows = examples.select("doc_id", F.col("text").cast("string"), "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, times array<long>")
-    bare = rows.where("size(terms) = 0").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    full = rows.where("size(terms) > 0").collect()  # `EXAMPLES` rows
+    rows = examples.select("doc_id", F.col("text").cast("string"), "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms binary, times binary")
+    rows = written(rows)
+    bare = rows.where("octet_length(terms) = 0").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    full = rows.where("octet_length(terms) > 0").toArrow()  # `EXAMPLES` rows
     index = Index(vocabulary, idf, [], np.zeros(0), np.zeros(0, np.int64), rate, (bare[1] + rate) / (bare[0] + 1))
-    made = [(np.array(r["terms"]), index.vector(np.array(r["terms"]), np.array(r["times"]))) for r in full]
-    return Index(vocabulary, idf, made, np.array([r["toxic"] for r in full], float), np.array([r["doc_id"] for r in full], np.int64), rate, index.bare_rate)
+    toxic, ids = full["toxic"].to_numpy().astype(float), full["doc_id"].to_numpy()
+    (found, offs), (times, _) = (numbers(full[c]) for c in ("terms", "times"))
+    del full
+    times = [times[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    made = [(found[a:b], index.vector(found[a:b], t).astype(np.float32)) for a, b, t in zip(offs[:-1], offs[1:], times, strict=True)]
+    return Index(vocabulary, idf, made, toxic, ids, rate, index.bare_rate, times)
 
 
 def training(docs: DataFrame, labels: DataFrame, keep: Column | None = None, most: int = EXAMPLES) -> DataFrame:
@@ -227,7 +343,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         for part, hashes, owner, size in pieces(batches):
             texts, found, times = index.vocabulary.counts(hashes, owner)
             bounds = np.searchsorted(texts, np.arange(size + 1))
-            scores, evidence = zip(*(index.score(found[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)), strict=True)
+            scores, evidence = zip(*index.scores([(found[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), strict=True)
             columns = [pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in part.schema.names if c != "text" or keep_text] + columns, names)
 

@@ -77,3 +77,14 @@ def test_without_examples(spark):
     for some in (labels.limit(0), labels.where("toxic = 0")):
         assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, toxicity.training(docs, some))).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), toxicity.training(docs.limit(0), labels))).collect() == []
+
+
+def test_texts_without_telling_terms_have_their_nearest_examples(spark):
+    docs, labels, truth = corpus(spark)
+    rows = docs.where("doc_id < 700").collect()
+    plain = next(r for r in rows if truth[r.doc_id] == 0 and len(r.text.split()) > 40)
+    docs = docs.unionByName(spark.createDataFrame([(1000, plain.text)], docs.schema))
+    index = toxicity.fit(docs, toxicity.training(docs, labels))
+    assert len(index.ids) == len(truth.keys() & {r.doc_id for r in rows})
+    copy = toxicity.score(docs.where("doc_id = 1000"), index).first()
+    assert copy.evidence[0] == plain.doc_id and len(copy.evidence) == 5 and copy.predicted == 0
