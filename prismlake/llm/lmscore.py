@@ -7,9 +7,9 @@ by the forward recursion in log space over the lattice of its bytes; every byte
 unknown. No piece crosses a space, so the recursion over a text is the product of those over its words and one
 end, and each distinct word needs one lattice.
 
-The lattice has one more edge over each whole word that training documents have. G(word) is (c - d) / N for these
-words, with d taken from the numbers of words seen once and twice; what the discounts leave goes to all other words
-by their lattices, over what the lattice gives words not seen. In each class P(word) = (c_class + m * G(word)) /
+The lattice has one more edge over each whole word that training documents have, worth (c - d) / N, with d taken
+from the numbers of words seen once and twice; what the discounts leave weighs all segmentations of every word, known
+or not: G(word) = (c - d) / N + D * lattice, with D the sum of all d / N, and c - d as 0 for other words. In each class P(word) = (c_class + m * G(word)) /
 (N_class + m), with m the number of words seen once in the class. The classes are the training documents' most frequent
 languages, at most ``CLASSES``, and the rest; a text's probability sums over them, weighted by their shares of
 the training documents, so no language is looked at when a text is scored.
@@ -356,14 +356,13 @@ def score_documents(docs: DataFrame, model: str | None = None, rounds: int = ROU
 
     schema = ", ".join([f"{c} long" for c in ("hash", "n", *own)] + [f"{c} double" for c in logs])
     weighed = written(words.select("hash", F.col("word").cast("string"), "n", *own).mapInArrow(with_lattice, schema))
-    known_share = weighed.where("n > 0").agg(*(F.coalesce(F.sum(F.exp(c)), F.lit(0.0)) for c in logs)).first()
-    new_share = [max(1e-6, 1 - x - math.exp(e)) for x, e in zip(known_share, log_p[:, -1], strict=True)]  # of the lattice, for words not seen
-    to_new = [math.log(discount * v / n) - math.log(x) if n else 0.0 for x in new_share]
+    to_lattice = math.log(discount * v / n) if n else 0.0  # what the discounts leave
     sums_of = [f"p_{k}" for k in range(classes)]
 
     def smoothed(k: int) -> Column:
         """log10 P(word) in class k."""
-        general = F.when(F.col("n") > 0, F.log((F.col("n") - discount) / max(n, 1))).otherwise(F.col(f"l_{k}") + to_new[k])
+        pieces_log = F.col(f"l_{k}") + to_lattice
+        general = F.when(F.col("n") > 0, F.log((F.col("n") - discount) / max(n, 1) + F.exp(pieces_log))).otherwise(pieces_log)
         count, m = F.col(f"n_{k}"), once_in[k]
         log = F.when(count > 0, F.log(count + m * F.exp(general))).otherwise(math.log(m) + general)
         return ((log - math.log(in_class[k] + m)) / ten).alias(f"p_{k}")
@@ -376,7 +375,7 @@ def score_documents(docs: DataFrame, model: str | None = None, rounds: int = ROU
         return np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
 
     general_end = (n_docs - discount) / n if n_docs else 0.0
-    end_p = [(c + m * (general_end or math.exp(e))) / (t + m) for c, m, t, e in zip(class_docs, once_in, in_class, log_p[:, -1], strict=True)]
+    end_p = [(c + m * (general_end + math.exp(e + to_lattice))) / (t + m) for c, m, t, e in zip(class_docs, once_in, in_class, log_p[:, -1], strict=True)]
     end = [float(base(float(n_docs))), *map(math.log10, end_p)]
     measures = ["base_score", *sums_of]
     counted_names = ["key", "doc_id", "held_out", "hash", "n_tokens", "n_known", *measures]

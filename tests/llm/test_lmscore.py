@@ -91,3 +91,12 @@ def test_probabilities_of_short_texts_stay_below_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean")
     got = lmscore.score_documents(docs).where("doc_id >= 100").collect()
     assert 0 < sum(10**r.score for r in got) < 1
+
+
+def test_known_words_see_their_segmentations(spark):
+    """Words of equal counts differ by their lattices."""
+    rows = [(0, "nation", "en", False), (1, "qzxvjk", "en", False), (2, "other words other words", "en", False), (10, "nation", "en", True), (11, "qzxvjk", "en", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean")
+    got = {r.doc_id: r for r in lmscore.score_documents(docs).collect()}
+    assert got[10].n_known == got[11].n_known == 2 and got[10].base_score == got[11].base_score
+    assert got[10].score > got[11].score
