@@ -58,11 +58,11 @@ def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches with a ``text`` column in parts of about ``CHUNK_BYTES``, each with its bytes and offsets."""
+def by_chunk(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with a ``text`` column in parts of about ``most`` bytes, each with its bytes and offsets."""
     for batch in batches:
         data, offs = flat(batch.column("text"))
-        for lo, hi in chunks(offs):
+        for lo, hi in chunks(offs, most):
             yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
 
 

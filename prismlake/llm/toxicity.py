@@ -1,24 +1,27 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine, found exactly with a block-max inverted index.
 
-Terms are words of letters and digits (A-Z lower-cased) and their first 4, 5 and 6 bytes, which catch inflected
-forms. The vocabulary is every term of the labelled examples, so an example's vector has all its terms. Terms that
-tell the examples apart weigh ``TELLING`` times as much: those most of whose examples have label 1, too many for
-chance (binomial tail; ``ALPHA`` such terms are expected by accident among all that are frequent enough to be told
-from chance at all), at most ``TERMS``. Document frequencies come from all documents, whole texts.
-
-The examples are at most ``EXAMPLES`` labelled training rows (chosen by a hash of the id where there are more),
-so vocabulary, examples and index are of bounded size and are broadcast. Postings lie in blocks of ``BLOCK``
-examples; for each text the blocks' best possible cosine orders them, and blocks below the k-th best cosine
-found are never opened, which leaves the exact k nearest (ties by example number). Terms that at least a ``COMMON``
-part of the examples has lie in a dense matrix instead, whose products are made for some texts at a time and
-enter the bounds exactly. The score is the vote of the nearest, weighted by squared cosine, with the training rate
-as one more vote; a text without any term of an example has the rate of examples without terms. The nearest
-examples' ids are the evidence.
+Terms are words of letters and digits (A-Z lower-cased). The vocabulary is every word of the labelled examples, so
+an example's vector has all its words. Besides, a word's first 4, 5 or 6 bytes are a term where they tell the
+examples apart, which catches inflected forms. Terms that tell the examples apart weigh ``TELLING`` times as much:
+those most of whose examples have label 1, too many for chance (binomial tail; ``ALPHA`` such terms are expected by
+accident among all that are frequent enough to be told from chance at all), at most ``TERMS``. Document frequencies
+come from all documents, whole texts.
+
+The examples are at most ``EXAMPLES`` labelled training rows of at most ``EXAMPLE_BYTES`` together (chosen by a hash
+of the id where there are more), so vocabulary, examples and index are of bounded size and are broadcast. Like
+examples stand together in clusters, and in these in blocks of ``BLOCK``. A term that at least a ``COMMON`` part of a
+cluster has lies there in a dense matrix, whose products with some texts at a time enter the sums as they are; all
+others lie in postings cut into blocks with their greatest weights. The k-th best of the blocks' sums so far is a floor
+for the k-th best cosine; blocks whose sums and greatest weights can't reach it are never opened. What the opened ones
+leave above the floor is summed again in double precision, so that the k nearest are exact (ties by example
+number) and don't depend on the texts beside. The score is the vote of the nearest, weighted by closeness over
+distance, with the training rate as one more vote; a text without any term of an example has the rate of examples
+without terms. The nearest examples' ids are the evidence.
 
 Defined cases: null and empty texts have no terms; examples without text or label are left out; of
-contradicting labels for one doc_id the toxic one counts; without any example of label 1 every score is the
-training rate (0 without examples); rows that repeat a doc_id are scored each for itself; an empty table gives
-no rows; other columns are kept by ``reject`` and ignored by ``score``.
+contradicting labels for one doc_id the toxic one counts, of its texts the least; without any example of label 1 every
+score is the training rate (0 without examples); rows that repeat a doc_id are scored each for itself; an empty table
+gives no rows; other columns are kept by ``reject`` and ignored by ``score``.
 """
 
 from __future__ import annotations
@@ -37,16 +40,35 @@ from pyspark.sql import functions as F
 from prismlake.llm import textops
 from prismlake.llm.session import table, written
 
-EXAMPLES, TERMS, ALPHA, PURE = 16384, 4096, 0.05, 0.85
-TELLING = 16  # chosen among 1 to 64 on the held-out labels of the 10,000-document set, where 16 to 64 find as many
-BLOCK, NEAREST = 64, 32
-COMMON, TOGETHER = 1 / 16, 64
+EXAMPLES, EXAMPLE_BYTES, TERMS, ALPHA, PURE = 16384, 256 << 20, 4096, 0.05, 0.85
+TELLING = 8  # chosen by leaving one training example out at a time, on the 10,000-document set
+BLOCK, NEAREST = 256, 32
+COMMON, TOGETHER, CLUSTERS, CLUSTER_ROWS = 1 / 16, 64, 8, 1024
+#: Bytes of texts scored at once: the more, the more alike are the texts whose products are made together.
+SCORED_BYTES = 4 << 20
+#: Distance that a copy counts as, so that its vote stays finite.
+NEAR = 0.01
+#: Beyond the rounding of single-precision sums of weights.
+SLACK = 1e-5
 PREFIXES = (4, 5, 6)
 _U = np.uint64
 
 
-def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of the texts and the text of each."""
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the length of each range."""
+    size = ends - starts
+    full = size > 0
+    first, last = starts[full], ends[full]
+    if not len(first):
+        return np.zeros(0, np.int64), size
+    steps = np.ones(int(size.sum()), np.int64)
+    steps[0] = first[0]
+    steps[np.cumsum(size[full][:-1])] = first[1:] - last[:-1] + 1
+    return np.cumsum(steps), size
+
+
+def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of all words and then all prefixes of the texts, the text of each, and how many are words."""
     low = textops.LOWER[data]
     starts, ends, before = textops.words(low, offs, textops.ALNUM)
     owner = np.repeat(np.arange(len(offs) - 1), np.diff(before))
@@ -55,38 +77,55 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         long = ends - starts > n
         hashes.append(textops.hash_spans(low, starts[long], starts[long] + n, seed=n))
         owners.append(owner[long])
-    return np.concatenate(hashes), np.concatenate(owners)
-
-
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
-    for part, data, offs in textops.by_chunk(batches):
-        yield part, *terms(data, offs), part.num_rows
+    return np.concatenate(hashes), np.concatenate(owners), len(starts)
 
 
 class Vocabulary:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(_U))
+    """Numbers of terms by their hashes; ``prefixes`` says whether any term is a prefix."""
+
+    def __init__(self, hashes: np.ndarray, prefixes: bool = True):
+        self.hashes, self.prefixes = np.sort(hashes.astype(_U)), prefixes
         self.shift = _U(64 - max(8, len(self.hashes).bit_length() + 1))
         heads = (self.hashes >> self.shift).astype(np.int64)
         self.first = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)  # by leading bits
         self.longest = int(np.diff(self.first).max(initial=0))
 
     def __reduce__(self):
-        return Vocabulary, (self.hashes,)
+        return Vocabulary, (self.hashes, self.prefixes)
 
-    def counts(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, term number and times of each vocabulary term in each text, in this order."""
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those that are no term."""
         head = (hashes >> self.shift).astype(np.int64)
         spot, end = self.first[head], self.first[head + 1]
-        left, good = np.flatnonzero(spot < end), np.zeros(len(hashes), bool)
+        left, out = np.flatnonzero(spot < end), np.full(len(hashes), -1, np.int64)
         for _ in range(self.longest):
             same = self.hashes[spot[left]] == hashes[left]
-            good[left[same]] = True
+            out[left[same]] = spot[left[same]]
             left = left[~same]
             spot[left] += 1
             left = left[spot[left] < end[left]]
-        pair = owner[good].astype(np.int64) * len(self.hashes) + spot[good]
-        pair, times = np.unique(pair, return_counts=True)
+        return out
+
+    def counts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term number and times of each vocabulary term in each text, in this order; each distinct word is looked up once."""
+        low = textops.LOWER[data]
+        starts, ends, before = textops.words(low, offs, textops.ALNUM)
+        owner = np.repeat(np.arange(len(offs) - 1, dtype=np.int64), np.diff(before)) * max(len(self.hashes), 1)
+        found, first, which = np.unique(textops.hash_spans(low, starts, ends), return_index=True, return_inverse=True)
+        looked = [self.numbers(found)]
+        starts, ends = starts[first], ends[first]
+        for n in PREFIXES if self.prefixes else ():
+            long = np.flatnonzero(ends - starts > n)
+            of_prefix = np.full(len(found), -1, np.int64)
+            of_prefix[long] = self.numbers(textops.hash_spans(low, starts[long], starts[long] + n, seed=n))
+            looked.append(of_prefix)
+        pairs = []
+        for number in looked:
+            if (number >= 0).any():
+                number = number[which]
+                good = number >= 0
+                pairs.append(owner[good] + number[good])
+        pair, times = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
         return pair // max(len(self.hashes), 1), pair % max(len(self.hashes), 1), times
 
 
@@ -104,23 +143,22 @@ def chance(hits: int, n: int, p: float) -> float:
 
 
 def select_terms(examples: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of texts with labels, and of those that tell the labels apart."""
+    """Hashes of all words of texts with labels, and of the words and prefixes that tell the labels apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, hashes, owner, _ in pieces(batches):
+        for part, data, offs in textops.by_chunk(batches):
+            hashes, owner, words = terms(data, offs)
             toxic = part.column("toxic").to_numpy().astype(np.int64)
             order = np.lexsort((hashes, owner))
             h, o = hashes[order], owner[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])[: len(h)]
             found, which = np.unique(h[new], return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), pa.array(np.bincount(which, minlength=len(found))), pa.array(np.bincount(which, toxic[o[new]], len(found)).astype(np.int64))],
-                ["term", "n", "hits"],
-            )
-
-    counts = examples.select(F.col("text").cast("string"), "toxic").mapInArrow(run, "term long, n long, hits long")
-    counts = written(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
-    every = counts.select("term").toArrow()["term"].to_numpy().view(_U)  # terms of `EXAMPLES` rows
+            columns = [found.view(np.int64), np.isin(found, hashes[:words]), np.bincount(which, minlength=len(found)), np.bincount(which, toxic[o[new]], len(found)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["term", "word", "n", "hits"])
+
+    counts = examples.select(F.col("text").cast("string"), "toxic").mapInArrow(run, "term long, word boolean, n long, hits long")
+    counts = written(counts.groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
+    every = counts.where("word").select("term").toArrow()["term"].to_numpy().view(_U)  # words of `EXAMPLES` rows
     if not 0 < rate < 1:
         return every, np.zeros(0, _U)
     counts = counts.where("n >= 3")
@@ -134,10 +172,32 @@ def select_terms(examples: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarr
     return every, np.array([r["term"] for r in best if chance(r["hits"], r["n"], rate) * max(tried.get(least, 1), 1) <= ALPHA], np.int64).view(_U)
 
 
-def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after another, and the length of each range."""
-    size = (ends - starts).astype(np.int64)
-    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+def clusters(vectors: list[tuple[np.ndarray, np.ndarray]], width: int = 128, rounds: int = 6) -> np.ndarray:
+    """A cluster for each vector: some rounds of spherical k-means over hashed projections, from seeds that are far apart."""
+    many = min(CLUSTERS, len(vectors) // CLUSTER_ROWS)
+    if many < 2:
+        return np.zeros(len(vectors), np.int64)
+    points = np.zeros((len(vectors), width), np.float32)
+    for i, (found, weights) in enumerate(vectors):
+        key = textops.mix(found.astype(_U))
+        points[i] = np.bincount((key % _U(width)).astype(np.int64), np.where(key >> _U(63), -weights, weights), width)
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+    seeds = [0]
+    closest = points @ points[0]
+    for _ in range(many - 1):
+        seeds.append(int(closest.argmin()))
+        closest = np.maximum(closest, points @ points[seeds[-1]])
+    centres = points[seeds]
+    for _ in range(rounds):
+        own = (points @ centres.T).argmax(axis=1)
+        centres = np.stack([points[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(many)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return own
+
+
+def floor(sums: np.ndarray, k: int) -> np.ndarray:
+    """At most the k-th greatest cosine of each row, from single-precision sums."""
+    return np.maximum(np.partition(sums, -k, axis=1)[:, -k] - SLACK, 0.0) if sums.shape[1] >= k else np.zeros(len(sums))
 
 
 class Index:
@@ -145,47 +205,76 @@ class Index:
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, rate: float, bare_rate: float, times: list[np.ndarray] | None = None):
         self.vocabulary, self.idf, self.rate, self.bare_rate = vocabulary, idf, rate, bare_rate
-        # alike vectors side by side, so that blocks differ
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), int(ids[i])))
-        self.labels, self.ids = labels[order], ids[order]
-        self.blocks = -(-len(order) // BLOCK)
+        own = clusters(vectors)
+        # alike vectors side by side, so that blocks differ; every cluster starts a block
+        order = sorted(range(len(vectors)), key=lambda i: (own[i], vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), int(ids[i])))
+        size = np.bincount(own, minlength=1)
+        self.edges = np.concatenate([[0], np.cumsum(-(-size // BLOCK))]) * BLOCK
+        self.blocks = int(self.edges[-1]) // BLOCK
+        places = np.concatenate([e + np.arange(n) for e, n in zip(self.edges, size)])
+        width = max(int(places[-1]) + 1, 1) if len(places) else 0
+        self.labels, self.ids = np.zeros(width), np.full(width, -1, np.int64)
+        self.labels[places], self.ids[places] = labels[order], ids[order]
         size = np.zeros(len(idf), np.int64)
         for found, _ in vectors:
             size[found] += 1
         self.from_ = np.concatenate([[0], np.cumsum(size)])
-        self.numbers, self.weights = np.zeros(self.from_[-1], np.min_scalar_type(len(order))), np.zeros(self.from_[-1], np.float32)
+        self.numbers, self.weights = np.zeros(self.from_[-1], np.min_scalar_type(max(width, 1))), np.zeros(self.from_[-1], np.float32)
         # with times, workers get those and make the weights from them, since they pack far better
         self.times = None if times is None else np.zeros(self.from_[-1], np.min_scalar_type(max((int(x.max()) for x in times), default=0)))
-        self.norms = None if times is None else np.array([self.raw(vectors[i][0], times[i])[1] for i in order])
+        self.norms = None if times is None else np.ones(width)
         end = self.from_[:-1].copy()
-        for number, i in enumerate(order):
+        for number, i in zip(places, order):
             found, weights = vectors[i]
             self.numbers[end[found]], self.weights[end[found]] = number, weights
             if times is not None:
                 self.times[end[found]] = times[i]
+                self.norms[number] = self.raw(found, times[i])[1]
             end[found] += 1
         self.known: dict[bytes, tuple] = {}
 
     @functools.cached_property
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """The row of each common term, -1 of others, and weights by row and example."""
-        often = np.flatnonzero(np.diff(self.from_) >= max(COMMON * len(self.ids), 1))
-        row, weights = np.full(len(self.idf), -1, np.int32), np.zeros((len(often), self.blocks * BLOCK))
-        row[often] = np.arange(len(often))
-        for r, t in enumerate(often):
-            lo, hi = self.from_[t], self.from_[t + 1]
-            weights[r, self.numbers[lo:hi]] = self.weights[lo:hi]
-        return row, weights
+    def cut(self) -> tuple[np.ndarray, ...]:
+        """Of rare terms' blocks: number, start, end and greatest weight, and where each term's start."""
+        spot = np.flatnonzero(self.dense[-1]).astype(np.int32)
+        term = np.repeat(np.arange(len(self.idf), dtype=np.int32), np.diff(self.from_))[spot]
+        block = (self.numbers[spot] // BLOCK).astype(np.int32)
+        new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])[: len(spot)])
+        start, end = spot[new], np.append(spot[new[1:] - 1], spot[-1:]) + 1  # a rare term's postings in a block stand together
+        most = np.maximum.reduceat(self.weights[spot], new) if len(new) else np.zeros(0, np.float32)
+        return block[new], start, end, most, np.searchsorted(term[new], np.arange(len(self.idf) + 1))
 
     @functools.cached_property
-    def cut(self) -> tuple[np.ndarray, ...]:
-        """Number, start, end and greatest weight of each block of each term, and where each term's blocks start."""
-        block, new = self.numbers // BLOCK, np.ones(len(self.numbers), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.from_[:-1][np.diff(self.from_) > 0]] = True
-        start = np.flatnonzero(new).astype(np.int32)
-        most = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0, np.float32)
-        return block[start], start, np.append(start[1:], len(new)).astype(np.int32), most, np.searchsorted(start, self.from_)
+    def dense(self) -> tuple:
+        """By cluster, the weights of its common terms by row and example, all in one run; by cluster and term the row's number (-1
+        of others); which terms are common anywhere; by cluster and term where the row starts in the run (0 of others, where zeros
+        stand); by term and cluster the greatest weight; and which postings are rare."""
+        n, many = len(self.idf), len(self.edges) - 1
+        term = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.from_))
+        cluster = (np.searchsorted(self.edges, self.numbers, side="right") - 1).astype(np.int8)
+        rare, parts, rows, starts = np.ones(len(term), bool), [], np.full((many, n), -1, np.int32), np.zeros((many, n), np.int32)
+        at = int(np.diff(self.edges).max(initial=0))
+        most = np.zeros((n, many), np.float32)
+        for c, (lo, hi) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
+            inside = np.flatnonzero(cluster == c)
+            own = term[inside]
+            if len(own):
+                heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                most[own[heads], c] = np.maximum.reduceat(self.weights[inside], heads)
+            often = np.flatnonzero(np.bincount(own, minlength=n) >= max(COMMON * (hi - lo), 1))
+            rows[c, often] = np.arange(len(often))
+            starts[c, often] = at + np.arange(len(often)) * (hi - lo)
+            at += len(often) * int(hi - lo)
+            parts.append((inside[rows[c, own] >= 0], len(often)))
+        flat = np.zeros(at, np.float32)
+        for c, (inside, _) in enumerate(parts):
+            flat[starts[c, term[inside]] + self.numbers[inside] - self.edges[c]] = self.weights[inside]
+            rare[inside] = False
+        matrices, at = [], int(np.diff(self.edges).max(initial=0))
+        for (_, many_rows), width in zip(parts, np.diff(self.edges), strict=True):
+            matrices.append(flat[at : at + many_rows * width].reshape(many_rows, width))
+            at += many_rows * int(width)
+        return matrices, flat, rows, (rows >= 0).any(axis=0), starts, most, rare
 
     def raw(self, found: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
         """TF-IDF weights and their norm."""
@@ -196,42 +285,62 @@ class Index:
         w, norm = self.raw(found, times)
         return w / norm
 
-    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The part of each vector's cosine with each example that comes from common terms."""
-        rows, dense = self.dense
-        asked = np.zeros((len(vectors), len(dense)))
-        for i, (found, weights) in enumerate(vectors):
-            row = rows[found]
-            asked[i, row[row >= 0]] = weights[row >= 0]
-        return asked @ dense
-
-    def nearest(self, found: np.ndarray, weights: np.ndarray, k: int = NEAREST, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, found: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first, ties by number."""
+        return self.all_nearest([(found, weights)], k)[0]
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector."""
         if not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        sums = (self.common([(found, weights)])[0] if common is None else common).copy()
-        rare = self.dense[0][found] < 0
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
         blocks, starts, ends, most, pairs = self.cut
-        pair, times = spread(pairs[found[rare]], pairs[found[rare] + 1])
-        weight, block = np.repeat(weights[rare], times), blocks[pair]
-        bound = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weight * most[pair], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, cosines, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(1, k // BLOCK + 1)
-        while at < len(order):
-            if len(best) == k and bound[order[at]] < cosines[-1] - 1e-12:
-                break
-            opened = np.zeros(self.blocks, bool)
-            opened[order[at : at + step]] = True
-            at, step = at + step, step * 4
-            some = opened[block]
-            spot, times = spread(starts[pair[some]], ends[pair[some]])
-            sums += np.bincount(self.numbers[spot], np.repeat(weight[some], times) * self.weights[spot], len(sums))
-            new = np.flatnonzero(np.repeat(opened, BLOCK) & (sums > (cosines[-1] - 1e-9 if len(best) == k else 0)))
-            best, cosines = np.concatenate([best, new]), np.concatenate([cosines, sums[new]])
-            keep = np.lexsort((best, -np.round(cosines, 12)))[:k]
-            best, cosines = best[keep], cosines[keep]
-        return best, cosines
+        matrices, flat, rows, shared, row_starts, most_in, _ = self.dense
+        n, width, out = len(vectors), self.blocks * BLOCK, []
+        found, weights = np.concatenate([f for f, _ in vectors]), np.concatenate([w for _, w in vectors]).astype(np.float32)
+        bounds = np.cumsum([0, *(len(f) for f, _ in vectors)])
+        text = np.repeat(np.arange(n), np.diff(bounds))
+        reach = np.add.reduceat(weights[:, None] * most_in[found], bounds[:-1], axis=0) + SLACK  # no cosine in the cluster is greater
+        sums, home, floors = np.zeros((n, width), np.float32), reach.argmax(axis=1), np.zeros(n)
+
+        def add(c: int, texts: np.ndarray) -> None:
+            """The common terms' part of the cosines of some texts with a cluster, in single precision."""
+            here = np.full(n, -1)
+            here[texts] = np.arange(len(texts))
+            r, at = rows[c, found], here[text]
+            there = (r >= 0) & (at >= 0)
+            asked = np.zeros((len(texts), len(matrices[c])), np.float32)
+            asked[at[there], r[there]] = weights[there]
+            used = np.flatnonzero(asked.any(axis=0))
+            # the rows that no text has are left out, where they are many enough for a copy to pay
+            sums[texts, self.edges[c] : self.edges[c + 1]] = asked @ matrices[c] if 2 * len(used) > len(matrices[c]) else asked[:, used] @ matrices[c][used]
+
+        for c in np.unique(home):
+            texts = np.flatnonzero(home == c)
+            add(c, texts)
+            floors[texts] = floor(sums[texts, self.edges[c] : self.edges[c + 1]], k)
+        opened = reach >= floors[:, None]
+        opened[np.arange(n), home] = False  # done
+        for c in np.flatnonzero(opened.any(axis=0)):
+            add(c, np.flatnonzero(opened[:, c]))
+        for i, (own, sharp) in enumerate(vectors):
+            pair, times = spread(pairs[own], pairs[own + 1])
+            weight, block = np.repeat(sharp, times), blocks[pair]
+            bound = sums[i].reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weight * most[pair], self.blocks) + SLACK
+            some = np.flatnonzero((bound >= floors[i])[block])
+            pair = pair[some]
+            spot, times = spread(starts[pair], ends[pair])
+            rare = np.bincount(self.numbers[spot], np.repeat(weight[some], times) * self.weights[spot], width).astype(float)
+            total = sums[i] + rare
+            place = np.flatnonzero(total >= max(floors[i], 1e-12))
+            place = place[total[place] >= floor(total[None, place], k)[0]]
+            # what is left again, in double precision: places before the first row are zeros
+            common = np.flatnonzero(shared[own])
+            cluster = np.searchsorted(self.edges, place, side="right") - 1
+            at = row_starts[cluster[:, None], own[common]] + (place - self.edges[cluster])[:, None]
+            cosines = rare[place] + flat[at] @ sharp[common].astype(float)
+            keep = np.lexsort((place, -np.round(cosines, 12)))[:k]
+            out.append((place[keep], cosines[keep]))
+        return out
 
     def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
         """Score and evidence for the terms and times of each text."""
@@ -240,17 +349,20 @@ class Index:
             self.known.clear()
         new = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.known and len(text[0])}
         vectors = [(f, self.vector(f, t)) for f, t in new.values()]
-        for lo in range(0, len(vectors), TOGETHER):
-            some = vectors[lo : lo + TOGETHER]
-            for key, vector, common in zip([*new][lo : lo + TOGETHER], some, self.common(some), strict=True):
-                best, cosines = self.nearest(*vector, common=common)
-                votes = cosines**2
+        order = np.arange(len(vectors))
+        if self.blocks and len(vectors):  # texts of one cluster's terms together, which leaves out the most rows
+            order = np.argsort([(w[:, None] * self.dense[-2][f]).sum(axis=0).argmax() for f, w in vectors], kind="stable")
+        named = list(new)
+        for lo in range(0, len(order), TOGETHER):
+            some = order[lo : lo + TOGETHER]
+            for i, (best, cosines) in zip(some, self.all_nearest([vectors[i] for i in some]), strict=True):
+                votes = cosines / (1 + NEAR - np.minimum(cosines, 1))
                 score = (float(votes @ self.labels[best]) + self.rate) / (float(votes.sum()) + 1)
-                self.known[key] = (min(max(score, 0.0), 1.0), self.ids[best[:5]].tolist())
+                self.known[named[i]] = (min(max(score, 0.0), 1.0), self.ids[best[:5]].tolist())
         return [self.known[key] if len(text[0]) else (self.bare_rate, []) for key, text in zip(keys, texts, strict=True)]
 
     def __getstate__(self):
-        state = {k: v for k, v in self.__dict__.items() if k not in ("dense", "cut")} | {"known": {}}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("cut", "dense")} | {"known": {}}
         if self.times is not None:
             steps = np.diff(self.numbers, prepend=self.numbers[:1] * 0)  # modulo the type's size
             packed = {"numbers": steps, "times": self.times, "from_": np.diff(self.from_).astype(np.uint16 if len(self.ids) < 1 << 16 else np.int64)}
@@ -282,16 +394,17 @@ def fit(docs: DataFrame, examples: DataFrame) -> Index:
     """An index of ``examples`` (doc_id, text, toxic), with document frequencies from all ``docs``."""
     n, hits = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = hits / n if n else 0.0
-    every, telling = select_terms(examples, rate)
-    vocabulary = Vocabulary(every)
+    words, telling = select_terms(examples, rate)
+    every = np.union1d(words, telling)
+    vocabulary = Vocabulary(every, prefixes=len(every) > len(words))
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
         total, rows = np.zeros(len(vocabulary.hashes), np.int64), 0
-        for _, hashes, owner, size in pieces(batches):
-            np.add.at(total, vocabulary.counts(hashes, owner)[1], 1)
-            rows += size
+        for part, data, offs in textops.by_chunk(batches):
+            total += np.bincount(vocabulary.counts(data, offs)[1], minlength=len(total))
+            rows += part.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], ["term", "n"])
 
@@ -304,9 +417,9 @@ def fit(docs: DataFrame, examples: DataFrame) -> Index:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
-        for part, hashes, owner, size in pieces(batches):
-            texts, found, times = vocabulary.counts(hashes, owner)
-            bounds = np.searchsorted(texts, np.arange(size + 1))
+        for part, data, offs in textops.by_chunk(batches):
+            texts, found, times = vocabulary.counts(data, offs)
+            bounds = np.searchsorted(texts, np.arange(part.num_rows + 1))
             lists = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (found, times)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "terms", "times"])
 
@@ -323,15 +436,22 @@ def fit(docs: DataFrame, examples: DataFrame) -> Index:
     return Index(vocabulary, idf, made, toxic, ids, rate, index.bare_rate, times)
 
 
-def training(docs: DataFrame, labels: DataFrame, keep: Column | None = None, most: int = EXAMPLES) -> DataFrame:
-    """doc_id, text, toxic of at most ``most`` labelled documents for which ``keep`` holds."""
+def training(docs: DataFrame, labels: DataFrame, keep: Column | None = None, most: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, toxic of labelled documents for which ``keep`` holds: at most ``most``, of at most ``most_bytes`` together."""
     chosen = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)")
     if keep is not None:
         chosen = chosen.where(keep)
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.join(docs.where("text is not null").select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # `EXAMPLES` rows
-    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # `EXAMPLES` rows
+    sizes.sort(key=lambda r: (r["h"], r["doc_id"]))
+    whole = np.searchsorted(np.cumsum([r["n"] for r in sizes]), most_bytes, side="right")
+    if whole < len(sizes):
+        some = rows.sparkSession.createDataFrame([(r["doc_id"],) for r in sizes[:whole]], "doc_id long")
+        rows = rows.join(F.broadcast(some), "doc_id", "left_semi")
+    return rows
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -340,9 +460,9 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for part, hashes, owner, size in pieces(batches):
-            texts, found, times = index.vocabulary.counts(hashes, owner)
-            bounds = np.searchsorted(texts, np.arange(size + 1))
+        for part, data, offs in textops.by_chunk(batches, SCORED_BYTES):
+            texts, found, times = index.vocabulary.counts(data, offs)
+            bounds = np.searchsorted(texts, np.arange(part.num_rows + 1))
             scores, evidence = zip(*index.scores([(found[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), strict=True)
             columns = [pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in part.schema.names if c != "text" or keep_text] + columns, names)
