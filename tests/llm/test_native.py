@@ -93,28 +93,81 @@ def test_fingerprints_are_homomorphic(spark):
     assert both == lanes["ab"] and left == lanes["a"]
 
 
+def licence_by_hand(text, templates, threshold=0.8):
+    """All passages of all templates, each word's best match, and what stands."""
+    w = words(text)
+    places = list(zip(w, w[1:]))
+    found = []
+    for number, (name, template) in enumerate(templates):
+        v = words(template)
+        own = list(zip(v, v[1:]))
+        if not own:
+            continue
+        told = [i for i, b in enumerate(own) if not (b[0] in licenses.FREQUENT and b[1] in licenses.FREQUENT)] or list(range(len(own)))
+        marks, size = {own[i] for i in told}, len(set(own))
+        hits = [i for i, b in enumerate(places) if b in marks]
+        for gap in {*licenses.GAPS, max(size // 2, 1)}:
+            while_at = 0
+            while while_at < len(hits):
+                to = while_at
+                while to + 1 < len(hits) and hits[to + 1] - hits[to] <= gap:
+                    to += 1
+                lo, hi = max(hits[while_at] - told[0], 0), min(hits[to] + len(own) - 1 - told[-1] + 2, len(w))
+                while_at = to + 1
+                grams = set(zip(w[lo:hi], w[lo + 1 : hi]))
+                n = len(grams & set(own))
+                dice = 2 * n / (len(grams) + size)
+                if dice >= threshold:
+                    found.append((3 * n - len(grams) - size, dice, -number, -lo, hi, name))
+    found = set(found)
+    best = {}
+    for m in found:
+        for place in range(-m[3], m[4]):
+            best[place] = max(best.get(place, m), m)
+    stands = [m for m in found if 2 * sum(x == m for x in best.values()) >= m[4] + m[3]]
+    if not stands:
+        return None, None, ""
+    return max(stands)[5], round(max(stands)[1], 6), ",".join(sorted({m[5] for m in stands}))
+
+
 def test_licences(spark):
-    templates = [("T1", "permission to use this software is granted"), ("T2", "permission to use that software is never granted here"), ("T3", "word"), ("none", "...")]
+    templates = [("T1", "permission to use this software is granted"), ("T2", "permission to use that software is never granted here"), ("T3", "word"), ("none", "..."), ("dull", "of the and to the"), ("T4", "never here is that software to use")]
     rng = random.Random(6)
-    vocabulary = "permission to use this that software is never granted here word and".split()
+    vocabulary = "permission to use this that software is never granted here word and of the".split()
     texts = ["\n".join(" ".join(rng.choices(vocabulary, k=rng.randint(0, 9))) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    for _ in range(40):
+        near = [rng.choice(templates)[1].split() for _ in range(2)]
+        for x in near:
+            x[rng.randrange(len(x))] = rng.choice(vocabulary)
+        texts.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) + "\n" + " ".join(near[0]) + " " + " ".join(rng.choices(["x", "y", "z"], k=rng.randint(0, 50))) + " " + " ".join(near[1]))
     texts += ["Permission to use\nthis software is granted!", "x\n\npermission to use this\nsoftware is granted\n\ny", None, "", "Word.", templates[1][1] + "\n" + templates[0][1]]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[70])], "doc_id long, text string").withColumn("licence", F.lit("own"))
+    rows = licenses.scan(docs, templates).collect()
+    assert {(r.doc_id, r.licence, r.dice, r.licences) for r in rows} == {(i, *licence_by_hand(t, templates)) for i, t in [*enumerate(texts), (None, texts[70])]}
+    assert len(rows) == len(texts) + 2 and sum(bool(r.licence) for r in rows) > 20
+    assert licenses.scan(docs.limit(0)).isEmpty() and licenses.scan(docs, []).where("licence is not null").isEmpty()
+    with pytest.raises(ValueError):
+        licenses.scan(docs, [("huge", "x" * (licenses.MOST_CHARACTERS + 1))])
 
-    def grams(t):
-        w = words(t)
-        return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} - {()}
-
-    def by_hand(t):
-        t = t or ""
-        units = [t, *t.split("\n"), *(p for p in re.split(r"\n[^\S\n]*\n\s*", t) if "\n" in p)]
-        found = [(-2 * len(grams(u) & grams(x)) / (len(grams(u)) + len(grams(x))), name) for u in units if grams(u) for name, x in templates if grams(x)]
-        good = sorted(x for x in found if -x[0] >= 0.8)
-        return (good[0][1], round(-good[0][0], 6), ",".join(sorted({n for _, n in good}))) if good else (None, None, "")
 
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.licence, r.dice, r.licences) for r in licenses.scan(docs, templates).collect()}
-    assert got == {i: by_hand(t) for i, t in enumerate(texts)}
-    assert licenses.scan(docs.limit(0)).isEmpty() and licenses.scan(docs, []).where("licence is not null").isEmpty()
+def test_real_licences(spark):
+    """Each whole licence by itself, after a copyright line, inside a long source file, reflowed, and with small changes."""
+    whole = {n: t for n, t in licenses.TEMPLATES if len(t) > 500}
+    code = "\n".join(f"def function_{i}(a, b):\n    return a * {i} + b  # some remark on number {i}" for i in range(150))
+    notices = [(n, t) for n, t in licenses.NOTICES if len(t) > 500]
+    rows = []
+    for name, text in [*whole.items(), *notices]:
+        flowed = " ".join(text.split())
+        edited = flowed.split(" ")
+        for i in range(10, len(edited), 40):
+            edited[i] = "changed"
+        commented = "\n".join(f" * {line}" for line in text.split("\n"))
+        for shape in (text, f"Copyright (c) 2020 Jane Doe\nAll rights reserved.\n\n{text}", f"{code}\n\n{text}\n\n{code}", f"{code} {flowed} {code}", " ".join(edited), f"/*\n{commented}\n */\n{code}"):
+            rows.append((len(rows), shape, name))
+    rows += [(len(rows), f"{whole['MIT']}\n\n{code}\n\n{whole['ISC']}", "ISC,MIT"), (len(rows) + 1, f"{whole['MIT']}\n\n{whole['BSD-3-Clause']}", "BSD-3-Clause,MIT")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.licence, r.licences) for r in licenses.scan(docs).collect()}
+    assert {i: got[i][1] for i, _, _ in rows} == {i: name for i, _, name in rows}
 
 
 def rewriting(turns):
