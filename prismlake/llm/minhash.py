@@ -1,11 +1,14 @@
 """Near duplicates by DartMinHash signatures, banded joining and exact verification.
 
-Elements are a text's distinct shingles of five words (A-Z lower-cased). Each element throws darts: a
+Elements are a text's distinct shingles of five words (A-Z lower-cased), weighing 1 each or, with ``counted``, as often
+as they stand in the text. Each element throws darts: a
 Poisson process over (weight, rank) seeded by the element alone, cut into regions of doubling weight. A text
 keeps the darts inside its elements' weights with rank up to a bound that falls with its total weight, so it
 looks at about t * ln(t) darts whatever its size; each dart belongs to one of ``t`` coordinates, and the
 earliest per coordinate is the signature. Equal coordinates have the weighted Jaccard similarity as their
-probability. The query gives every distinct shingle weight 1, so that this is the plain Jaccard similarity.
+probability. The query gives every distinct shingle weight 1, so that this is the plain Jaccard similarity. Weights
+that are counts make it the Jaccard similarity of multisets: exact verification and the filters below work on
+sets, so there a shingle that stands three times is three elements (shingle, copy).
 
 Equal word sequences are one class first. Signatures of the classes are cut into bands; a bucket is a band
 with its values. No bucket is expanded into all its pairs:
@@ -27,9 +30,10 @@ With 30 bands of 5 values a pair at similarity 0.8 shares no bucket with probabi
 
 Defined cases: a text of fewer than five words, but not none, has one shingle of all its words; texts
 without words (null, empty, signs only) are never near duplicates and each is its own class; rows that
-repeat a doc_id and its words fall in one class; a class is named by its least doc_id; a null doc_id is
-dropped from no table but can't name a class with others; an empty table gives no rows; extra columns are
-ignored; very long texts are hashed in one piece of memory.
+repeat a doc_id and its words fall in one class; rows with one doc_id and different texts are classed each for
+itself; a class is named by its least doc_id; a null doc_id comes after all others, so it names no class with
+others; word sequences and shingles are told by 64-bit hashes; an empty table gives no rows; extra columns are ignored;
+very long texts are hashed in one piece of memory.
 """
 
 from __future__ import annotations
@@ -99,66 +103,103 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarra
     return out.reshape(n, t)
 
 
-def distinct_shingles(data: np.ndarray, offs: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each text, their bounds, and a hash of each text's word sequence (0: no words)."""
+def distinct_shingles(data: np.ndarray, offs: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text, how often each stands there, their bounds, and a hash of each text's word sequence (0: no words)."""
     low = textops.LOWER[data]
     starts, ends, before = textops.words(low, offs, textops.ALNUM)
     hashes = textops.hash_spans(low, starts, ends)
     found, bounds = textops.shingles(hashes, before, n)
-    parts = [np.unique(found[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    parts = [np.unique(found[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     place = textops.mix(hashes + np.arange(len(hashes), dtype=_U) - np.repeat(before[:-1], np.diff(before)).astype(_U))
     sums = np.concatenate([[_U(0)], np.cumsum(textops.mix(place ^ textops.mix(hashes)))]).astype(_U)
     whole = textops.mix(sums[before[1:]] - sums[before[:-1]] + np.diff(before).astype(_U))
     whole[np.diff(before) == 0] = 0
-    return np.concatenate(parts) if parts else np.zeros(0, _U), np.cumsum([0, *map(len, parts)]), whole
+    own, times = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in ((0, _U), (1, np.int64)))
+    return own, times, np.cumsum([0, *(len(p[0]) for p in parts)]), whole
 
 
-def signed(docs: DataFrame, n: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, words_hash (null: no words) and the buckets of the text's signature (null if the batch had the words before)."""
+def copies(elements: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The sorted set of (element, copy) as hashes; a first copy is the element itself."""
+    total = int(times.sum())
+    if total == len(elements):
+        return elements
+    copy = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
+    out = np.repeat(elements, times)
+    more = copy > 0
+    out[more] = textops.mix(out[more] + copy[more].astype(_U) * _U(0x9FB21C651E98DF25))
+    return np.sort(out)
+
+
+def signed(docs: DataFrame, n: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """doc_id, text_hash, words_hash (null: no words) and the buckets of the text's signature (null if the batch had the words before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in textops.by_chunk(batches):
-            found, bounds, whole = distinct_shingles(data, offs, n)
+            found, times, bounds, whole = distinct_shingles(data, offs, n)
             hashes, new = np.unique(whole, return_index=True)
             new = new[hashes != 0]
-            own = np.concatenate([found[bounds[i] : bounds[i + 1]] for i in new]) if len(new) else found[:0]
+            own, weights = (np.concatenate([x[bounds[i] : bounds[i + 1]] for i in new]) if len(new) else x[:0] for x in (found, times))
             sizes = np.concatenate([[0], np.cumsum(np.diff(bounds)[new])])
-            signature = dart_signatures(own, np.ones(len(own)), sizes, n_bands * rows).view(np.uint64).reshape(len(new), n_bands, rows)
+            signature = dart_signatures(own, weights.astype(float) if counted else np.ones(len(own)), sizes, n_bands * rows).view(np.uint64).reshape(len(new), n_bands, rows)
             bucket = np.broadcast_to(np.arange(1, n_bands + 1, dtype=_U), (len(new), n_bands)).copy()
             for r in range(rows):
                 bucket = textops.mix(bucket * _U(31) ^ signature[:, :, r])
             buckets: list = [None] * len(whole)
             for i, values in zip(new, bucket.view(np.int64), strict=True):
                 buckets[i] = values
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(whole.view(np.int64), mask=whole == 0), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "words_hash", "buckets"]
-            )
+            columns = [part.column("doc_id"), part.column("text_hash"), pa.array(whole.view(np.int64), mask=whole == 0), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "words_hash", "buckets"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, words_hash long, buckets array<long>")
+    rows_of = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
+    return rows_of.mapInArrow(run, "doc_id long, text_hash long, words_hash long, buckets array<long>")
 
 
-def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """key (hash of the words) and the sorted distinct shingles as 8-byte hashes in one binary value."""
+def shingle_sets(texts: DataFrame, n: int = SHINGLE, counted: bool = False) -> DataFrame:
+    """key (hash of the words) and the sorted distinct shingles (with ``counted``, their copies) as 8-byte hashes in one binary value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in textops.by_chunk(batches):
-            found, bounds, whole = distinct_shingles(data, offs, n)
-            sets = [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            found, times, bounds, whole = distinct_shingles(data, offs, n)
+            sets = [copies(found[a:b], times[a:b] if counted else np.ones(b - a, np.int64)).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], ["key", "shingles"])
 
     return texts.select(F.col("text").cast("string")).mapInArrow(run, "key long, shingles binary")
 
 
-def jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, their exact similarity; the size of b and its first shingles in the order that a gives; how many shingles
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
+def as_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+        yield np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for one, two in as_sets(batch):
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(shared >= threshold * max(1, one.size + two.size - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def against_hubs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a (a hub), b, their exact similarity; the size of b and its first shingles in the order that a gives; how many shingles
     differ, a bitmap of these and how many of them share a bit with another."""
     names = ["a", "b", "similarity", "size", "prefix", "differ", "bits", "clash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for one, two in as_sets(batch):
                 own = np.isin(two, one, assume_unique=True)
                 shared = int(own.sum())
                 prefix = np.concatenate([two[~own], two[own]])[: two.size - math.ceil(threshold * two.size - 1e-9) + 1].view(np.int64)
@@ -170,10 +211,7 @@ def jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(run, "a long, b long, similarity double, size long, prefix array<long>, differ long, bits array<long>, clash long")
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, similarity double, size long, prefix array<long>, differ long, bits array<long>, clash long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,7 +220,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round every key takes the least label around it and then its label's label, so long chains halve;
     labels are written each round, and only a count reaches the driver.
     """
-    links = links.select("a", "b").union(links.select("b", "a")).distinct()
+    links = written(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = written(links.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = links.join(labels, links["b"] == labels["key"]).groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
@@ -194,10 +232,12 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("key", "component")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_class (least doc_id with the same words), class_id (least doc_id of the near-duplicate group)."""
-    marked = written(signed(docs, n, n_bands, rows))
-    firsts = marked.where("words_hash is not null").groupBy("words_hash").agg(F.min("doc_id").alias("first"))
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """doc_id, text_hash (xxhash64), text_class (least doc_id with the same words), class_id (least doc_id of the near-duplicate
+    group), and stays: whether it is the group's first text, in order of (doc_id, text_hash)."""
+    marked = written(signed(docs, n, n_bands, rows, counted))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    firsts = marked.where("words_hash is not null").groupBy("words_hash").agg(F.min(place).alias("first"))
     buckets = marked.where("buckets is not null").select(F.col("words_hash").alias("key"), F.explode("buckets").alias("bucket")).distinct()
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     buckets = written(buckets.join(crowded, "bucket"))
@@ -207,11 +247,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     hubs = buckets.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("key")).alias("k"))).alias("hub")).select("bucket", (-F.col("hub.k")).alias("hub"))
     mates = written(buckets.join(hubs, "bucket").select("bucket", "key", "hub"))
 
-    wanted = firsts.join(mates.select(F.col("key").alias("words_hash")).distinct(), "words_hash").select(F.col("first").alias("doc_id"))
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), n)
+    wanted = firsts.join(mates.select(F.col("key").alias("words_hash")).distinct(), "words_hash").select(F.col("first.text_hash").alias("__hash")).distinct()
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    sets = shingle_sets(texts.join(wanted, F.xxhash64("text") == F.col("__hash"), "left_semi"), n, counted)
     sets = written(sets.join(mates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
     pairs = mates.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    starred = written(jaccard(pairs, sets, threshold))
+    starred = written(against_hubs(pairs, sets, threshold))
     links = starred.where(F.col("similarity") >= threshold).select("a", "b")
     found = components(links)
 
@@ -241,14 +282,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     rest = ours.join(theirs, ["hub", "shingle"]).where((F.col("c_a") != F.col("c_b")) & once & enough & alike)
     rest = rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = written(jaccard(rest, sets, threshold).where(F.col("similarity") >= threshold).select("a", "b"))
+    more = written(linked(rest, sets, threshold))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     classes = firsts.join(labelled("words_hash", "component"), "words_hash", "left").select("words_hash", "first", F.coalesce("component", "words_hash").alias("component"))
     names = classes.groupBy("component").agg(F.min("first").alias("name"))
     classes = classes.join(names, "component").select("words_hash", "first", "name")
-    return marked.join(classes, "words_hash", "left").select("doc_id", F.coalesce("first", "doc_id").alias("text_class"), F.coalesce("name", "doc_id").alias("class_id"))
+    rows = marked.drop("buckets").join(classes, "words_hash", "left")
+    stays = F.col("words_hash").isNull() | (F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("text_hash") == F.col("name.text_hash")))
+    named = [F.when(F.col("words_hash").isNull(), F.col("doc_id")).otherwise(F.col(f"{c}.doc_id")) for c in ("first", "name")]
+    return rows.select("doc_id", "text_hash", named[0].alias("text_class"), named[1].alias("class_id"), stays.alias("stays"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "text_class", "class_id")

@@ -8,14 +8,15 @@ import numpy as np
 from prismlake.llm import minhash, textops
 
 
-def brute(texts, threshold=0.8):
+def brute(texts, threshold=0.8, counted=False):
     import re
 
     sets = []
     for t in texts:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        shingles = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        sets.append({(x, shingles[:i].count(x) * counted) for i, x in enumerate(shingles)})
     parent = list(range(len(texts)))
 
     def root(i):
@@ -51,6 +52,34 @@ def test_classes_match_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_counted_weights_match_brute_force(spark):
+    """Refrains: sets that are alike where multisets are not, and the reverse."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        verse, refrain = rng.choices([f"w{i}" for i in range(500)], k=40), rng.choices([f"r{i}" for i in range(60)], k=8)
+        for n in (1, 1, 2, 6, 7, 20):
+            other = list(verse)
+            other[rng.randrange(40)] = "new"
+            texts.append(" ".join((other if rng.random() < 0.5 else verse) + refrain * n))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, counted = brute(texts), brute(texts, counted=True)
+    assert plain != counted
+    for how, expected in ((False, plain), (True, counted)):
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, counted=how).collect()}
+        assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:30] + ["changed"] + base[31:])
+    rows = [(1, " ".join(base)), (5, " ".join(base)), (5, "something else that stands alone here"), (None, near), (None, near), (None, "also alone and without any name"), (7, "…"), (7, None)]
+    got = sorted(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert sorted((r.class_id, r.stays) for r in got if r.doc_id == 5) == [(1, False), (5, True)]
+    assert sorted((str(r.class_id), r.stays) for r in got if r.doc_id is None) == [("1", False), ("1", False), ("None", True)]
+    assert [r.stays for r in got if r.doc_id in (1, 7)] == [True, True, True]
+
+
 def test_hub_that_links_no_one_loses_no_link(spark):
     """A chain: each text is near only its neighbours, so no star holds the group together."""
     words = [f"w{i}" for i in range(400)]
