@@ -1,10 +1,10 @@
 """Line dedup: repeated runs of lines by a distributed suffix array, later copies deleted.
 
-Lines are ids (hashes). A run of consecutive lines with at least ``min_words`` words that stood earlier, in
+Lines are told by two 64-bit hashes and numbered. A run of consecutive lines with at least ``min_words`` words that stood earlier, in
 order of (doc_id, line), is deleted where it stands later. Repeated runs are the intervals of the suffix
 array whose suffixes share a prefix of that many words.
 
-Suffix array: prefix doubling over ranks. Ranks of runs of 2**(k+1) lines are those of the pairs (rank of the
+Suffix array: prefix doubling over ranks, from the numbers of repeated lines (any order serves as the alphabet's). Ranks of runs of 2**(k+1) lines are those of the pairs (rank of the
 first half, rank of the second half), made by a range-partitioned sort of the distinct pairs, so that ranks
 keep the suffixes' order. A run that stands only once can't be part of a repeated run and is discarded after
 each round, and a line outside any stretch of repeated lines with ``min_words`` words before the first.
@@ -14,14 +14,18 @@ one, that is one which loses the words needed if its last line, or its first, go
 enough words and a line p in it. If the lines from the run's start to p have enough words, the minimal run
 ending at p lies inside; if not, the minimal run from the start reaches beyond p and lies inside.) So
 doubling stops at the longest minimal run, and the interval with a common prefix of m lines, m between 2**k
-and 2**(k+1), is the set of suffixes with equal ranks (k, at i) and (k, at i + m - 2**k). Its least
-position is the first copy. A line's first appearance is never in a later copy, so no line is lost from the
-corpus, also where copies overlap. All groups are pre-aggregated; no task gathers one.
+and 2**(k+1), is the set of suffixes with equal ranks (k, at i) and (k, at i + m - 2**k): two ranks of one level that
+overlap say whether the longest common prefix reaches m lines, so the array needs no walk along its order. The
+interval's least position is the first copy. Later copies that go on with the same distance to their first copies are
+one maximal run, whose length is the longest common prefix of both places as far as these are first copies. A line's
+first appearance is never in a later copy, so no line is lost from the corpus, also where copies overlap. All groups
+are pre-aggregated; no task gathers one, and what a hot line is joined with is a written table, so the join can be split.
 
 Defined cases: a null text stays null, an empty one empty; lines are parted by line feeds; a text that loses
 all its lines becomes empty; the rest of a text keeps its bytes; rows with one doc_id and different texts are
 told apart and ordered by a hash of the text, and equal rows count as one document and are treated alike; a
-row without a doc_id is kept as it is; an empty table gives no rows; all other columns are kept as they are.
+row without a doc_id is kept as it is; an empty table gives no rows; all other columns are kept as they are, but for
+columns named as the new ones (n_lines, removed_lines, copies), which these replace.
 """
 
 from __future__ import annotations
@@ -60,22 +64,20 @@ def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, text_hash), and for each text its lines' ids and word counts."""
+    """doc (doc_id, text_hash), and for each text its lines' two hashes and word counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in textops.by_chunk(batches):
             starts, ends, before = lines_of(data, offs)
-            ids = textops.hash_spans(data, starts, ends, seed=1)
+            one, two = (textops.hash_spans(data, starts, ends, seed=seed).view(np.int64) for seed in (1, 2))
             heads, _, _ = textops.words(data, offs, textops.NON_SPACE)
             n_words = np.searchsorted(heads, ends) - np.searchsorted(heads, starts)
             bounds = pa.array(before, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), pa.ListArray.from_arrays(bounds, pa.array(ids.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(n_words, pa.int32()))],
-                ["doc_id", "text_hash", "ids", "n_words"],
-            )
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(one), pa.array(two), pa.array(n_words, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *lists], ["doc_id", "text_hash", "one", "two", "n_words"])
 
     rows = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, ids array<long>, n_words array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, one array<long>, two array<long>, n_words array<int>")
 
 
 def minimal_runs(n_words: list[int], least: int) -> list[tuple[int, int]]:
@@ -90,13 +92,11 @@ def minimal_runs(n_words: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def stretches(lines: DataFrame, least: int) -> DataFrame:
-    """doc_id, text_hash, line, id, n_words of repeated lines in stretches of repeated lines with enough words.
-
-    A hot line is counted before it is shuffled, and joined by a join that Spark can split.
-    """
-    flat = lines.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("ids", "n_words")).alias("line", "x")).select("doc_id", "text_hash", "line", "x.ids", "x.n_words").withColumnRenamed("ids", "id")
-    repeated = flat.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    flat = flat.join(repeated, "id")
+    """doc_id, text_hash, line, rank, n_words of repeated lines in stretches of repeated lines with enough words."""
+    flat = lines.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("one", "two", "n_words")).alias("line", "x")).select("doc_id", "text_hash", "line", "x.*")
+    repeated = flat.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = written(repeated.select("one", "two", F.monotonically_increasing_id().alias("rank")))  # written, the numbers stay
+    flat = flat.join(repeated, ["one", "two"])
     doc = Window.partitionBy("doc_id", "text_hash")
     flat = flat.withColumn("stretch", F.col("line") - F.row_number().over(doc.orderBy("line")))
     return flat.withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "stretch"))).where(F.col("total") >= least)
@@ -106,7 +106,7 @@ def double(level: DataFrame, half: int) -> DataFrame:
     """Ranks of runs of 2 * ``half`` lines that stand more than once, from those of ``half`` lines."""
     key = ["doc_id", "text_hash"]
     second = level.select(*key, (F.col("line") - half).alias("line"), F.col("rank").alias("rank2"))
-    pairs = level.select(*key, "line", F.col("rank").alias("rank1")).join(second, [*key, "line"])
+    pairs = written(level.select(*key, "line", F.col("rank").alias("rank1")).join(second, [*key, "line"]))
     ranks = pairs.groupBy("rank1", "rank2").agg(F.count("*").alias("n")).where("n > 1").select("rank1", "rank2")
     # sorted in range partitions, the row's number is a rank that keeps the order; written, it stays the same
     ranks = written(ranks.repartitionByRange("rank1", "rank2").sortWithinPartitions("rank1", "rank2").select("rank1", "rank2", F.monotonically_increasing_id().alias("rank")))
@@ -114,11 +114,12 @@ def double(level: DataFrame, half: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, start, length of the minimal runs that are later copies, and the doc_id of their first copy."""
+    """doc_id, text_hash, start, length of the minimal runs that are later copies, and the place (doc_id, text_hash, start) of their first copy."""
     key = ["doc_id", "text_hash"]
-    kept = written(stretches(line_table(docs).dropDuplicates(key), min_words).select(*key, "line", "id", "n_words", "stretch"))
+    lines = written(line_table(docs).dropDuplicates(key))
+    kept = written(stretches(lines, min_words).select(*key, "line", "rank", "n_words", "stretch"))
 
-    @F.udf("array<struct<start:int,length:int>>")
+    @F.udf("array<struct<start:int,length:int>>", useArrow=True)
     def runs_of(n_words):  # once per stretch
         return minimal_runs(n_words, min_words)
 
@@ -128,8 +129,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = written(runs.select(*key, (F.col("first") + F.col("r.start")).alias("start"), F.col("r.length").alias("length"), k.alias("k")))
     depth = runs.agg(F.max("k")).first()[0]
     if depth is None:
-        return runs.select(*key, "start", "length", F.col("doc_id").alias("first_doc"))
-    level = kept.select(*key, "line", F.col("id").alias("rank"))
+        return runs.select(*key, "start", "length", F.struct(*key, "start").alias("place"))
+    level = kept.select(*key, "line", "rank")
     levels = level.withColumn("k", F.lit(0))
     for step in range(depth):
         level = double(level, 1 << step)
@@ -142,16 +143,29 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = written(named.select(*key, "start", "length", "head", "tail"))
     place = F.struct("doc_id", "text_hash", "start")
     firsts = named.groupBy("length", "head", "tail").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(firsts, ["length", "head", "tail"]).where(place > F.col("place")).select(*key, "start", "length", F.col("place.doc_id").alias("first_doc"))
+    return named.join(written(firsts), ["length", "head", "tail"]).where(place > F.col("place")).select(*key, "start", "length", "place")
+
+
+def maximal(runs: DataFrame) -> DataFrame:
+    """Runs that go on with the same distance to their first copies as one: doc_id, text_hash, start, length, from_doc, from_start."""
+    key = ["doc_id", "text_hash"]
+    source = [F.col("place.doc_id").alias("from_doc"), F.col("place.text_hash").alias("from_hash"), (F.col("place.start") - F.col("start")).alias("shift")]
+    runs = runs.select(*key, *source, "start", (F.col("start") + F.col("length")).alias("end"))
+    along = Window.partitionBy(*key, "from_doc", "from_hash", "shift").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
+    runs = runs.groupBy(*key, "from_doc", "from_hash", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.select(*key, "start", (F.col("end") - F.col("start")).alias("length"), "from_doc", (F.col("start") + F.col("shift")).alias("from_start"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies deleted from ``text``, and n_lines, removed_lines (array of line numbers from 0) and
-    copied_from (array of the doc_ids that keep the first copies)."""
-    runs = written(repeated_runs(docs, min_words))
-    sources = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("first_doc")).alias("__sources"))  # at most one for each of its runs
-    gone = runs.select("doc_id", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("line")).distinct()
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("__gone")).join(sources, ["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    copies (array of the maximal repeated runs: start, length, and from_doc and from_start of the copy that stays)."""
+    runs = written(maximal(repeated_runs(docs, min_words)))
+    key = ["doc_id", "text_hash"]
+    sources = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "length", "from_doc", "from_start"))).alias("__copies"))  # at most one for each of its lines
+    gone = runs.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("line")).distinct()
+    gone = gone.groupBy(*key).agg(F.sort_array(F.collect_list("line")).alias("__gone")).join(sources, key).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     rows = docs.withColumn("__text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     removed = F.coalesce("__gone", F.array().cast("array<int>"))
 
@@ -163,9 +177,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
 
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.withColumns({"text": without("text", "__gone"), "n_lines": n_lines.cast("long"), "removed_lines": removed, "copied_from": F.coalesce("__sources", F.array().cast("array<bigint>"))}).drop("__id", "__hash", "__text_hash", "__gone", "__sources")
+    copies = F.coalesce("__copies", F.array().cast("array<struct<start:int,length:int,from_doc:bigint,from_start:int>>"))
+    return rows.withColumns({"text": without("text", "__gone"), "n_lines": n_lines.cast("long"), "removed_lines": removed, "copies": copies}).drop("__id", "__hash", "__text_hash", "__gone", "__copies")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "text", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "copied_from")
+    return rows.select("doc_id", "text", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_distinct("copies.from_doc").alias("copied_from"), "copies")

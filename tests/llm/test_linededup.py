@@ -29,7 +29,15 @@ def test_against_brute_force(spark):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         rows = linededup.dedup_lines(docs, 8).collect()
         got = {r.doc_id: (list(r.removed_lines), r.text) for r in rows}
-        assert all(bool(r.copied_from) == bool(r.removed_lines) and all(d <= r.doc_id for d in r.copied_from) for r in rows)
+        for r in rows:
+            lines = texts[r.doc_id].split("\n")
+            covered = set()
+            for c in r.copies:
+                source = texts[c.from_doc].split("\n")[c.from_start : c.from_start + c.length]
+                assert (c.from_doc, c.from_start) < (r.doc_id, c.start) and lines[c.start : c.start + c.length] == source
+                assert sum(len(x.split()) for x in source) >= 8
+                covered |= set(range(c.start, c.start + c.length))
+            assert sorted(covered) == list(r.removed_lines)
         assert [got[i] for i in range(len(texts))] == brute(texts, 8)
 
 
@@ -40,3 +48,10 @@ def test_edge_cases(spark):
     got = sorted((r.doc_id or 0, r.text or "", r.line) for r in linededup.dedup_lines(docs).collect())
     assert got == sorted([(1, "", "x"), (2, "", "x"), (3, long, "y"), (3, long, "y"), (4, "rest", "z"), (0, long, "z"), (5, "rest\n" + "\n" * 5, "z")])
     assert linededup.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_runs_are_maximal(spark):
+    block = "\n".join(f"line number {i} of a long passage that stands twice" for i in range(40))
+    docs = spark.createDataFrame([(1, f"a\n{block}\nb"), (2, f"c\nd\n{block}\ne"), (3, block)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(c) for c in r.copies] for r in linededup.dedup_lines(docs).collect()}
+    assert got == {1: [], 2: [(2, 40, 1, 1)], 3: [(0, 40, 1, 1)]}
