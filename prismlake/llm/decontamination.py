@@ -1,13 +1,13 @@
 """Benchmark decontamination by a prefix-filtered join of shingles, in DataFrame operations only.
 
-Every item is cut into windows of ten words (an item of fewer words is one window). A window must occur
-whole, so all its shingles of five words are needed, and one of them, the rarest in the corpus, is enough as
-its prefix. Documents are shingled once; only shingles that some window has go on. Each window then joins by
-its rarest shingle, the length and position bounds drop places where the window would not fit, and the
-window's first and last shingle, which together hold all its words, must stand at their places.
+Every item is cut into windows of ten words (an item of fewer words is one window). A window must occur whole, so
+all its shingles of five words are needed, and one of them is enough as its prefix: the one with the rarest word, by
+the words' counts in all documents. Documents are shingled once and joined with the windows' prefixes alone. The
+length and position bounds drop places where the window would not fit, and the window's words are compared with the
+document's around the place.
 
-The shingles of the benchmark are broadcast while they are fewer than ``BROADCAST_SHINGLES``; beyond that
-Spark shuffles them. The words themselves are compared, not only their hashes.
+The prefixes are broadcast while their windows hold at most ``BROADCAST_CHARACTERS``; beyond that Spark shuffles
+shingles with the words around them (at most twice a window).
 
 Defined cases: null text has no words and no hit; rows that repeat a doc_id are searched each for itself
 (text hash beside the id); repeated rows and items count once in each result; an empty benchmark hits
@@ -16,8 +16,6 @@ nothing; an empty ``documents`` gives no rows; a null doc_id is an id; extra col
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ from prismlake.llm.session import table, written
 
 WINDOW = 10
 SHINGLE = 5
-BROADCAST_SHINGLES = 500_000
+BROADCAST_CHARACTERS = 64_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,56 +42,64 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i, size))).alias("window")).distinct()
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Where the benchmark's windows occur, as doc_id, text_hash, start (from 0), size, window; and the items of each window."""
+def prefixes(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
+    """window, size, k (words of its shingles), h (the hash of its rarest shingle) and at (where it stands in the window)."""
+    needed = windows.select(F.explode("window").alias("word")).distinct()
+    counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = needed.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    size = F.size("window")
+    counted = windows.select("window", F.posexplode("window").alias("place", "word")).join(counts, "word")
+    counted = counted.groupBy("window").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("counts"))  # a window's words
+    k = F.least(size, F.lit(shingle))
+    ranked = F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.struct(F.array_min(F.slice("counts", i, k)).alias("n"), (i - 1).alias("at")))
+    chosen = counted.select("window", size.alias("size"), k.alias("k"), F.array_min(ranked)["at"].alias("at"))
+    return chosen.select("*", F.xxhash64(F.slice("window", F.col("at") + 1, F.col("k"))).alias("h"))
+
+
+def places(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """For each document a row doc_id, text_hash, n_words, and one more with start (from 0), size and window for each occurrence of
+    a window; and the windows of each item."""
     items = written(item_windows(benchmark, window))
-    size = F.least(F.size("window"), F.lit(shingle))
-    parts = (
-        items.select("window").distinct()
-        .select("window", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("window") - size + 1), lambda i: F.slice(F.col("window"), i, size))).alias("at", "shingle"))
-    )
-    wanted = parts.select("shingle").distinct().select("shingle", F.size("shingle").alias("k"), F.xxhash64("shingle").alias("h"))
-    sizes = {r["k"]: r["n"] for r in wanted.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most `shingle` rows
-    if sum(sizes.values()) <= BROADCAST_SHINGLES:
-        wanted = F.broadcast(wanted)
-
-    text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
-
-    def shingled(k: int) -> DataFrame:
-        # rows, not array functions: exploding, slicing, hashing and joining then run in one generated loop
-        rows = text.where(F.size("words") >= k)
-        rows = rows.select("doc_id", "text_hash", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - k + 1)).alias("place", "word"))
-        found = F.slice("words", F.col("place") + 1, k)
-        return rows.select("doc_id", "text_hash", F.size("words").alias("n_words"), "place", F.xxhash64(found).alias("h"), found.alias("found"))
-
-    none = text.where("false").select("doc_id", "text_hash", F.lit(0).alias("n_words"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("h"), F.col("words").alias("found"))
-    places = reduce(DataFrame.unionByName, map(shingled, sorted(sizes)), none)
-    places = places.join(wanted, "h").where(F.col("found") == F.col("shingle"))
-    places = written(places.select("doc_id", "text_hash", "n_words", "place", "shingle"))
-
-    rarity = places.groupBy("shingle").agg(F.count("*").alias("n"))
-    whole = F.size("window") - F.size("shingle") + 1
-    prefixes = (
-        parts.join(rarity, "shingle")
-        .groupBy("window").agg(F.min(F.struct("n", "at", "shingle")).alias("rarest"), F.count("*").alias("have"), F.max(whole).alias("need"))
-        .where("have = need").select("window", "rarest.at", "rarest.shingle", F.size("window").alias("size"))
-    )
+    own = written(prefixes(docs, items.select("window").distinct(), shingle))
+    sizes = sorted(r["k"] for r in own.select("k").distinct().collect())  # at most `shingle` rows
+    held = own.agg(F.sum(F.length(F.concat_ws(" ", "window")))).first()[0] or 0
+    small = held <= BROADCAST_CHARACTERS
+
+    n = F.col("n_words")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    # rows, not array functions: exploding, slicing, hashing and joining then run in one generated loop; place -1 is the document's own row
+    rows = rows.select("*", F.explode(F.sequence(F.lit(-1), n - 1)).alias("place"))
+    hashes = [F.struct(F.lit(k).alias("k"), F.when((F.col("place") >= 0) & (F.col("place") + k <= n), F.xxhash64(F.slice("words", F.greatest(F.col("place") + 1, F.lit(1)), k))).alias("h")) for k in sizes]
+    low, around = F.lit(0), F.col("words")
+    if not small:
+        low = F.greatest(F.col("place") - window, F.lit(0))
+        around = F.slice("words", low + 1, F.lit(2 * window))
+    rows = rows.select("doc_id", "text_hash", "n_words", "place", low.alias("low"), around.alias("around"), *([hashes[0]["k"].alias("k"), hashes[0]["h"].alias("h")] if len(sizes) == 1 else [F.explode(F.array(*hashes)).alias("x")] if sizes else [F.lit(0).alias("k"), F.lit(None).cast("long").alias("h")]))
+    if len(sizes) > 1:
+        rows = rows.select("*", "x.*").drop("x").where((F.col("place") >= 0) | (F.col("k") == sizes[0]))
     start = F.col("place") - F.col("at")
-    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-    candidates = places.join(prefixes, "shingle").where(fits).select("doc_id", "text_hash", start.alias("start"), "size", "window").distinct()
+    fits = (start >= 0) & (start + F.col("size") <= n)
+    good = F.coalesce(fits & (F.slice("around", F.greatest(start - F.col("low") + 1, F.lit(1)), F.col("size")) == F.col("window")), F.lit(False))
+    found = ["doc_id", "text_hash", "n_words", F.when(good, start).alias("start"), "size", "window"]
+    if small:  # bounded by BROADCAST_CHARACTERS
+        rows = rows.join(F.broadcast(own), ["h", "k"], "left").where(good | (F.col("place") < 0)).select(*found)
+    else:
+        alone = rows.where("place < 0").select("doc_id", "text_hash", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("window"))
+        rows = alone.unionByName(rows.where("place >= 0").join(own, ["h", "k"]).where(good).select(*found))
+    return rows, items
+
 
-    k = F.least(F.col("size"), F.lit(shingle))
-    there = places.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "place", F.col("shingle").alias("s"))
-    for at in (F.lit(0), F.col("size") - k):
-        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("start") + at == F.col("place"))
-        candidates = candidates.join(there, same & (F.slice("window", at + 1, k) == F.col("s")), "left_semi")
-    return candidates, items
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Where the benchmark's windows occur, as doc_id, text_hash, start (from 0), size, window; and the items of each window."""
+    rows, items = places(docs, benchmark, window, shingle)
+    return rows.where("start is not null").drop("n_words").distinct(), items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits, items = occurrences(docs, benchmark, window, shingle)
-    hits = written(hits)
+    rows, items = places(docs, benchmark, window, shingle)
+    rows = written(rows)
+    hits = rows.where("start is not null")
     key = ["doc_id", "text_hash"]
     spots = hits.select(*key, "start", "size").distinct()
     spots = spots.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("place")).distinct()
@@ -103,7 +109,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     per = n_hit.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(
         found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))
     ).select("d", "t", "n_hit", "n_items", "items")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    base = rows.where("start is null").select("doc_id", "text_hash", F.col("n_words").cast("long"))
+    per = written(per)
     n = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     return base.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select(
         "doc_id", "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
