@@ -1,17 +1,21 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame operations only.
 
-A text is a multiset of short paragraphs: lines, cut after a sentence's end or eight words. Each paragraph
-is hashed to a vector of 128 bits, and the fingerprint is the sum of these vectors, every lane modulo 2**32,
-beside the number of paragraphs. The sum doesn't depend on order, and a paragraph is inserted or deleted by
-adding or subtracting its vector (``add`` and ``subtract``). Two lanes share one 64-bit sum.
-
-The likeness of two fingerprints is the cosine of their lanes, centred (2 * lane - paragraphs), not below 0;
-it estimates which part of the paragraphs both have, with a standard error of about 0.09.
-
-Defined cases: null text is empty and has an empty sum, alike (1.0) to any other empty one and not at all to
-others; rows that repeat doc_id and text are one document when the next document is sought, and are all
-returned; rows with one doc_id and different texts are ordered by a hash of the text; a null doc_id comes
-first; an empty table gives no rows; extra columns are ignored.
+A text is a multiset of paragraphs: its lines, byte for byte, empty ones too. Each is hashed to a wide vector, ``WIDE``
+lanes of 32 bits, and the fingerprint is the sum of these vectors, every lane modulo 2**32, beside the number of
+paragraphs. Texts with the same paragraphs in any order have equal fingerprints; others differ but for chance
+(about 2**-1024). A paragraph is inserted or deleted by adding or subtracting its vector (``add``, ``subtract``).
+
+A second sum of the same kind tells how alike texts are: phrases (lines, cut after a sentence's end or eight words) are
+hashed to vectors of 128 bits, and the sketch is the sum of these, every lane modulo 2**32, beside the number of phrases.
+The likeness of two fingerprints is the cosine of their sketches' lanes, centred (2 * lane - phrases), not below 0; it
+estimates which part of the phrases both have, with a standard error of about 0.09. It is 1 where fingerprints are
+equal. Two lanes share one 64-bit sum.
+
+Defined cases: null text is empty and has one empty paragraph and an empty sketch, alike (1.0) to any other empty one and
+not at all to others; a text without phrases (white space only) is alike only to equal ones; rows that repeat doc_id
+and text are one document when the next document is sought, and are all returned; rows with one doc_id and different
+texts are ordered by a hash of the text; a null doc_id comes first; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,22 +25,40 @@ from pyspark.sql import functions as F
 
 from prismlake.llm.session import table, written
 
-#: At most eight words; earlier at the end of a sentence or line.
-PARAGRAPH = r"(?:[^\s]*[^\s.!?][^\S\n]+){0,7}[^\s]+"
+#: Lanes of a paragraph's vector.
+WIDE = 32
+#: A phrase: at most eight words; earlier at the end of a sentence or line.
+PHRASE = r"(?:[^\s]*[^\s.!?][^\S\n]+){0,7}[^\s]+"
 BITS = 32
 PAIR = (1 << 32) + 1
 LOW = (1 << 32) - 1
 SUMS = [f"s{h}_{b}" for h in (1, 2) for b in range(BITS)]
 
 
-def paragraphs(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
+def wide_lanes(text: Column) -> Column:
+    """The sum of the paragraphs' vectors."""
+    lines = F.split(text, "\n", -1)
+
+    def lane(number: int) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda total, line: total + F.xxhash64(F.lit(number), line).bitwiseAND(F.lit(LOW)))
+
+    return F.transform(F.array(*map(lane, range(WIDE))), lambda v: F.pmod(v, F.lit(1 << 32)))
+
+
+def n_lines(text: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def as_binary(lanes: Column) -> Column:
+    """Wide lanes, four bytes each."""
+    return F.unhex(F.array_join(F.transform(lanes, lambda v: F.lpad(F.hex(v), 8, F.lit("0"))), ""))
 
 
 def hashed(text: Column, kind: int) -> Column:
-    """The paragraphs' hashes, after one entry without any, so that texts without paragraphs keep a row."""
+    """The phrases' hashes, after one entry without any, so that texts without phrases keep a row."""
     none = F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"))
-    return F.concat(F.array(none), F.transform(paragraphs(text), lambda p: F.struct(F.lit(kind).alias("kind"), F.xxhash64(p).alias("h1"), F.xxhash64(F.lit(7), p).alias("h2"))))
+    phrases = F.regexp_extract_all(text, F.lit(PHRASE), F.lit(0))
+    return F.concat(F.array(none), F.transform(phrases, lambda p: F.struct(F.lit(kind).alias("kind"), F.xxhash64(p).alias("h1"), F.xxhash64(F.lit(7), p).alias("h2"))))
 
 
 def sums() -> list[Column]:
@@ -69,12 +91,12 @@ def unpacked(n: Column, value: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(4 * BITS - 1)), lambda i: F.conv(F.substring(text, i * digits + 1, digits), 16, 10).cast("long"))
 
 
-def as_text(n: Column, value: Column) -> Column:
-    return F.concat_ws(".", F.hex(n), F.hex(value))
+def as_text(lines: Column, wide: Column, n: Column, value: Column) -> Column:
+    return F.concat_ws(".", F.hex(lines), F.hex(wide), F.hex(n), F.hex(value))
 
 
-def likeness(n: Column, a: Column, m: Column, b: Column) -> Column:
-    """0 to 1, from two fingerprints (numbers of paragraphs and lanes) alone."""
+def likeness(n: Column, a: Column, m: Column, b: Column, equal: Column) -> Column:
+    """0 to 1, from two fingerprints alone: their numbers of phrases, sketches, and whether the rest is equal too."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -84,13 +106,17 @@ def likeness(n: Column, a: Column, m: Column, b: Column) -> Column:
 
     x, y = centred(n, a), centred(m, b)
     cosine = F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
-    return F.when((n == m) & (a == b), F.lit(1.0)).otherwise(F.least(F.greatest(F.coalesce(cosine, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    return F.when(equal & (n == m) & (a == b), F.lit(1.0)).otherwise(F.least(F.greatest(F.coalesce(cosine, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 
 
 def fingerprint(docs: DataFrame, *key: str) -> DataFrame:
-    """key, n, lanes of each text; rows with an equal key are summed, so the key should tell rows apart."""
-    rows = docs.select(*key, F.explode(hashed(F.coalesce(F.col("text"), F.lit("")), 0)).alias("p")).select(*key, "p.*")
-    return rows.groupBy(*key).agg(*sums()).select(*key, "n", lanes(F.col("sums")).alias("lanes"))
+    """key, lines and wide (number and sum of the paragraphs' vectors), n and lanes (those of the phrases'), of each text.
+
+    Rows with an equal key and text are summed in the sketch, so the key should tell rows apart.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(*key, n_lines(text).alias("lines"), wide_lanes(text).alias("wide"), F.explode(hashed(text, 0)).alias("p")).select(*key, "lines", "wide", "p.*")
+    return rows.groupBy(*key, "lines", "wide").agg(*sums()).select(*key, "lines", "wide", "n", lanes(F.col("sums")).alias("lanes"))
 
 
 #: Tells documents apart; never null, so that joins and groups share one partitioning.
@@ -135,8 +161,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - quarter), F.col("head"))
     both = rows.join(heads, KEY).withColumn("edited", edited)
-    key = [*KEY, "doc_id", "n_chars", "copies", "prev_id", "prev_text_hash", "edited_sha256"]
-    rows = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    whole = {f"{x}_wide": F.struct(n_lines(F.col(c)).alias("lines"), as_binary(wide_lanes(F.col(c))).alias("wide")) for x, c in (("own", "text"), ("edit", "edited"))}
+    key = [*KEY, "doc_id", "n_chars", "copies", "prev_id", "prev_text_hash", "edited_sha256", *whole]
+    rows = both.withColumns({"edited_sha256": F.sha2("edited", 256)} | whole)
     rows = rows.select(*key, F.explode(F.concat(hashed(F.col("text"), 0), hashed(F.col("edited"), 1))).alias("p")).select(*key, "p.*")
     per = rows.groupBy(*key, "kind").agg(*sums()).select(*key, "kind", "n", packed(F.col("n"), lanes(F.col("sums"))).alias("value"))
     own, other = (F.when(F.col("kind") == kind, F.struct("n", "value")) for kind in (0, 1))
@@ -145,12 +172,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = edited_fingerprints(table(spark, sf_dir, "documents"))
-    following = per.select(F.col("prev_id").alias("id"), F.col("prev_text_hash").alias("text_hash"), F.col("own").alias("following"))
+    following = per.select(F.col("prev_id").alias("id"), F.col("prev_text_hash").alias("text_hash"), F.col("own").alias("following"), F.col("own_wide").alias("following_wide"))
     rows = per.join(following, KEY).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     numbers = [F.col(f"{x}.n") for x in ("own", "edit", "following")]
     rows = rows.withColumns({f"{x}_lanes": unpacked(F.col(f"{x}.n"), F.col(f"{x}.value")) for x in ("own", "edit", "following")})
     n, m, k = numbers
+    told = {x: as_text(F.col(f"{x}_wide.lines"), F.col(f"{x}_wide.wide"), F.col(f"{x}.n"), F.col(f"{x}.value")) for x in ("own", "edit")}
+    same = {x: F.col("own_wide") == F.col(f"{x}_wide") for x in ("edit", "following")}
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(n, F.col("own.value")).alias("fingerprint"), as_text(m, F.col("edit.value")).alias("edited_fingerprint"),
-        likeness(n, F.col("own_lanes"), m, F.col("edit_lanes")).alias("near_edited"), likeness(n, F.col("own_lanes"), k, F.col("following_lanes")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", told["own"].alias("fingerprint"), told["edit"].alias("edited_fingerprint"),
+        likeness(n, F.col("own_lanes"), m, F.col("edit_lanes"), same["edit"]).alias("near_edited"),
+        likeness(n, F.col("own_lanes"), k, F.col("following_lanes"), same["following"]).alias("near_next"),
     )

@@ -46,32 +46,71 @@ def test_decontamination(spark):
     want = {(i, *hits_by_hand(t, items), hits_by_hand(t, items)[1] > 0) for i, t in [*enumerate(texts), (1, "other text")]}
     assert got == want
     # the shuffled form for benchmarks too large to broadcast
-    limit, decontamination.BROADCAST_SHINGLES = decontamination.BROADCAST_SHINGLES, 0
+    limit, decontamination.BROADCAST_CHARACTERS = decontamination.BROADCAST_CHARACTERS, 0
     try:
         assert {tuple(r) for r in decontamination.decontaminate(docs, bench).select("doc_id", "n_hit").collect()} == {(i, x[1]) for i, *x in want}
     finally:
-        decontamination.BROADCAST_SHINGLES = limit
+        decontamination.BROADCAST_CHARACTERS = limit
+    # windows of more than three shingles are compared whole too
+    rows = decontamination.decontaminate(spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t"), (2, "a b c d e f g h i X k l m n o p q r s t")], docs.schema), spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t")], bench.schema), window=20).collect()
+    assert {r.doc_id: r.n_hit for r in rows} == {1: 20, 2: 0}
     assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").isEmpty() and decontamination.decontaminate(docs.limit(0), bench).isEmpty()
 
 
+def fingerprint_by_hand(text):
+    """Number of lines, sums of their vectors, number of phrases and sums of theirs."""
+    import xxhash
+
+    def hashed(data, *numbers):
+        seed = 42
+        for n in numbers:
+            seed = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed)
+        return xxhash.xxh64_intdigest(data.encode(), seed)
+
+    lines = text.split("\n")
+    wide = [sum(hashed(x, i) % 2**32 for x in lines) % 2**32 for i in range(fingerprints.WIDE)]
+    phrases = re.findall(fingerprints.PHRASE, text, re.ASCII)
+    bits = [hashed(p) | hashed(p, 7) << 64 for p in phrases]
+    # lanes in the order of their storage: the low halves' of both hashes, then the high halves'
+    order = [64 * h + b + high for high in (0, 32) for h in (0, 1) for b in range(32)]
+    return len(lines), wide, len(phrases), [sum(x >> i & 1 for x in bits) for i in order]
+
+
+def likeness_by_hand(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * v - f[2] for v in f[3]] for f in (a, b))
+    norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return min(max(sum(p * q for p, q in zip(x, y)) / norm if norm else 0.0, 0.0), 1.0)
+
+
 def test_fingerprints(spark, tmp_path):
     rng = random.Random(9)
-    texts = ["\n".join(" ".join(rng.choices(["ab", "cd.", "ef", "gh!", "日本"], k=rng.randint(1, 12))) for _ in range(rng.randint(1, 9))) for _ in range(30)]
-    texts += ["", None, "one", texts[0], "x" * 5000]
+    texts = ["\n".join(" ".join(rng.choices(["ab", "cd.", "ef", "gh!", "日本", ""], k=rng.randint(1, 12))) for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    texts += ["", None, "one", texts[0], "x" * 5000, " \n", "a b\nc  d", "c  d\na b", "a b\nc d"]
     rows = list(enumerate(texts, 10))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(-1) for c in ("id", "text_hash", "copies", "edited", "own", "lines", "n")}).repartition(5)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in fingerprints.op7_document_fingerprints(spark, str(tmp_path)).collect()}
     assert len(got) == len(texts)
+
+    def told(f):
+        digits = len(f"{f[2]:X}")
+        return f"{f[0]:X}.{''.join(f'{v:08X}' for v in f[1])}.{f[2]:X}.{''.join(f'{v:0{digits}X}' for v in f[3])}"
+
+    by_hand = {}
     for k, (i, t) in enumerate(rows):
         t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
         q = len(t) // 4
         edited = t[: len(t) - q] + following[:q]
+        own, changed, after = map(fingerprint_by_hand, (t, edited, following))
+        by_hand[i] = own
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        if edited == t:
-            assert got[i].near_edited == 1 and got[i].fingerprint == got[i].edited_fingerprint
-    assert got[10].fingerprint == got[43].fingerprint and len({r.fingerprint for r in got.values()}) == len({t or "" for t in texts})
+        assert sorted(got[i].fingerprint.split(".")[3]) == sorted(told(own).split(".")[3])
+        assert got[i].fingerprint == told(own) and got[i].edited_fingerprint == told(changed)
+        assert abs(got[i].near_edited - likeness_by_hand(own, changed)) < 1e-9 and abs(got[i].near_next - likeness_by_hand(own, after)) < 1e-9
+    multisets = {i: tuple(sorted((t or "").split("\n"))) for i, t in rows}
+    assert all((got[i].fingerprint == got[j].fingerprint) == (multisets[i] == multisets[j]) for i in got for j in got)
 
 
 def test_fingerprint_edge_tables(spark, tmp_path):
@@ -86,11 +125,12 @@ def test_fingerprint_edge_tables(spark, tmp_path):
 
 def test_fingerprints_are_homomorphic(spark):
     rows = [("ab", "First part here.\nSecond one!"), ("ba", "Second one!\nFirst part here."), ("a", "First part here."), ("b", "Second one!")]
-    lanes = {r.k: r.lanes for r in fingerprints.fingerprint(spark.createDataFrame(rows, "k string, text string"), "k").collect()}
-    assert lanes["ab"] == lanes["ba"]
-    df = spark.createDataFrame([(lanes["a"], lanes["b"], lanes["ab"])], "a array<long>, b array<long>, ab array<long>")
-    both, left = df.select(fingerprints.add(F.col("a"), F.col("b")), fingerprints.subtract(F.col("ab"), F.col("b"))).first()
-    assert both == lanes["ab"] and left == lanes["a"]
+    found = fingerprints.fingerprint(spark.createDataFrame(rows, "k string, text string"), "k").collect()
+    for lanes in ({r.k: r.lanes for r in found}, {r.k: r.wide for r in found}):
+        assert lanes["ab"] == lanes["ba"]
+        df = spark.createDataFrame([(lanes["a"], lanes["b"], lanes["ab"])], "a array<long>, b array<long>, ab array<long>")
+        both, left = df.select(fingerprints.add(F.col("a"), F.col("b")), fingerprints.subtract(F.col("ab"), F.col("b"))).first()
+        assert both == lanes["ab"] and left == lanes["a"]
 
 
 def licence_by_hand(text, templates, threshold=0.8):
