@@ -1,15 +1,21 @@
-"""Token counts that follow edits.
-
-A document's text is kept as its pre-tokens (the tokenizer's own regular expression cuts them, and no token
-crosses a cut) with a segment tree over their token counts. An edit replaces a range of characters: cutting
-starts again at the last pre-token edge at least two characters before the edit, since a cut depends on at most
-the two characters after it, and stops at the first new edge after the edit that is also an old edge, from
-where the text is the same. Only the pre-tokens in between are encoded; the tree gets their counts and
-the sums above them, and is rebuilt only when pre-tokens came or went.
-
-Defined cases: null text is empty and counts 0; edits are clipped to the text; an empty edit changes nothing;
-rows that repeat a doc_id are counted each for itself; an empty table gives no rows; extra columns are ignored;
-of very long texts only the region of the edit is encoded again.
+"""Token counts that follow edits, by a kept tree of pre-tokens for each document.
+
+The tokenizer's own regular expression cuts a text into pre-tokens, and no token crosses a cut; an added token of the
+tokenizer's file (as ``<|endoftext|>``) is a pre-token of one token. A tree over the pre-tokens has some of them, with
+their text, in each leaf, and in each node the sums of characters, tokens and pre-tokens below. ``build`` makes a
+table of such trees, ``apply`` takes the table and edits and gives the table after them, and ``totals`` reads the counts.
+
+An edit replaces a range of characters: cutting starts again at the last edge that the edit can't have changed, since a
+cut depends on at most ``context`` characters after it, and stops at the first new edge after the edit that is also an
+old edge, from where the text is the same. Only the pre-tokens in between are encoded; their leaves are replaced, and
+the sums of the nodes above are updated, some for each level. Nodes that grow too wide are split, so that an edit
+costs its own length and the tree's height, not the document's length. In the table a tree is its leaves in order; the
+nodes above come back from the leaves' sums.
+
+Defined cases: null text is empty and counts 0; edits are clipped to the text; an empty edit changes nothing; a null
+edit or place counts as none or 0; rows that repeat a doc_id are counted each for itself; an empty table gives no
+rows; ``build`` keeps all other columns (a column named ``tree`` is replaced) but the text, which is in the tree; of very
+long texts only the region of the edit is encoded again.
 """
 
 from __future__ import annotations
@@ -18,58 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm.packing import Encoder
-from prismlake.llm.session import table
+from prismlake.llm.session import small_batches, table, written
 
-#: Characters before an edit on which a cut may still depend.
-CONTEXT = 2
+#: Pre-tokens of a leaf and children of a node, at most twice as many.
+LEAF, FAN = 256, 16
 #: Pre-tokens whose counts one Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 300_000
 
-
-class SegmentTree:
-    """Sums over a list of counts in a heap array; leaf i stands at ``width + i``."""
-
-    def __init__(self, counts: list[int]):
-        self.width = 1 << max(0, (len(counts) - 1).bit_length())
-        level = np.zeros(self.width, np.int64)
-        level[: len(counts)] = counts
-        levels = [level]
-        while len(level) > 1:
-            level = level[::2] + level[1::2]
-            levels.append(level)
-        self.sums = np.concatenate([[0], *levels[::-1]])
-
-    def total(self) -> int:
-        return int(self.sums[1])
-
-    def set(self, start: int, counts: list[int]) -> int:
-        """Sets leaves from ``start`` on; returns how many sums it touched."""
-        low, high, touched = self.width + start, self.width + start + len(counts) - 1, 0
-        if not counts:
-            return 0
-        self.sums[low : high + 1] = counts
-        while low > 1:
-            low, high = low // 2, high // 2
-            self.sums[low : high + 1] = self.sums[2 * low : 2 * high + 2 : 2] + self.sums[2 * low + 1 : 2 * high + 2 : 2]
-            touched += high - low + 1
-        return touched
-
-    def upto(self, n: int) -> int:
-        """Sum of the first n leaves."""
-        total, low, high = 0, self.width, self.width + n
-        while low < high:
-            if low & 1:
-                total += int(self.sums[low])
-                low += 1
-            if high & 1:
-                high -= 1
-                total += int(self.sums[high])
-            low, high = low // 2, high // 2
-        return total
+TREE = "array<struct<text:string,sizes:binary,counts:binary>>"
 
 
 class Counter:
@@ -80,8 +46,20 @@ class Counter:
 
         self.encoder = Encoder(path)
         self.cut = regex.compile(self.encoder.pattern)
+        self.added = sorted(self.encoder.special, key=len, reverse=True)
+        self.find_added = self.encoder.cut
+        self.context = max([2, *map(len, self.added)])
         self.known: dict[str, int] = {}
 
+    def pre_tokens(self, text: str) -> list[str]:
+        if self.find_added is None or not self.find_added.search(text):
+            return self.cut.findall(text)
+        out, at = [], 0
+        for m in self.find_added.finditer(text):
+            out += [*self.cut.findall(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self.cut.findall(text[at:])
+
     def counts(self, pre_tokens: list[str]) -> list[int]:
         known = self.known
         new = [p for p in set(pre_tokens) if p not in known]
@@ -90,80 +68,268 @@ class Counter:
                 known.clear()
                 new = list(set(pre_tokens))
             for p in new:
-                known[p] = len(self.encoder.plain(p)) // 4
+                known[p] = len(self.encoder.ids(p)) // 4
         return [known[p] for p in pre_tokens]
 
 
+class Node:
+    """A leaf (text, sizes and counts of pre-tokens) or an inner node (children), with sums."""
+
+    __slots__ = ("children", "text", "sizes", "counts", "chars", "tokens", "n")
+
+    def __init__(self, children: list[Node] | None = None, text: str = "", sizes: list[int] = (), counts: list[int] = ()):
+        self.children, self.text, self.sizes, self.counts = children, text, list(sizes), list(counts)
+        self.add_up()
+
+    def add_up(self) -> None:
+        if self.children is None:
+            self.chars, self.tokens, self.n = len(self.text), sum(self.counts), len(self.sizes)
+        else:
+            self.chars, self.tokens, self.n = (sum(getattr(c, x) for c in self.children) for x in ("chars", "tokens", "n"))
+
+    def halves(self) -> list[Node]:
+        """This node, or several of at most twice the usual width instead of it; none if it is empty."""
+        if not self.n:
+            return []
+        if self.children is not None:
+            if len(self.children) <= 2 * FAN:
+                return [self]
+            return [Node(self.children[i : i + FAN]) for i in range(0, len(self.children), FAN)]
+        if self.n <= 2 * LEAF:
+            return [self]
+        out, at = [], 0
+        for i in range(0, self.n, LEAF):
+            size = sum(self.sizes[i : i + LEAF])
+            out.append(Node(None, self.text[at : at + size], self.sizes[i : i + LEAF], self.counts[i : i + LEAF]))
+            at += size
+        return out
+
+    def replace(self, first: int, last: int, new: Node | None) -> list[Node]:
+        """The nodes that stand for this one after its pre-tokens [first, last) became those of the leaf ``new``."""
+        if self.children is None:
+            a, b = sum(self.sizes[:first]), sum(self.sizes[:last])
+            put = new or Node()
+            self.text = self.text[:a] + put.text + self.text[b:]
+            self.sizes[first:last], self.counts[first:last] = put.sizes, put.counts
+        else:
+            out, at = [], 0
+            for k, child in enumerate(self.children):
+                lo, hi = max(first - at, 0), min(last - at, child.n)
+                at += child.n
+                takes = new is not None and (first <= at or k == len(self.children) - 1)
+                if takes or lo < hi:
+                    out += child.replace(min(lo, child.n), max(hi, min(lo, child.n)), new if takes else None)
+                    new = None if takes else new
+                else:
+                    out.append(child)
+            self.children = out
+        self.add_up()
+        return self.halves()
+
+    def leaves(self) -> Iterator[Node]:
+        if self.children is None:
+            yield self
+        else:
+            for c in self.children:
+                yield from c.leaves()
+
+    def upto(self, n: int) -> int:
+        """Tokens of the first n pre-tokens."""
+        if self.children is None:
+            return sum(self.counts[:n])
+        total = 0
+        for c in self.children:
+            if n <= c.n:
+                return total + c.upto(n)
+            total, n = total + c.tokens, n - c.n
+        return total
+
+
+def grown(nodes: list[Node]) -> Node:
+    """One node over some."""
+    while len(nodes) > 1:
+        nodes = [Node(nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
+    root = nodes[0] if nodes else Node()
+    while root.children is not None and len(root.children) == 1:
+        root = root.children[0]
+    return root
+
+
 class CountedText:
-    """A text with its pre-token edges, counts and segment tree."""
+    """A text as a tree of its pre-tokens."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter = text, counter
-        pre_tokens = counter.cut.findall(text)
-        self.edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens)))])
-        self.tree = SegmentTree(counter.counts(pre_tokens))
-        self.n = len(pre_tokens)
+        pre_tokens = counter.pre_tokens(text)
+        counts, nodes, at = counter.counts(pre_tokens), [], 0
+        for i in range(0, len(pre_tokens), LEAF):
+            sizes = [len(p) for p in pre_tokens[i : i + LEAF]]
+            nodes.append(Node(None, text[at : at + sum(sizes)], sizes, counts[i : i + LEAF]))
+            at += sum(sizes)
+        self.counter, self.root = counter, grown(nodes)
+
+    @classmethod
+    def kept(cls, leaves: list[tuple[str, bytes, bytes]], counter: Counter) -> CountedText:
+        """The tree whose leaves a table has."""
+        self = cls.__new__(cls)
+        self.counter, self.root = counter, grown([Node(None, t, np.frombuffer(s, "<u4").tolist(), np.frombuffer(c, "<u4").tolist()) for t, s, c in leaves])
+        return self
+
+    def stored(self) -> list[tuple[str, bytes, bytes]]:
+        return [(x.text, np.array(x.sizes, "<u4").tobytes(), np.array(x.counts, "<u4").tobytes()) for x in self.root.leaves() if x.n]
+
+    @property
+    def text(self) -> str:
+        return "".join(x.text for x in self.root.leaves())
 
     @property
     def tokens(self) -> int:
-        return self.tree.total()
+        return self.root.tokens
+
+    @property
+    def n(self) -> int:
+        return self.root.n
+
+    def edge_before(self, place: int) -> tuple[int, int]:
+        """The number of the last pre-token that starts at or before a character, and where it starts."""
+        node, first, at = self.root, 0, 0
+        while node.children is not None:
+            for k, c in enumerate(node.children):
+                if place < at + c.chars or k == len(node.children) - 1:
+                    node = c
+                    break
+                first, at = first + c.n, at + c.chars
+        for size in node.sizes[:-1] if place < at + node.chars else node.sizes:
+            if place < at + size:
+                break
+            first, at = first + 1, at + size
+        return first, at
+
+    def read(self, start: int) -> Iterator[str]:
+        """The text from a character on, leaf by leaf."""
+
+        def walk(node: Node, skip: int) -> Iterator[str]:
+            if node.children is None:
+                yield node.text[skip:]
+                return
+            for c in node.children:
+                if skip < c.chars:
+                    yield from walk(c, max(skip, 0))
+                skip -= c.chars
+
+        return walk(self.root, start)
 
     def edit(self, start: int, end: int, new: str) -> int:
         """Replaces characters [start, end) by ``new``; returns how many pre-tokens were encoded."""
-        start = min(max(start, 0), len(self.text))
-        end = min(max(end, start), len(self.text))
-        if self.text[start:end] == new:
+        whole, context = self.root.chars, self.counter.context
+        start = min(max(start, 0), whole)
+        end = min(max(end, start), whole)
+        if start == end and not new:
             return 0
-        text = self.text[:start] + new + self.text[end:]
-        shift, done = len(new) - (end - start), start + len(new)
-        first = max(0, int(np.searchsorted(self.edges, start - CONTEXT, side="right")) - 1)
-        at, found, last = int(self.edges[first]), [], None
-        while at < len(text):
+        first, edge = self.edge_before(max(start - context, 0))
+        before = ""
+        for part in self.read(edge):
+            before += part
+            if edge + len(before) >= start:
+                break
+        rest, text = self.read(end), before[: start - edge] + new
+        done = len(text)  # from here on it is the old text from `end` on
+        at, found, ended, last = 0, [], False, None
+        added, find = self.counter.added, self.counter.find_added
+        held = 0
+        while True:
+            while not ended and len(text) < at + held + 2 * context:
+                part = next(rest, None)
+                ended = part is None
+                text += part or ""
             if at >= done:
-                k = int(np.searchsorted(self.edges, at - shift))
-                if k < len(self.edges) and self.edges[k] == at - shift:
-                    last = k
+                number, place = self.edge_before(end + at - done)
+                if place == end + at - done or at == len(text) and ended:
+                    last = number if place == end + at - done else self.n
                     break
-            m = self.counter.cut.match(text, at)
-            found.append(m[0])
-            at = m.end()
-        if last is None:
-            last = self.n
-        counts = self.counter.counts(found)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        if len(found) == last - first:
-            self.tree.set(first, counts)
-        else:
-            old = self.tree.sums[self.tree.width : self.tree.width + self.n]
-            self.tree = SegmentTree(np.concatenate([old[:first], counts, old[last:]]).astype(np.int64))
-        edges = self.edges[first] + np.cumsum(sizes)
-        self.edges = np.concatenate([self.edges[: first + 1], edges, self.edges[last + 1 :] + shift])
-        self.text, self.n = text, self.n + len(found) - (last - first)
+            special = next((x for x in added if text.startswith(x, at)), None)
+            if special:
+                to, sure = at + len(special), True
+            else:
+                stop = find.search(text, at) if find else None
+                m = self.counter.cut.match(text, at, stop.start() if stop else len(text))
+                to = m.end()
+                sure = ended or to + context <= len(text)
+            if not sure:  # what comes next may change the cut
+                held = max(2 * held, to - at + context, 64)
+                continue
+            found.append(text[at:to])
+            at, held = to, 0
+        sizes = [len(x) for x in found]
+        self.root = grown(self.root.replace(first, last, Node(None, "".join(found), sizes, self.counter.counts(found))))
         return len(found)
 
 
-def count_tokens(docs: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, edited_tokens, pre_tokens, recounted of rows with an array of edits (start, end, text), done in turn."""
+def path_of(tokenizer: str | None) -> str:
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    schema = "doc_id long, n_tokens long, edited_tokens long, pre_tokens long, recounted long"
+    return tokenizer
+
+
+def leaf_array(trees: list[list[tuple[str, bytes, bytes]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("text", pa.string()), ("sizes", pa.binary()), ("counts", pa.binary())]))
+    return pa.array([[dict(zip(("text", "sizes", "counts"), x, strict=True)) for x in t] for t in trees], kind)
+
+
+def build(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``docs`` with a tree instead of the text: a table to be kept."""
+    path, names = path_of(tokenizer), [c for c in docs.columns if c not in ("text", "tree")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(path)
+        for batch in batches:
+            trees = [CountedText(text.as_py() or "", counter).stored() for text in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], leaf_array(trees)], [*names, "tree"])
+
+    small_batches(docs.sparkSession)
+    kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
+    return docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string")).mapInArrow(run, f"{kept}{', ' if kept else ''}tree {TREE}")
+
+
+def apply(trees: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """The table after the edits in a column, an array of (start, end, text) done in turn, which ``recounted`` replaces:
+    the number of pre-tokens that were encoded."""
+    path, names = path_of(tokenizer), [c for c in trees.columns if c not in ("tree", edits, "recounted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = Counter(path)
         for batch in batches:
-            rows = []
-            for text, changes in zip(batch.column("text"), batch.column("edits"), strict=True):
-                kept = CountedText(text.as_py() or "", counter)
-                before, pre_tokens = kept.tokens, kept.n
-                recounted = sum(kept.edit(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in changes.as_py() or () if e)
-                rows.append((before, kept.tokens, pre_tokens, recounted))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], [x.split()[0] for x in schema.split(", ")])
-
-    kind = "array<struct<start:int,end:int,text:string>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(edits).cast(kind).alias("edits")).mapInArrow(run, schema)
+            after, recounted = [], []
+            for leaves, changes in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
+                kept = CountedText.kept([(x["text"], x["sizes"], x["counts"]) for x in leaves.as_py() or ()], counter)
+                recounted.append(sum(kept.edit(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in changes.as_py() or () if e))
+                after.append(kept.stored())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], leaf_array(after), pa.array(recounted, pa.int64())], [*names, "tree", "recounted"])
+
+    small_batches(trees.sparkSession)
+    asked = F.col(f"`{edits}`").cast("array<struct<start:int,end:int,text:string>>")
+    kept = ", ".join(f"`{c}` {t}" for c, t in trees.dtypes if c in names)
+    return trees.select(*(F.col(f"`{c}`") for c in names), "tree", asked.alias(edits)).mapInArrow(run, f"{kept}{', ' if kept else ''}tree {TREE}, recounted long")
+
+
+def total(tree: str = "tree") -> Column:
+    """The tokens of a kept tree."""
+    count = F.udf(lambda counts: [0 if c is None else int(np.frombuffer(bytes(c), "<u4").sum()) for c in counts or ()], "array<long>", useArrow=True)
+    return F.aggregate(count(F.transform(tree, lambda x: x["counts"])), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def pre_tokens(tree: str = "tree") -> Column:
+    """The pre-tokens of a kept tree."""
+    return F.aggregate(tree, F.lit(0).cast("long"), lambda a, x: a + F.floor(F.octet_length(x["sizes"]) / 4))
+
+
+def count_tokens(docs: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, edited_tokens, pre_tokens, recounted of rows with an array of edits, by way of a kept table."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col(f"`{edits}`").alias("edits"))
+    kept = written(build(rows, tokenizer))
+    before = kept.withColumns({"n_tokens": total(), "pre_tokens": pre_tokens()})
+    return apply(before, "edits", tokenizer).select("doc_id", "n_tokens", total().alias("edited_tokens"), "pre_tokens", "recounted")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
