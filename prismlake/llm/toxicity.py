@@ -219,7 +219,7 @@ class Index:
         for found, _ in vectors:
             size[found] += 1
         self.from_ = np.concatenate([[0], np.cumsum(size)])
-        self.numbers, self.weights = np.zeros(self.from_[-1], np.min_scalar_type(max(width, 1))), np.zeros(self.from_[-1], np.float32)
+        self.numbers, self.weights = np.zeros(self.from_[-1], np.min_scalar_type(max(width, 1 << 8))), np.zeros(self.from_[-1], np.float32)
         # with times, workers get those and make the weights from them, since they pack far better
         self.times = None if times is None else np.zeros(self.from_[-1], np.min_scalar_type(max((int(x.max()) for x in times), default=0)))
         self.norms = None if times is None else np.ones(width)

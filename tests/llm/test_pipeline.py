@@ -86,6 +86,60 @@ def test_stages_on_empty_and_odd_tables(spark, case):
             assert more.columns == odd.columns and more.where("gone <> 'mine' OR score <> 'mine' OR key <> 'mine'").isEmpty()
 
 
+def test_rows_that_share_ids_or_texts(spark, case):
+    """Rows go one by one: with a shared id, without one, and repeated with other columns."""
+    folder, ids, texts, passage = case
+    rng = random.Random(21)
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    near = " ".join(b.split()[:59] + ["changed"])
+    bad = texts[ids["toxic"][0]]
+    leak = f"{c} {item}"
+    rows = [
+        (1001, a, "x"), (1005, a, "x"), (1005, c, "x"), (1007, d, "x"), (1007, d, "y"), (None, b, "x"), (None, near, "x"), (None, sentence(rng, 60), "x"),
+        (1008, bad, "x"), (1008, sentence(rng, 50), "x"), (1009, leak, "x"), (1009, sentence(rng, 50), "x"), (None, leak, "x"), (None, None, "x"), (1010, None, "x"), (1010, "", "x"),
+        (1011, f"{sentence(rng, 30)}\n{passage}", "x"), (1011, f"{sentence(rng, 30)}\n{passage}", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+    def after(name, some=docs):
+        stage = dict(corpus_pipeline.STAGES)[name](spark, some, folder)
+        return sorted(((r.doc_id, r.text, r.source) for r in stage.collect()), key=str)
+
+    def but(*gone):
+        left = list(rows)
+        for r in gone:
+            left.remove(r)
+        return sorted(left, key=str)
+
+    labelled = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    assert [r for r in after("toxicity", docs.union(labelled)) if r[0] is None or r[0] >= 1000] == but((1008, bad, "x"))
+    kept = after("line_dedup")
+    copy = (1005, a, "x")  # all of it stands earlier
+    assert len(kept) == len(rows) - 1 and [r for r in kept if r[0] != 1011] == [r for r in but(copy) if r[0] != 1011]
+    left = after("minhash_near_dedup")
+    twins = [r for r in rows if r[1] in (near, b)]
+    assert sum(r in left for r in twins) == 1  # neither has an id: the lesser hash stays
+    assert left == but(copy, (1007, d, "y"), (None, leak, "x"), *(r for r in twins if r not in left))
+    assert after("benchmark_decontamination") == but((1009, leak, "x"), (None, leak, "x"))
+    packed = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, folder)
+    assert packed.where("piece = 0").count() == len(rows)
+
+
+def test_every_document_is_packed_or_dropped_by_a_stage(spark, case):
+    folder = case[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left, dropped = docs, 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, left, folder)
+        before_rows, rows = {(r.doc_id) for r in left.collect()}, after.collect()
+        assert {r.doc_id for r in rows} <= before_rows and len(rows) == len({r.doc_id for r in rows})
+        dropped += len(before_rows) - len(rows)
+        left = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, folder)
+    assert packed.where("piece = 0").count() + dropped == docs.count()
+
+
 def test_packing_is_an_exact_round_trip(spark):
     rng = random.Random(1)
     texts = [sentence(rng, rng.choice([0, 1, 5, 50, 300, 900, 2500])) for _ in range(120)] + [None, "<|endoftext|> x", texts_with_space()]
