@@ -6,7 +6,8 @@ text. A row is dropped only by a decision of its stage:
 1. toxicity: documents that the labelled examples call toxic;
 2. line dedup: later copies of repeated line runs go from the texts, and a document whose text had words and
    has none left goes;
-3. MinHash near-dedup: of each group of near duplicates the document with the least id stays;
+3. MinHash near-dedup: of each group of near duplicates the text with the least (doc_id, hash) stays, a null doc_id
+   after all others; of rows that repeat both doc_id and text, the one whose other columns come first as JSON;
 4. benchmark decontamination: documents with an occurrence of a benchmark window go;
 5. best-fit packing: the rest in sequences of at most 1024 tokens, a row for each piece.
 """
@@ -28,18 +29,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    extra = [c for c in ("n_lines", "removed_lines", "copied_from") if c in docs.columns]
+    extra = [c for c in ("n_lines", "removed_lines", "copies") if c in docs.columns]
     renamed = docs.withColumnsRenamed({c: f"__own_{c}" for c in extra})
     rows = linededup.dedup_lines(renamed)
     rows = rows.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("n_lines", "removed_lines", "copied_from").withColumnsRenamed({f"__own_{c}": c for c in extra}).select(*docs.columns)
+    return rows.drop("n_lines", "removed_lines", "copies").withColumnsRenamed({f"__own_{c}": c for c in extra}).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    decided = minhash.near_duplicates(docs).groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    decided = written(decided.withColumnsRenamed({c: f"__{c}" for c in decided.columns}))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text_hash"))
+    kept = docs.join(decided.where("__n > 1 or not __stays"), same, "left_anti")
+    repeated = docs.join(decided.where("__n > 1 and __stays"), same)
+    # of rows that repeat both doc_id and text the one whose other columns come first
+    first = repeated.groupBy("__doc_id", "__text_hash").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))).alias("__row"))
+    return kept.unionByName(first.select("__row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
