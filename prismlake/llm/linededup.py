@@ -166,7 +166,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sources = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "length", "from_doc", "from_start"))).alias("__copies"))  # at most one for each of its lines
     gone = runs.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("line")).distinct()
     gone = gone.groupBy(*key).agg(F.sort_array(F.collect_list("line")).alias("__gone")).join(sources, key).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    rows = docs.withColumn("__text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    # a merge join at every size: what a small table would save by broadcasting tells nothing about a large one
+    rows = docs.withColumn("__text_hash", F.xxhash64("text")).join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     removed = F.coalesce("__gone", F.array().cast("array<int>"))
 
     @F.udf("string", useArrow=True)
