@@ -44,8 +44,6 @@ EXAMPLES, EXAMPLE_BYTES, TERMS, ALPHA, PURE = 16384, 256 << 20, 4096, 0.05, 0.85
 TELLING = 8  # chosen by leaving one training example out at a time, on the 10,000-document set
 BLOCK, NEAREST = 256, 32
 COMMON, TOGETHER, CLUSTERS, CLUSTER_ROWS = 1 / 16, 64, 8, 1024
-#: Bytes of texts scored at once: the more, the more alike are the texts whose products are made together.
-SCORED_BYTES = 4 << 20
 #: Distance that a copy counts as, so that its vote stays finite.
 NEAR = 0.01
 #: Beyond the rounding of single-precision sums of weights.
@@ -237,7 +235,7 @@ class Index:
     def cut(self) -> tuple[np.ndarray, ...]:
         """Of rare terms' blocks: number, start, end and greatest weight, and where each term's start."""
         spot = np.flatnonzero(self.dense[-1]).astype(np.int32)
-        term = np.repeat(np.arange(len(self.idf), dtype=np.int32), np.diff(self.from_))[spot]
+        term = np.searchsorted(self.from_, spot, side="right").astype(np.int32) - 1
         block = (self.numbers[spot] // BLOCK).astype(np.int32)
         new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])[: len(spot)])
         start, end = spot[new], np.append(spot[new[1:] - 1], spot[-1:]) + 1  # a rare term's postings in a block stand together
@@ -246,35 +244,32 @@ class Index:
 
     @functools.cached_property
     def dense(self) -> tuple:
-        """By cluster, the weights of its common terms by row and example, all in one run; by cluster and term the row's number (-1
-        of others); which terms are common anywhere; by cluster and term where the row starts in the run (0 of others, where zeros
-        stand); by term and cluster the greatest weight; and which postings are rare."""
+        """By cluster, the weights of its common terms by row and example, all in one run after a zero, and where they start there; by
+        cluster and term the row's number (-1 of others); which terms are common anywhere; by term and cluster the greatest
+        weight; and which postings are rare."""
         n, many = len(self.idf), len(self.edges) - 1
-        term = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.from_))
         cluster = (np.searchsorted(self.edges, self.numbers, side="right") - 1).astype(np.int8)
-        rare, parts, rows, starts = np.ones(len(term), bool), [], np.full((many, n), -1, np.int32), np.zeros((many, n), np.int32)
-        at = int(np.diff(self.edges).max(initial=0))
-        most = np.zeros((n, many), np.float32)
-        for c, (lo, hi) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
-            inside = np.flatnonzero(cluster == c)
-            own = term[inside]
+        rare, starts, most, often = np.ones(len(cluster), bool), [1], np.zeros((n, many), np.float32), []
+        kept = []
+        for c, width in enumerate(np.diff(self.edges)):
+            inside = np.flatnonzero(cluster == c).astype(np.int32)
+            own = np.searchsorted(self.from_, inside, side="right").astype(np.int32) - 1
             if len(own):
                 heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 most[own[heads], c] = np.maximum.reduceat(self.weights[inside], heads)
-            often = np.flatnonzero(np.bincount(own, minlength=n) >= max(COMMON * (hi - lo), 1))
-            rows[c, often] = np.arange(len(often))
-            starts[c, often] = at + np.arange(len(often)) * (hi - lo)
-            at += len(often) * int(hi - lo)
-            parts.append((inside[rows[c, own] >= 0], len(often)))
-        flat = np.zeros(at, np.float32)
-        for c, (inside, _) in enumerate(parts):
-            flat[starts[c, term[inside]] + self.numbers[inside] - self.edges[c]] = self.weights[inside]
-            rare[inside] = False
-        matrices, at = [], int(np.diff(self.edges).max(initial=0))
-        for (_, many_rows), width in zip(parts, np.diff(self.edges), strict=True):
-            matrices.append(flat[at : at + many_rows * width].reshape(many_rows, width))
-            at += many_rows * int(width)
-        return matrices, flat, rows, (rows >= 0).any(axis=0), starts, most, rare
+            size = np.bincount(own, minlength=n)
+            often.append(np.flatnonzero(size >= max(COMMON * width, 1)))
+            common = size[own] >= max(COMMON * width, 1)
+            rare[inside[common]] = False
+            kept.append((inside[common], own[common]))
+            starts.append(starts[-1] + len(often[-1]) * int(width))
+        rows = np.full((many, n), -1, np.int16 if max(map(len, often), default=0) < 1 << 15 else np.int32)
+        flat, matrices = np.zeros(starts[-1], np.float32), []
+        for c, ((spot, own), width) in enumerate(zip(kept, np.diff(self.edges), strict=True)):
+            rows[c, often[c]] = np.arange(len(often[c]))
+            matrices.append(flat[starts[c] : starts[c + 1]].reshape(-1, int(width)))
+            matrices[-1][rows[c, own], self.numbers[spot] - self.edges[c]] = self.weights[spot]
+        return matrices, flat, np.array(starts), rows, (rows >= 0).any(axis=0), most, rare
 
     def raw(self, found: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
         """TF-IDF weights and their norm."""
@@ -294,7 +289,7 @@ class Index:
         if not self.blocks:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
         blocks, starts, ends, most, pairs = self.cut
-        matrices, flat, rows, shared, row_starts, most_in, _ = self.dense
+        matrices, flat, matrix_starts, rows, shared, most_in, _ = self.dense
         n, width, out = len(vectors), self.blocks * BLOCK, []
         found, weights = np.concatenate([f for f, _ in vectors]), np.concatenate([w for _, w in vectors]).astype(np.float32)
         bounds = np.cumsum([0, *(len(f) for f, _ in vectors)])
@@ -306,7 +301,7 @@ class Index:
             """The common terms' part of the cosines of some texts with a cluster, in single precision."""
             here = np.full(n, -1)
             here[texts] = np.arange(len(texts))
-            r, at = rows[c, found], here[text]
+            r, at = rows[c, found].astype(np.int64), here[text]
             there = (r >= 0) & (at >= 0)
             asked = np.zeros((len(texts), len(matrices[c])), np.float32)
             asked[at[there], r[there]] = weights[there]
@@ -333,10 +328,11 @@ class Index:
             total = sums[i] + rare
             place = np.flatnonzero(total >= max(floors[i], 1e-12))
             place = place[total[place] >= floor(total[None, place], k)[0]]
-            # what is left again, in double precision: places before the first row are zeros
+            # what is left again, in double precision
             common = np.flatnonzero(shared[own])
             cluster = np.searchsorted(self.edges, place, side="right") - 1
-            at = row_starts[cluster[:, None], own[common]] + (place - self.edges[cluster])[:, None]
+            row = rows[cluster[:, None], own[common]]
+            at = np.where(row >= 0, row * np.diff(self.edges)[cluster][:, None] + (matrix_starts[cluster] + place - self.edges[cluster])[:, None], 0)  # a zero
             cosines = rare[place] + flat[at] @ sharp[common].astype(float)
             keep = np.lexsort((place, -np.round(cosines, 12)))[:k]
             out.append((place[keep], cosines[keep]))
@@ -345,7 +341,7 @@ class Index:
     def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
         """Score and evidence for the terms and times of each text."""
         keys = [hashlib.blake2b(f.astype(np.int32).tobytes() + t.astype(np.int32).tobytes(), digest_size=16).digest() for f, t in texts]
-        if len(self.known) > 50_000:
+        if len(self.known) > 20_000:
             self.known.clear()
         new = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.known and len(text[0])}
         vectors = [(f, self.vector(f, t)) for f, t in new.values()]
@@ -460,7 +456,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for part, data, offs in textops.by_chunk(batches, SCORED_BYTES):
+        for part, data, offs in textops.by_chunk(batches):
             texts, found, times = index.vocabulary.counts(data, offs)
             bounds = np.searchsorted(texts, np.arange(part.num_rows + 1))
             scores, evidence = zip(*index.scores([(found[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), strict=True)
