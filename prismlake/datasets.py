@@ -24,7 +24,7 @@ FACES = {"mediaId": "CAST(floor(vec_id / 3) AS BIGINT)", "faceIndex": "CAST(vec_
 FACE_INDEX = {"mediaId": "mediaId", "dateModified": "mediaId % 7 + CASE WHEN mediaId % 4 = 0 THEN 1 ELSE 0 END", "modelVersion": "CASE WHEN mediaId % 9 = 0 THEN 'old' ELSE 'v1' END"}
 PHOTO_TEXT = {"mediaId": "doc_id", "text": "text", "dateModified": "doc_id % 7 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END", "modelVersion": "CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE 'v1' END"}
 HISTORY = {"id": "event_id", "query": "event_type", "timestamp": "CAST(floor(event_id * 7919 % 100003) AS BIGINT)", "searchMode": "CASE WHEN event_id % 5 = 0 THEN 'OCR' WHEN event_id % 5 = 1 THEN 'TEXT_IN_PHOTOS' WHEN event_id % 5 = 2 THEN 'HYBRID' ELSE 'NORMAL' END"}
-PEOPLE = {"id": "vec_id", "name": "'Person ' || CAST(vec_id AS STRING)", "handle": "'p_' || CAST(vec_id AS STRING)", "embedding": "embedding", "embeddingDimension": "64", "embeddingModel": "CASE WHEN vec_id % 6 = 0 THEN 'old' ELSE 'v1' END"}
+PEOPLE = {"id": "vec_id", "name": "'Person ' || CAST(vec_id AS STRING)", "handle": "'p_' || CAST(vec_id AS STRING)", "embedding": "embedding", "embeddingDimension": "64", "thumbnail": "'th_' || CAST(vec_id AS STRING)", "embeddingModel": "CASE WHEN vec_id % 6 = 0 THEN 'old' ELSE 'v1' END"}
 STORED = "mediaId % 13 <> 0"
 STORED_REVISION = "dateModified + CASE WHEN mediaId % 6 = 0 THEN 1 ELSE 0 END"
 MODEL = "v1"
@@ -42,7 +42,7 @@ VIEWS = {
     "face_index": f"SELECT {_columns(FACE_INDEX)} FROM (SELECT DISTINCT mediaId FROM faces) f",
     "photo_text": f"SELECT {_columns(PHOTO_TEXT)} FROM documents",
     "history": f"SELECT {_columns(HISTORY)} FROM events",
-    "people": f"SELECT {_columns(PEOPLE)} FROM embeddings WHERE vec_id < 40",
+    "people": f"SELECT {_columns(PEOPLE)} FROM embeddings",
     "stored": f"SELECT mediaId, {STORED_REVISION} AS dateModified, embeddingDimension FROM media WHERE {STORED} UNION ALL SELECT mediaId + 100000, dateModified, embeddingDimension FROM media WHERE mediaId % 50 = 0",
 }
 
@@ -53,7 +53,8 @@ def with_views(sql: str, *names: str) -> str:
     order: list[str] = []
     for n in names:
         order += [x for x in (*needs.get(n, ()), n) if x not in order]
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in order) + " " + sql
+    own = ", " + sql.strip().removeprefix("WITH ") if sql.strip().startswith("WITH ") else " " + sql
+    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in order) + own
 
 
 class Library:
@@ -91,7 +92,7 @@ class Library:
 
     @property
     def people(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id < 40").selectExpr(*(f"{e} AS {c}" for c, e in PEOPLE.items()))
+        return self.table("embeddings").selectExpr(*(f"{e} AS {c}" for c, e in PEOPLE.items()))
 
     @property
     def stored(self) -> DataFrame:

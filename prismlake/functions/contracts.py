@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -83,11 +83,16 @@ def matches(shape: Sequence, expected: Sequence) -> bool:
 
 def merge_list(spark: SparkSession, path: str) -> DataFrame:
     """First, second, rank of a merge list; blank and version lines don't count."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return merge_lists(spark.read.text(path, wholetext=True).select(F.lit(path).alias("file"), "value")).drop("file")
+
+
+def merge_lists(files: DataFrame) -> DataFrame:
+    """File, first, second, rank of merge lists (file, value); of a null text there are none."""
+    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     parts = F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")
-    lines = lines.where(~F.col("text").startswith("#version:") & F.col("text").rlike(r"\S")).select("line", parts.alias("parts")).where(F.size("parts") == 2)
-    rank = F.row_number().over(Window.orderBy("line")) - 1  # one file of a fixed size
-    return lines.select(F.col("parts")[0].alias("first"), F.col("parts")[1].alias("second"), rank.alias("rank"))
+    lines = lines.where(~F.col("text").startswith("#version:") & F.col("text").rlike(r"\S")).select("file", "line", parts.alias("parts")).where(F.size("parts") == 2)
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1  # within one file
+    return lines.select("file", F.col("parts")[0].alias("first"), F.col("parts")[1].alias("second"), rank.alias("rank"))
 
 
 def read_tokenizer(config: dict, vocabulary: str, merges: DataFrame) -> BytePairs:
@@ -108,6 +113,62 @@ def read_tokenizer(config: dict, vocabulary: str, merges: DataFrame) -> BytePair
     return made
 
 
+def export_tokenizer(vocabulary: DataFrame, merges: DataFrame, folder: str) -> None:
+    """D14, its text files: ``folder/vocabulary``, JSON by id of (token, id), and ``folder/merges``, lines by rank of (rank, first,
+    second) after a version line. Both tables are one tokenizer's, of a fixed size."""
+    entry = F.concat(F.to_json(F.array("token")).substr(F.lit(2), F.length(F.to_json(F.array("token"))) - 2), F.lit(": "), F.col("id").cast("string"))
+    entries = vocabulary.agg(F.sort_array(F.collect_list(F.struct("id", entry.alias("e")))).alias("x"))
+    lines = merges.agg(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(" ", "first", "second").alias("e")))).alias("x"))
+    entries.select(F.concat(F.lit("{"), F.array_join("x.e", ", "), F.lit("}"))).write.text(f"{folder}/vocabulary")
+    lines.select(F.concat(F.lit("#version: 0.2\n"), F.array_join("x.e", "\n"))).write.text(f"{folder}/merges")
+
+
+def wire_number(value: int) -> bytes:
+    out = bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def wire_message(fields: Sequence[tuple[int, int | bytes]]) -> bytes:
+    """X18, the other way: numbers and strings of bytes in the wire format of model files."""
+    out = b""
+    for number, value in fields:
+        out += wire_number(number << 3) + wire_number(value) if isinstance(value, int) else wire_number(number << 3 | 2) + wire_number(len(value)) + value
+    return out
+
+
+def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a message: numbers, and bytes of fields with a length or of 4 or 8 bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            if at >= len(data) or shift > 63:
+                raise ContractError("the message is cut off")
+            byte = data[at]
+            value, at, shift = value | (byte & 127) << shift, at + 1, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        if kind not in (1, 2, 5):
+            raise ContractError(f"unknown wire type {kind}")
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        if at + size > len(data):
+            raise ContractError("the message is cut off")
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
 @dataclass(frozen=True)
 class Output:
     name: str

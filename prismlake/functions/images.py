@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -113,11 +114,11 @@ def kernel(decode: Callable[[bytes], np.ndarray], apply: Callable[[np.ndarray],
 
 def raw_rgb(blob: bytes) -> np.ndarray:
     """The binary PPM format (P6, 8 bit), which needs no codec."""
-    head = blob.split(None, 4)
-    if len(head) < 4 or head[0] != b"P6" or head[3] != b"255":
+    head = re.match(rb"P6\s+(\d+)\s+(\d+)\s+255\s", blob)
+    if not head:
         raise ValueError("not a binary 8-bit PPM image")
     width, height = int(head[1]), int(head[2])
-    data = np.frombuffer(blob, np.uint8)[-3 * width * height :]
+    data = np.frombuffer(blob, np.uint8)[head.end() :]
     if len(data) != 3 * width * height or not width * height:
         raise ValueError("the image is cut off or empty")
     return data.reshape(height, width, 3)

@@ -26,9 +26,30 @@ def _normal(form: str) -> Callable[[Column], Column]:
 nfc, nfd = _normal("NFC"), _normal("NFD")
 
 
+def accented() -> tuple[str, str]:
+    """Characters whose decomposition is one other character and perhaps marks, and those characters."""
+    pairs = []
+    for c in map(chr, range(0xA0, 0x10000)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M"))
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, BARE = accented()
+#: What has other decompositions: Hangul and characters beyond the basic plane.
+RARE = r"[\x{1100}-\x{11FF}\x{AC00}-\x{D7AF}\x{10000}-\x{10FFFF}]"
+
+
 def fold(text: Column) -> Column:
-    """Accents and case away, everything but letters and digits to single spaces."""
-    bare = F.translate(F.lower(F.regexp_replace(nfd(text), r"\p{M}+", "")), "đ", "d")
+    """Accents and case away, everything but letters and digits to single spaces.
+
+    ASCII texts need nothing else, most others a translation of characters in the JVM; only texts with ``RARE`` characters
+    go to Python for their normal form.
+    """
+    rare = text.rlike(RARE)
+    bare = F.when(rare, nfd(F.when(rare, text))).when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ACCENTED, BARE)).otherwise(text)
+    bare = F.translate(F.lower(F.regexp_replace(bare, r"\p{M}+", "")), "đ", "d")
     return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -205,6 +226,19 @@ class BytePairs:
         return self.__dict__ | {"known": {}, "cut": None}
 
 
+def public_pairs(path: str) -> BytePairs:
+    """The tokenizer of a file of the tokenizers library whose BPE has word ends; its two added tokens are start and end."""
+    import json
+    from pathlib import Path
+
+    described = json.loads(Path(path).read_text(encoding="utf-8"))
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in described["model"]["merges"]]
+    start, end = (t["content"] for t in sorted(described["added_tokens"], key=lambda t: t["id"])[:2])
+    pattern = BytePairs.PATTERN.replace("<start_of_text>", re.escape(start)).replace("<end_of_text>", re.escape(end))
+    vocabulary = described["model"]["vocab"] | {t["content"]: t["id"] for t in described["added_tokens"]}
+    return BytePairs(vocabulary, merges, start, end, pattern=pattern)
+
+
 def token_ids(tokenizer: BytePairs):
     """A column function; the tokenizer travels once for each task."""
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,11 @@ def as_doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def as_matrix(column: pa.Array, dimension: int) -> np.ndarray:
+    """Lists of ``dimension`` doubles as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+
+
 def dot(a: Column, b: Column) -> Column:
     """V2. The sizes must be equal: filter on them first, since a shorter side would count as nulls."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

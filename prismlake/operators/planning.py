@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.schemas import FACE_MODEL, TEXT_MODEL
+from prismlake.sources.tables import scratch
 
 
 def _differs(name: str) -> Column:
@@ -87,14 +88,20 @@ class Stage:
     counts_failures: bool  # R10: whether failures count as processed
 
 
-def run_stages(current: DataFrame, stages: list[Stage]) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Each stage's good rows, and a progress row for each; an unavailable model ends only its own stage."""
+def run_stages(current: DataFrame, stages: list[Stage], folder: str | None = None) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Each stage's good rows, and a progress row for each; an unavailable model ends only its own stage.
+
+    What a stage makes is written once, to ``folder`` (a shared one), and read for its failures and its rows.
+    """
+    folder = folder or scratch(current.sparkSession)
     total, good, progress = current.count(), {}, []
     for i, stage in enumerate(stages, 1):
         pending = stage.pending(current)
         n = pending.count()
         try:
-            done = stage.process(pending)
+            made = stage.process(pending)
+            made.write.parquet(f"{folder}/{stage.name}")
+            done = current.sparkSession.read.schema(made.schema).parquet(f"{folder}/{stage.name}")
             failed = done.where("result.error is not null").count()
             good[stage.name] = split_errors(done)[0]
             status, error = ("INTERRUPTED" if failed else "COMPLETE"), None

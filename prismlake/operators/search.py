@@ -6,8 +6,11 @@ is a heap for each partition and a merge. Sides that grow with the library are j
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,11 @@ from prismlake.functions.scalars import filter_time, rank_time
 from prismlake.operators.store import valid_children
 from prismlake.plans.query import Filters, Query
 from prismlake.schemas import FACE_MODEL, TEXT_MODEL
+from prismlake.sources.tables import Store
+
+
+#: Bytes of query vectors that a worker holds at once.
+BLOCK_BYTES = 64 << 20
 
 
 def candidates(media: DataFrame, filters: Filters) -> DataFrame:
@@ -43,6 +51,31 @@ def words_of(photo_text: DataFrame) -> DataFrame:
     return photo_text.select("mediaId", F.explode(text.tokens(F.col("searchText"))).alias("word"))
 
 
+class TextIndex:
+    """The full-text index as a kept table (D12): postings in files sorted by word, and the folded texts' ids.
+
+    ``postings`` reads only the row groups of the words that are asked for, by their statistics. Postings lie in buckets
+    by photo as all tables of a ``Store``, so a change rewrites the buckets of the photos it touches, in the version that
+    has their texts.
+    """
+
+    NAME = "text_postings"
+
+    def __init__(self, tables: Store):
+        self.tables = tables
+
+    def rebuilt(self, photo_text: DataFrame) -> dict[str, DataFrame]:
+        """The table to publish with new or changed texts (of whole buckets)."""
+        return {self.NAME: words_of(photo_text)}
+
+    def postings(self, words: Sequence[str]) -> DataFrame:
+        return self.tables.read(self.NAME).where(F.col("word").isin(list(words)))
+
+    def matches(self, words: Sequence[str]) -> DataFrame:
+        """Ids of photos whose text has every word."""
+        return text_matches_by_postings(self.tables.read(self.NAME), words)
+
+
 def text_matches(photo_text: DataFrame, media: DataFrame, words: Sequence[str], model: str = TEXT_MODEL) -> DataFrame:
     """Ids of photos whose valid text has every word."""
     valid = valid_children(photo_text, media, model)
@@ -104,6 +137,8 @@ def search(media: DataFrame, query: Query, photo_faces: DataFrame | None = None,
         if photo_faces is None:
             raise ValueError("face search is unavailable")
         match = face_functions.match_one(query.people[0], query.face_threshold) if len(query.people) == 1 else face_functions.match_all(query.people, query.face_threshold)
+        # only faces of photos that passed so far are matched
+        photo_faces = photo_faces.join(rows.select("mediaId"), "mediaId", "left_semi")
         matched = photo_faces.where(F.size("faces") >= len(query.people)).select("mediaId", match(F.col("faces")).alias("_face")).where("_face is not null")
         rows, face_score = rows.join(matched, "mediaId"), F.col("_face")
     if query.vector is not None:
@@ -124,14 +159,29 @@ def still_there(results: DataFrame, library: DataFrame) -> DataFrame:
     return results.join(library.select("mediaId", "dateModified"), ["mediaId", "dateModified"], "left_semi")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, dimension: int, blocks: int = 8) -> DataFrame:
-    """Pairs of unit vectors (id, embedding) with a dot product of at least ``threshold``, in blocks.
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, dimension: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Pairs of unit vectors (id, embedding) with a dot product of at least ``threshold``.
 
-    Only for a stated query set on the left: each of its blocks meets every row of the right, so the work is
-    the product of both and no task holds more than a block.
+    Only for a stated query set on the left: it goes to the workers as a matrix, in blocks of about ``block_bytes``, and
+    each batch of the right is one matrix product with it. The right is read where it lies, once for each block,
+    and never shuffled.
     """
-    ours = left.where(F.size("embedding") == dimension).select(F.col("id").alias("left_id"), F.col("embedding").alias("l"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    theirs = right.where(F.size("embedding") == dimension).select(F.col("id").alias("right_id"), F.col("embedding").alias("r"))
-    theirs = theirs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = ours.join(theirs, "block").withColumn("score", vectors.dot(F.col("l"), F.col("r")))
-    return pairs.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
+    ours = left.where(F.size("embedding") == dimension).select(F.col("id").cast("long").alias("id"), vectors.as_doubles(F.col("embedding")).alias("v"))
+    theirs = right.where(F.size("embedding") == dimension).select(F.col("id").cast("long"), vectors.as_doubles(F.col("embedding")).alias("v"))
+    blocks = max(1, math.ceil(ours.count() * 8 * (dimension + 1) / block_bytes))
+    out = None
+    for k in range(blocks):
+        rows = ours.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()  # about `block_bytes`
+        ids, matrix = rows["id"].to_numpy(), vectors.as_matrix(rows["v"].combine_chunks(), dimension)
+        held = left.sparkSession.sparkContext.broadcast((ids, np.ascontiguousarray(matrix.T)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, matrix = held.value
+            for batch in batches:
+                scores = vectors.as_matrix(batch.column("v"), dimension) @ matrix
+                row, column = np.nonzero(scores >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[column]), pa.array(batch.column("id").to_numpy()[row]), pa.array(scores[row, column])], ["left_id", "right_id", "score"])
+
+        found = theirs.mapInArrow(run, "left_id long, right_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.datasets import MODEL, NOW_MILLIS, Library, with_views
+from prismlake.datasets import MODEL, NOW_MILLIS, Library
 from prismlake.functions import faces as face_functions
-from prismlake.functions import images, scalars, text, vectors
+from prismlake.functions import scalars, text, vectors
 from prismlake.operators import albums, planning, search, store
 from prismlake.plans.query import Filters, Query
+from prismlake.registry import QUERIES, SQL, query
 from prismlake.sources import library as sources
 from prismlake.streaming import index as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
 
 TOP = 20
 START, END = 1704067200000 + 100 * 3600000, 1704067200000 + 400 * 3600000
@@ -26,18 +23,6 @@ DOT = "(SELECT list_dot_product(CAST(embedding AS DOUBLE[]), q) / sqrt(list_dot_
 FILTER_TIME, RANK_TIME = "coalesce(dateTaken, dateAdded * 1000)", "coalesce(dateTaken, coalesce(dateAdded, 0) * 1000)"
 
 
-def query(sql: str | None = None, *views: str):
-    """Registers a function of a ``Library`` under its name."""
-
-    def register(f: Callable[[Library], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Library(spark, sf_dir))
-        if sql is not None:
-            SQL[f.__name__] = with_views(sql, *views) if views else sql
-        return f
-
-    return register
-
-
 def shown(rows: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """At most ``TOP`` results, with their place."""
     order = search.relevance() if filters.sort == "MOST_RELEVANT" else search.chronology(filters.sort == "NEWEST_FIRST")
@@ -188,11 +173,11 @@ def handle_autocomplete(lib):
     return store.suggestions(lib.people, "P_1").select("id", "handle")
 
 
-@query(f"""SELECT doc_id AS mediaId, len(d) AS n_words, array_to_string(d[1:20], ' ') AS first_words FROM (
+@query(f"""SELECT doc_id AS mediaId, len(d) AS n_words, sha256(array_to_string(d, ' ')) AS words_sha256 FROM (
   SELECT doc_id, list(w ORDER BY i) AS d FROM (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {TOKENS} AS t FROM documents)) WHERE w <> '' GROUP BY doc_id, w) GROUP BY doc_id)""")
 def ordered_distinct_tokens(lib):
     words = text.tokens(F.col("searchText"))
-    return lib.photo_text.select("mediaId", F.size(words).cast("long").alias("n_words"), F.array_join(F.slice(words, 1, 20), " ").alias("first_words")).where("n_words > 0")
+    return lib.photo_text.select("mediaId", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("words_sha256")).where("n_words > 0")
 
 
 @query("SELECT doc_id AS mediaId, substr(text, 1, 500) AS text, length(text) > 500 AS truncated FROM documents")
@@ -218,19 +203,21 @@ def content_checksums(lib):
     return lib.table("documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
 
 
-@query()
+_PLAIN = "replace(replace(replace({0}, '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, lower(trim(regexp_replace({_PLAIN.format(_PLAIN.format('nfc_normalize(html)'))}, '\\s+', ' ', 'g'))) AS clean FROM pages")
 def clip_clean(lib):
-    """Cleaned text of whole web pages; Python's rules for entities and repairs have no SQL form."""
+    """Cleaned text of whole web pages; the SQL knows the entities of the pages, which have no wrongly decoded text."""
     return lib.table("pages").select("page_id", text.cleaned(F.col("html")).alias("clean"))
 
 
 @query()
 def bpe_tokens(lib):
-    """77 ids of each document, over a vocabulary of bytes and the merges of two frequent words."""
-    alphabet = [*text.byte_alphabet().values()]
-    merges = [("t", "h"), ("th", "e</w>"), ("o", "f</w>")]
-    names = [*alphabet, *(c + "</w>" for c in alphabet), *("".join(m) for m in merges), "<start_of_text>", "<end_of_text>"]
-    tokenizer = text.BytePairs({n: i for i, n in enumerate(names)}, merges, "<start_of_text>", "<end_of_text>")
+    """77 ids of each document by a public vocabulary with word ends; tests hold it against the tokenizers library."""
+    import public_tokenizers
+
+    tokenizer = text.public_pairs(public_tokenizers.path("word_bpe_49k.json"))
     return lib.table("documents").select("doc_id", text.token_ids(tokenizer)(F.col("text")).alias("ids"))
 
 
@@ -247,10 +234,9 @@ def album_rollup(lib):
     return albums.bucket_albums(lib.media).select("id", "name", "count", "coverUri")
 
 
-@query(f"SELECT row_number() OVER (ORDER BY coalesce(dateAdded, 0) DESC, mediaId DESC) AS position, mediaId FROM media WHERE {RECENT} ORDER BY 1 LIMIT 50", "media")
+@query(f"SELECT mediaId, coalesce(dateAdded, 0) AS added FROM media WHERE {RECENT} ORDER BY 2 DESC, 1 DESC", "media")
 def recently_added(lib):
-    rows = albums.photos_for(albums.RECENT, lib.media, NOW_MILLIS).limit(50)
-    return search.with_position(rows, albums.recent_order()).select("position", "mediaId")
+    return albums.photos_for(albums.RECENT, lib.media, NOW_MILLIS).select("mediaId", F.coalesce("dateAdded", F.lit(0)).alias("added"))
 
 
 @query(f"""SELECT 'all' AS id, count(*) AS count, first(uri ORDER BY {SCAN}) AS coverUri FROM media HAVING count(*) > 0
@@ -437,14 +423,6 @@ def people_filter_single(lib):
     return faces.select("mediaId", F.round(score, 6).alias("score")).where("score is not null")
 
 
-@query()
-def people_filter_multi(lib):
-    """Photos with a face of their own for each of two persons; tests hold it against all assignments."""
-    faces = search.face_lists(lib.faces, lib.face_index, lib.media, MODEL)
-    found = search.search(lib.media, Query(people=(tuple(lib.vector(30)), tuple(lib.vector(31))), limit=TOP, face_threshold=0.1), faces)
-    return shown(found)
-
-
 @query(f"SELECT f.mediaId, count(*) AS n, string_agg(CAST(f.faceIndex AS VARCHAR), ',' ORDER BY f.faceIndex) AS order_of_faces, round(sum(list_sum(CAST(f.embedding AS DOUBLE[]))), 5) AS checksum {VALID_FACES} GROUP BY f.mediaId", "media", "face_index")
 def faces_grouped(lib):
     grouped = search.face_lists(lib.faces, lib.face_index, lib.media, MODEL)
@@ -474,21 +452,6 @@ def enrollment_gate(lib):
     return face_functions.enrollable(detections(lib)).select("mediaId")
 
 
-@query()
-def nms(lib):
-    """Boxes kept of each photo; each depends on those kept before, which SQL can't say."""
-    kept = detections(lib).groupBy("mediaId").agg(F.collect_list("face").alias("found"))
-    return kept.select("mediaId", F.size("found").alias("n"), F.size(face_functions.suppressed(F.col("found"))).alias("kept"))
-
-
-@query()
-def face_alignment(lib):
-    """Similarity transforms of landmarks that turn and grow with the row."""
-    points = F.array(*(F.struct((F.lit(float(x)) * (1 + F.col("vec_id") % 5) - F.lit(float(y)) * (F.col("vec_id") % 3) + F.col("vec_id")).alias("x"), (F.lit(float(y)) * (1 + F.col("vec_id") % 5) + F.lit(float(x)) * (F.col("vec_id") % 3)).alias("y")) for x, y in face_functions.TEMPLATE))
-    a = face_functions.aligned(points)
-    return lib.table("embeddings").select("vec_id", a.alias("t")).select("vec_id", *(F.round(f"t.{c}", 6).alias(c) for c in ("a", "b", "tx", "ty")), "t.error")
-
-
 @query("SELECT vec_id, TRUE AS same, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS dot FROM embeddings")
 def codec_roundtrip(lib):
     rows = lib.table("embeddings").withColumn("blob", vectors.encode(F.col("embedding")))
@@ -508,20 +471,6 @@ def embedding_drift(lib):
     return stats.select(*(F.round(c, 9).alias(c) for c in ("min_cosine", "mean_cosine", "max_error", "mean_error")), "accepted")
 
 
-@query()
-def bicubic_crop(lib):
-    """Checksums of the prepared image of small pictures made from each vector."""
-
-    def decode(blob: bytes) -> np.ndarray:
-        seed = np.frombuffer(blob, "<f4")
-        return np.uint8(np.clip(np.outer(seed, seed[:48])[..., None] * [400, 300, 200] + 128, 0, 255))
-
-    prepared = images.kernel(decode, lambda pixels: images.center_crop(pixels, 32))(vectors.encode(F.col("embedding")))
-    rows = lib.table("embeddings").select("vec_id", prepared.alias("r"))
-    total = F.aggregate("r.value", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return rows.select("vec_id", F.size("r.value").alias("n"), F.round(total, 4).alias("total"), "r.error")
-
-
 # --- scalars (C1-C11) ---
 
 

@@ -32,17 +32,23 @@ def into_store(changes: DataFrame, tables: Store, checkpoint: str, progress: Cal
     """Merges each batch of changed media rows into the store and publishes a version.
 
     Merging by revision is idempotent, so a batch that runs again after a failure changes nothing. Children of
-    photos whose revision changed go in the same version (D1, D12).
+    photos whose revision changed go in the same version (D1, D12). Only the buckets that the batch touches are read
+    and written.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = {name: tables.read(name) for name in ("media_embeddings", *store.CHILDREN)}
+        batch = batch.persist()  # a micro-batch, read for its buckets and for its rows
+        touched = tables.touched(batch)
+        if not touched:
+            return
+        old = {name: tables.read(name, buckets=touched) for name in ("media_embeddings", *store.CHILDREN)}
         incoming = latest_revision(batch.select(*old["media_embeddings"].columns))
         media = store.upsert_media(old["media_embeddings"], incoming)
         children = store.cascade({n: old[n] for n in store.CHILDREN}, media, old["media_embeddings"])
-        version = tables.publish({"media_embeddings": media, **children})
+        version = tables.publish({"media_embeddings": media, **children}, touched)
+        batch.unpersist()
         if progress:
-            progress({"batch": number, "version": version})  # R10
+            progress({"batch": number, "version": version, "buckets": len(touched)})  # R10
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -54,7 +60,7 @@ class LatestQuery:
         self.spark, self.tag = spark, None
 
     def run(self, plan: Callable[[], DataFrame]) -> list | None:
-        """The rows, or None where a newer search has taken over."""
+        """The rows of a plan with a limit, as searches are, or None where a newer search has taken over."""
         mine = f"search-{uuid.uuid4().hex}"
         before, self.tag = self.tag, mine
         if before:

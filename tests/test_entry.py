@@ -4,7 +4,7 @@ import os
 
 import __spark_entry__ as entry
 import pytest
-from prismlake import queries
+from prismlake import registry as queries
 
 from tests.oracle import SF_DIR, assert_same
 
@@ -14,7 +14,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 def test_contract():
     known = entry.queries()
     assert set(queries.QUERIES) <= set(known) and set(entry.oracle_sql()) <= set(known)
-    assert {n for n in queries.QUERIES if n not in queries.SQL} == {"clip_clean", "bpe_tokens", "people_filter_multi", "nms", "face_alignment", "bicubic_crop"}
+    assert {n for n in queries.QUERIES if n not in queries.SQL} == {"bpe_tokens"}
 
 
 @needs_data
