@@ -210,6 +210,35 @@ def test_real_licences(spark):
     assert {i: got[i][1] for i, _, _ in rows} == {i: name for i, _, name in rows}
 
 
+def test_long_conversations_take_linear_work(monkeypatch):
+    monkeypatch.setattr(chat, "EXACT_TURNS", 8)
+    rng = random.Random(4)
+    turns = [(rng.choice(["user", "assistant"]), rng.choice(["", "<a>", "text", "\\"])) for _ in range(100)]
+    calls = []
+
+    def counted(some):
+        calls.append(len(some))
+        return chat.marked_turns(some)
+
+    def first_marked(some):
+        return "".join(f"{'BOS' if i == 0 else ''}[{r}]{t}" for i, (r, t) in enumerate(some))
+
+    def by_two(some):  # a turn looks different after two of the same role, which two turns don't show
+        return "".join(f"[{r}{'!' if i > 1 and some[i - 1][0] == some[i - 2][0] == r else ''}]{t}\n" for i, (r, t) in enumerate(some))
+
+    assert chat.locate(turns, counted) == chat.by_prefix(turns, chat.marked_turns)
+    assert sum(calls) < 1200
+    for template in (first_marked, by_two, rewriting):
+        assert chat.locate(turns, template) == chat.by_prefix(turns, template)
+    assert chat.locate(turns, rewriting)[2] and not chat.locate(turns, by_two)[2]
+
+
+def test_conversation_of_the_added_id(spark, tmp_path):
+    spark.createDataFrame([(-7, 0, "user", "mine", 1)], "conv_id long, turn long, role string, text string, n_turns int").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = chat.op4_chat_formatting(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in rows) == [(-7, 1, 0), (-7, 2, len(chat.TRICKY[1][3]))]
+
+
 def rewriting(turns):
     return f"{len(turns)} turns\n" + chat.marked_turns(turns)
 
