@@ -3,7 +3,7 @@
 The tokenizer's own regular expression cuts a text into pre-tokens, and no token crosses a cut; an added token of the
 tokenizer's file (as ``<|endoftext|>``) is a pre-token of one token. A tree over the pre-tokens has some of them, with
 their text, in each leaf, and in each node the sums of characters, tokens and pre-tokens below. ``build`` makes a
-table of such trees, ``apply`` takes the table and edits and gives the table after them, and ``totals`` reads the counts.
+table of such trees with their roots' sums; ``apply`` takes the table and edits and gives the table after them.
 
 An edit replaces a range of characters: cutting starts again at the last edge that the edit can't have changed, since a
 cut depends on at most ``context`` characters after it, and stops at the first new edge after the edit that is also an
@@ -14,8 +14,8 @@ nodes above come back from the leaves' sums.
 
 Defined cases: null text is empty and counts 0; edits are clipped to the text; an empty edit changes nothing; a null
 edit or place counts as none or 0; rows that repeat a doc_id are counted each for itself; an empty table gives no
-rows; ``build`` keeps all other columns (a column named ``tree`` is replaced) but the text, which is in the tree; of very
-long texts only the region of the edit is encoded again.
+rows; ``build`` keeps all other columns but the text, which is in the tree (columns named tree, n_tokens and pre_tokens
+are replaced); of very long texts only the region of the edit is encoded again.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm.packing import Encoder
@@ -273,63 +273,71 @@ def path_of(tokenizer: str | None) -> str:
 
 
 def leaf_array(trees: list[list[tuple[str, bytes, bytes]]]) -> pa.Array:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("sizes", pa.binary()), ("counts", pa.binary())]))
-    return pa.array([[dict(zip(("text", "sizes", "counts"), x, strict=True)) for x in t] for t in trees], kind)
+    leaves = [x for t in trees for x in t]
+    parts = [pa.array([x[i] for x in leaves], kind) for i, kind in ((0, pa.string()), (1, pa.binary()), (2, pa.binary()))]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in trees])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["text", "sizes", "counts"]))
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 32) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, since trees in Python take many times their texts' room."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+#: What ``build`` and ``apply`` add to a row.
+SUMS = ("n_tokens", "pre_tokens")
 
 
 def build(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``docs`` with a tree instead of the text: a table to be kept."""
-    path, names = path_of(tokenizer), [c for c in docs.columns if c not in ("text", "tree")]
+    """``docs`` with a tree and its root's sums (n_tokens, pre_tokens) instead of the text: a table to be kept."""
+    path, names = path_of(tokenizer), [c for c in docs.columns if c not in ("text", "tree", *SUMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in batches:
-            trees = [CountedText(text.as_py() or "", counter).stored() for text in batch.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], leaf_array(trees)], [*names, "tree"])
+        for batch in parts_of(batches):
+            made = [CountedText(text.as_py() or "", counter) for text in batch.column(len(names))]
+            sums = [pa.array([getattr(t, x) for t in made], pa.int64()) for x in ("tokens", "n")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], leaf_array([t.stored() for t in made]), *sums], [*names, "tree", *SUMS])
 
     small_batches(docs.sparkSession)
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
-    return docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string")).mapInArrow(run, f"{kept}{', ' if kept else ''}tree {TREE}")
+    kept = "".join(f"`{c}` {t}, " for c, t in docs.dtypes if c in names)
+    return docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string")).mapInArrow(run, f"{kept}tree {TREE}, n_tokens long, pre_tokens long")
 
 
-def apply(trees: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+def apply(trees: DataFrame, edits: str = "edits", tokenizer: str | None = None, with_tree: bool = True) -> DataFrame:
     """The table after the edits in a column, an array of (start, end, text) done in turn, which ``recounted`` replaces:
-    the number of pre-tokens that were encoded."""
-    path, names = path_of(tokenizer), [c for c in trees.columns if c not in ("tree", edits, "recounted")]
+    the number of pre-tokens that were encoded. Without ``with_tree`` only the sums come back."""
+    path, names = path_of(tokenizer), [c for c in trees.columns if c not in ("tree", edits, "recounted", *SUMS)]
+    own = (["tree"] if with_tree else []) + [*SUMS, "recounted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in batches:
-            after, recounted = [], []
+        for batch in parts_of(batches):
+            after, sums = [], []
             for leaves, changes in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
                 kept = CountedText.kept([(x["text"], x["sizes"], x["counts"]) for x in leaves.as_py() or ()], counter)
-                recounted.append(sum(kept.edit(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in changes.as_py() or () if e))
-                after.append(kept.stored())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], leaf_array(after), pa.array(recounted, pa.int64())], [*names, "tree", "recounted"])
+                recounted = sum(kept.edit(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in changes.as_py() or () if e)
+                sums.append((kept.tokens, kept.n, recounted))
+                if with_tree:
+                    after.append(kept.stored())
+            columns = [pa.array(c, pa.int64()) for c in (list(zip(*sums, strict=True)) or [()] * 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *([leaf_array(after)] if with_tree else []), *columns], [*names, *own])
 
     small_batches(trees.sparkSession)
     asked = F.col(f"`{edits}`").cast("array<struct<start:int,end:int,text:string>>")
-    kept = ", ".join(f"`{c}` {t}" for c, t in trees.dtypes if c in names)
-    return trees.select(*(F.col(f"`{c}`") for c in names), "tree", asked.alias(edits)).mapInArrow(run, f"{kept}{', ' if kept else ''}tree {TREE}, recounted long")
-
-
-def total(tree: str = "tree") -> Column:
-    """The tokens of a kept tree."""
-    count = F.udf(lambda counts: [0 if c is None else int(np.frombuffer(bytes(c), "<u4").sum()) for c in counts or ()], "array<long>", useArrow=True)
-    return F.aggregate(count(F.transform(tree, lambda x: x["counts"])), F.lit(0).cast("long"), lambda a, b: a + b)
-
-
-def pre_tokens(tree: str = "tree") -> Column:
-    """The pre-tokens of a kept tree."""
-    return F.aggregate(tree, F.lit(0).cast("long"), lambda a, x: a + F.floor(F.octet_length(x["sizes"]) / 4))
+    kept = "".join(f"`{c}` {t}, " for c, t in trees.dtypes if c in names)
+    tree = f"tree {TREE}, " if with_tree else ""
+    return trees.select(*(F.col(f"`{c}`") for c in names), "tree", asked.alias(edits)).mapInArrow(run, f"{kept}{tree}n_tokens long, pre_tokens long, recounted long")
 
 
 def count_tokens(docs: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, edited_tokens, pre_tokens, recounted of rows with an array of edits, by way of a kept table."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.col(f"`{edits}`").alias("edits"))
-    kept = written(build(rows, tokenizer))
-    before = kept.withColumns({"n_tokens": total(), "pre_tokens": pre_tokens()})
-    return apply(before, "edits", tokenizer).select("doc_id", "n_tokens", total().alias("edited_tokens"), "pre_tokens", "recounted")
+    kept = written(build(rows, tokenizer)).withColumnsRenamed({"n_tokens": "before", "pre_tokens": "pieces"})
+    after = apply(kept, "edits", tokenizer, with_tree=False)
+    return after.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), F.col("pieces").alias("pre_tokens"), "recounted")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
