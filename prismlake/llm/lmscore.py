@@ -1,7 +1,7 @@
 """Document probabilities from a subword lattice.
 
-The pieces are those of an existing vocabulary; its order gives their first scores (Zipf's law over the
-vocabulary's ranks), and expectation maximisation over all distinct training words re-estimates them in each
+The pieces are those of an existing vocabulary, whose scores are their first log probabilities (by Zipf's law over
+its order where the scores are ranks only), and expectation maximisation over all distinct training words re-estimates them in each
 class. A word, with the space before it, is worth the sum of the probabilities of all its segmentations, taken
 by the forward recursion in log space over the lattice of its bytes; every byte is a piece too, so nothing is
 unknown. No piece crosses a space, so the recursion over a text is the product of those over its words and one
@@ -19,6 +19,8 @@ training document; the table of distinct words grows with the corpus and is shuf
 ``HEAD`` most frequent words' values are broadcast (a fixed number of rows); each other word of a document
 goes as a row (document, word, times) to a join.
 
+Words are told by 64-bit hashes; of two with one hash a text's word takes the value of either.
+
 Defined cases: null and empty texts have the end only; rows that repeat a doc_id are scored each for itself;
 with no training documents counts are 0 and pieces keep their first scores; a null doc_id is held out; an
 empty table gives no rows; extra columns are ignored; words beyond ``LONG_WORD`` bytes take a loop over their
@@ -52,19 +54,28 @@ _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def pieces_of(model: str) -> list[bytes]:
-    """Distinct byte strings of a vocabulary file in its order, as far as a lower-cased word after a space can hold them."""
+def pieces_of(model: str) -> tuple[list[bytes], np.ndarray]:
+    """Distinct byte strings of a vocabulary file in its order, as far as a lower-cased word after a space can hold them, and
+    their first probabilities with that of the end: the file's own where its scores are log probabilities (a unigram
+    model), else (its scores are ranks) by Zipf's law over the order."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model)
-    out: dict[bytes, None] = {}
+    scores = np.array([m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))])
+    unigram = 0.5 < float(np.exp(scores).sum()) < 1.5
+    out: dict[bytes, float] = {}
     for i in range(m.get_piece_size()):
         if m.is_control(i) or m.is_unknown(i):
             continue
         raw = bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()
         if not any(b in raw[1:] for b in b" \t\n\v\f\r") and raw == raw.lower():
-            out[raw] = None
-    return list(dict.fromkeys([*(bytes([b]) for b in range(256)), *out]))
+            out[raw] = math.exp(m.get_score(i)) if unigram and not m.is_byte(i) else 0.0
+    pieces = list(dict.fromkeys([*(bytes([b]) for b in range(256)), *out]))
+    first = 1.0 / (np.arange(len(pieces) + 1) + 10.0)
+    if unigram:  # what the file gives no probability (bytes, the end) has that of its rarest piece
+        own = np.array([*(out.get(p, 0.0) for p in pieces), 0.0])
+        first = np.where(own > 0, own, own[own > 0].min())
+    return pieces, first / first.sum()
 
 
 class Lattice:
@@ -274,14 +285,13 @@ def word_table(docs: DataFrame, classes: int) -> DataFrame:
     return found.select("hash", "word", sum((F.col(c) for c in names), F.lit(0)).cast("long").alias("n"), *names)
 
 
-def re_estimate(trained: DataFrame, pieces: list[bytes], class_docs: list[int], rounds: int = ROUNDS) -> np.ndarray:
+def re_estimate(trained: DataFrame, pieces: list[bytes], first: np.ndarray, class_docs: list[int], rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces and, last, of the end, in each class; a row for each class and piece reaches the driver.
 
     Every distinct training word of a class counts once: the lattice is for words that counts don't know.
     """
     classes = len(class_docs)
-    first = 1.0 / (np.arange(len(pieces) + 1) + 10.0)
-    log_p = np.tile(np.log(first / first.sum()), (classes, 1))
+    log_p = np.tile(np.log(first), (classes, 1))
     for _ in range(rounds):
         lattice = trained.sparkSession.sparkContext.broadcast(Lattice(pieces, log_p[:, :-1]))
 
@@ -343,8 +353,8 @@ def score_documents(docs: DataFrame, model: str | None = None, rounds: int = ROU
     in_class = [c + d for c, d in zip(sums[1 : classes + 1], class_docs, strict=True)]
     once, once_in = sums[classes + 1], [max(1, x) for x in sums[classes + 2 :]]
     discount = once / (once + 2 * twice) if once else 0.5
-    pieces = pieces_of(model)
-    log_p = re_estimate(words.where("n > 0"), pieces, class_docs, rounds)
+    pieces, first = pieces_of(model)
+    log_p = re_estimate(words.where("n > 0"), pieces, first, class_docs, rounds)
     lattice = spark.sparkContext.broadcast(Lattice(pieces, log_p[:, :-1]))
     ten = math.log(10)
     logs = [f"l_{k}" for k in range(classes)]
@@ -410,7 +420,7 @@ def score_documents(docs: DataFrame, model: str | None = None, rounds: int = ROU
     schema = ", ".join(f"{c} {types[k]}" for c, k in zip(counted_names, kinds, strict=True))
     rows = written(docs.select("doc_id", "held_out", F.col("text").cast("string")).mapInArrow(counted, schema))
     times = F.col("n_tokens")
-    tail = rows.where("hash is not null").select("key", "hash", "n_tokens").join(values, "hash").select(
+    tail = rows.where("hash is not null").select("key", "hash", "n_tokens").join(values.dropDuplicates(["hash"]), "hash").select(
         "key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"),
         F.when(F.col("n") > 0, times).otherwise(0).alias("n_known"), (times * F.log10((F.col("n") + 0.1) / (n + 0.1 * (v + 1)))).alias("base_score"),
         *((times * F.col(c)).alias(c) for c in sums_of),

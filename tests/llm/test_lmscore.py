@@ -100,3 +100,67 @@ def test_known_words_see_their_segmentations(spark):
     got = {r.doc_id: r for r in lmscore.score_documents(docs).collect()}
     assert got[10].n_known == got[11].n_known == 2 and got[10].base_score == got[11].base_score
     assert got[10].score > got[11].score
+
+
+def test_scores_equal_brute_force(spark):
+    """The whole model over again in plain Python: every segmentation, each round of estimation, both classes."""
+    import public_tokenizers
+
+    rng = random.Random(8)
+    words = ["a", "on", "the", "ing", "ton", "zq", "é", "ban", "go", "ally"]
+    rows = [(i, " ".join(rng.choices(words[:8], k=rng.randint(0, 9))), "en" if i % 3 else "de", i % 5 == 0) for i in range(40)]
+    rows += [(100, "go ally the go", "en", True), (101, None, None, False), (102, "", "de", True), (103, "THE xq", "fr", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean")
+    pieces, first = lmscore.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    number = {p: i for i, p in enumerate(pieces)}
+
+    split = {i: (t or "").lower().split() for i, t, *_ in rows}
+    langs = Counter(x for _, _, x, h in rows if not h and x)
+    classes = [*(x for x, _ in sorted(langs.items(), key=lambda x: (-x[1], x[0]))), None]
+    of = {i: classes.index(x) for i, _, x, _ in rows}
+    train = [i for i, _, _, h in rows if not h]
+    class_docs = [sum(of[i] == k for i in train) for k in range(len(classes))]
+    own = [Counter(w for i in train if of[i] == k for w in split[i]) for k in range(len(classes))]
+    every = sum(own, Counter())
+
+    def ways(word):
+        data = b" " + word.encode()
+        return [s for s in segmentations(data) if all(x in number for x in s)]
+
+    known = {w: ways(w) for i in split for w in split[i]}
+    p = [list(first) for _ in classes]
+    for _ in range(lmscore.ROUNDS):
+        new = []
+        for k, c in enumerate(own):
+            expected = [lmscore.SMOOTHING] * (len(pieces) + 1)
+            for w in c:
+                worth = [math.prod(p[k][number[x]] for x in s) for s in known[w]]
+                for s, x in zip(known[w], worth):
+                    for piece in s:
+                        expected[number[piece]] += x / sum(worth)
+            expected[-1] += class_docs[k]
+            new.append([x / sum(expected) for x in expected])
+        p = new
+    n_docs = len(train)
+    n, v = sum(every.values()) + n_docs, len(every) + 1
+    once, twice = (sum(c == x for c in every.values()) for x in (1, 2))
+    d = once / (once + 2 * twice)
+    left = d * v / n
+
+    def value(w, k):
+        lattice = sum(math.prod(p[k][number[x]] for x in s) for s in known[w]) if w is not None else p[k][-1]
+        count, mine = (every[w], own[k][w]) if w is not None else (n_docs, class_docs[k])
+        general = max(count - d, 0) / n + left * lattice if count else left * lattice
+        m = max(1, sum(c == 1 for c in own[k].values()))
+        return (mine + m * general) / (sum(own[k].values()) + class_docs[k] + m)
+
+    def expected_score(i):
+        total = 0.0
+        for k in range(len(classes)):
+            total += max(class_docs[k], 0.5) / n_docs * math.prod([*(value(w, k) for w in split[i]), value(None, k)])
+        return math.log10(total)
+
+    for head in (3, lmscore.HEAD):
+        got = {r.doc_id: r for r in lmscore.score_documents(docs, head=head).collect()}
+        for i in split:
+            assert math.isclose(got[i].score, expected_score(i), rel_tol=1e-9), i
