@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a fresh local one only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a fresh local one only where it is unset and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='prismlake-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,11 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors lose nothing.
 
-    An empty result keeps its schema, since the schema is given on reading.
+    An empty result keeps its schema, since the schema is given on reading. All tables of an application lie in one
+    folder, named after it, which can go when the application has ended.
     """
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/prismlake-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/prismlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
