@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors lose nothing.
 
     An empty result keeps its schema, since the schema is given on reading. All tables of an application lie in one
@@ -44,7 +44,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/prismlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -155,6 +155,16 @@ def grown(nodes: list[Node]) -> Node:
     return root
 
 
+def packed(numbers: list[int]) -> bytes:
+    """The bytes of each number, 1, 2 or 4, and then the numbers."""
+    width = 1 if max(numbers) < 1 << 8 else 2 if max(numbers) < 1 << 16 else 4
+    return bytes([width]) + np.array(numbers, f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> list[int]:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
+
+
 class CountedText:
     """A text as a tree of its pre-tokens."""
 
@@ -171,11 +181,11 @@ class CountedText:
     def kept(cls, leaves: list[tuple[str, bytes, bytes]], counter: Counter) -> CountedText:
         """The tree whose leaves a table has."""
         self = cls.__new__(cls)
-        self.counter, self.root = counter, grown([Node(None, t, np.frombuffer(s, "<u4").tolist(), np.frombuffer(c, "<u4").tolist()) for t, s, c in leaves])
+        self.counter, self.root = counter, grown([Node(None, t, unpacked(s), unpacked(c)) for t, s, c in leaves])
         return self
 
     def stored(self) -> list[tuple[str, bytes, bytes]]:
-        return [(x.text, np.array(x.sizes, "<u4").tobytes(), np.array(x.counts, "<u4").tobytes()) for x in self.root.leaves() if x.n]
+        return [(x.text, packed(x.sizes), packed(x.counts)) for x in self.root.leaves() if x.n]
 
     @property
     def text(self) -> str:
@@ -335,7 +345,7 @@ def apply(trees: DataFrame, edits: str = "edits", tokenizer: str | None = None,
 def count_tokens(docs: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, edited_tokens, pre_tokens, recounted of rows with an array of edits, by way of a kept table."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.col(f"`{edits}`").alias("edits"))
-    kept = written(build(rows, tokenizer)).withColumnsRenamed({"n_tokens": "before", "pre_tokens": "pieces"})
+    kept = written(build(rows, tokenizer), "zstd").withColumnsRenamed({"n_tokens": "before", "pre_tokens": "pieces"})
     after = apply(kept, "edits", tokenizer, with_tree=False)
     return after.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), F.col("pieces").alias("pre_tokens"), "recounted")
 
