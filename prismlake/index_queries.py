@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
@@ -312,6 +313,15 @@ def tokenizer_export(lib):
     return again.agg(F.count("*").alias("merges")).join(lines.select(F.split("value", "\n")[0].alias("head"))).join(read)
 
 
+@query("SELECT r_name, sha256(r_name) AS sha256 FROM region")
+def asset_checksums(lib):
+    """Files that must have the checksums that are expected of their names."""
+    names = [r["r_name"] for r in lib.table("region").select("r_name").collect()]  # one file for each region
+    files = lib.table("region").select(F.concat(F.lit("assets/"), "r_name").alias("path"), F.encode("r_name", "UTF-8").alias("content"))
+    checked = contracts.with_checksum(files, {n: hashlib.sha256(n.encode()).hexdigest() for n in names})
+    return checked.select(F.element_at(F.split("path", "/"), -1).alias("r_name"), "sha256")
+
+
 # --- passes (R3-R6, R9, R10, S3, U1-U5) ---
 
 
@@ -395,6 +405,18 @@ def unreadable_source(lib):
     return store.delete_media({"media_embeddings": lib.media}, gone)["media_embeddings"].agg(F.count("*").alias("kept")).withColumn("refused", F.lit(refused))
 
 
+@query(f"""SELECT mediaId, round(s, 6) AS score FROM (SELECT f.mediaId, max(list_dot_product(CAST(f.embedding AS DOUBLE[]), q) / sqrt(list_dot_product(q, q))) AS s {VALID_FACES.replace('FROM faces f', 'FROM (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 30) CROSS JOIN faces f')} AND m.mediaType = 'IMAGE' AND m.embeddingDimension > 0 GROUP BY f.mediaId) WHERE s >= 0.2""", "media", "face_index")
+def provider_search(lib):
+    """U4: photos, and then the faces of those, from a deployment's own functions."""
+
+    def faces(ids: DataFrame) -> DataFrame:
+        return search.face_lists(lib.faces.join(ids, "mediaId", "left_semi"), lib.face_index, lib.media, MODEL)
+
+    provider = search.Provider(lambda filters: search.candidates(lib.media, filters), faces)
+    found = provider.search(plans.Query(plans.Filters(media_type="IMAGE"), people=(tuple(lib.vector(30)),), limit=2**31 - 1, face_threshold=0.2))
+    return found.select("mediaId", F.round("rawSimilarity", 6).alias("score"))
+
+
 @query("SELECT mediaId, mediaType FROM media", "media")
 def allowed_types(lib):
     """Values outside the known types would fail."""

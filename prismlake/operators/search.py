@@ -7,7 +7,8 @@ is a heap for each partition and a merge. Sides that grow with the library are j
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +150,22 @@ def search(media: DataFrame, query: Query, photo_faces: DataFrame | None = None,
     return ranked(rows, filters, query.limit).drop("embedding", "_face")
 
 
+@dataclass(frozen=True)
+class Provider:
+    """U4: where a deployment's candidates and faces come from: functions that give them for filters and for photos."""
+
+    media: Callable[[Filters], DataFrame]
+    faces: Callable[[DataFrame], DataFrame] | None = None
+    text_ids: Callable[[Sequence[str]], DataFrame] | None = None
+
+    def search(self, query: Query) -> DataFrame:
+        """``search`` over what the functions give; faces and texts are asked for only where the query has any."""
+        rows = self.media(query.filters)
+        faces = self.faces(rows.select("mediaId")) if query.people and self.faces else None
+        ids = self.text_ids(query.words) if query.words and self.text_ids else None
+        return search(rows, query, faces, ids)
+
+
 def with_position(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Numbers at most some hundreds of rows, for outputs that must show their order."""
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
