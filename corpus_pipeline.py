@@ -42,8 +42,12 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     decided = minhash.near_duplicates(docs).groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     decided = written(decided.withColumnsRenamed({c: f"__{c}" for c in decided.columns}))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text_hash"))
-    kept = docs.join(decided.where("__n > 1 or not __stays"), same, "left_anti")
-    repeated = docs.join(decided.where("__n > 1 and __stays"), same)
+    # a merge join at every size: what a small table would save by broadcasting tells nothing about a large one
+    kept = docs.join(decided.where("__n > 1 or not __stays").hint("merge"), same, "left_anti")
+    again = decided.where("__n > 1 and __stays")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    repeated = docs.join(again, same)
     # of rows that repeat both doc_id and text the one whose other columns come first
     first = repeated.groupBy("__doc_id", "__text_hash").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))).alias("__row"))
     return kept.unionByName(first.select("__row.*"))
