@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     texts = docs.select(F.col("text").cast("string").alias("text"))
     sets = shingle_sets(texts.join(wanted, F.xxhash64("text") == F.col("__hash"), "left_semi"), n, counted)
     sets = written(sets.join(mates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    pairs = mates.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    # written, so that the joins of a hub with many members can be split
+    pairs = written(mates.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     starred = written(against_hubs(pairs, sets, threshold))
     links = starred.where(F.col("similarity") >= threshold).select("a", "b")
     found = components(links)
