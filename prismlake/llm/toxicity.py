@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import textops
-from prismlake.llm.session import table, written
+from prismlake.llm.session import give_back, table, written
 
 EXAMPLES, EXAMPLE_BYTES, TERMS, ALPHA, PURE = 16384, 256 << 20, 4096, 0.05, 0.85
 TELLING = 8  # chosen by leaving one training example out at a time, on the 10,000-document set
@@ -248,7 +248,7 @@ class Index:
         cluster and term the row's number (-1 of others); which terms are common anywhere; by term and cluster the greatest
         weight; and which postings are rare."""
         n, many = len(self.idf), len(self.edges) - 1
-        cluster = (np.searchsorted(self.edges, self.numbers, side="right") - 1).astype(np.int8)
+        cluster = (np.searchsorted(self.edges // BLOCK, np.arange(self.blocks), side="right") - 1).astype(np.int8).repeat(BLOCK)[self.numbers]
         rare, starts, most, often = np.ones(len(cluster), bool), [1], np.zeros((n, many), np.float32), []
         kept = []
         for c, width in enumerate(np.diff(self.edges)):
@@ -455,8 +455,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         index = held.value
-        for part, data, offs in textops.by_chunk(batches):
+        for i, (part, data, offs) in enumerate(textops.by_chunk(batches)):
+            if i % 4 == 0:
+                give_back()
             texts, found, times = index.vocabulary.counts(data, offs)
             bounds = np.searchsorted(texts, np.arange(part.num_rows + 1))
             scores, evidence = zip(*index.scores([(found[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), strict=True)
