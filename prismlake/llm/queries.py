@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import chat, decontamination, fingerprints, licenses, linededup, lmscore, minhash, packing, tokencounts, toxicity
+from prismlake.llm import chat, decontamination, fingerprints, licenses, linededup, lmscore, minhash, packing, simhash, tokencounts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokencounts.op8_token_counts,
         licenses.op9_license_scan,
         packing.op10_best_fit_packing,
+        simhash.op13_simhash_near_dedup,
     ]
     return {f.__name__: f for f in found}
 
