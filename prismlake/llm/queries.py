@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import chat, decontamination, fingerprints, licenses, linededup, lmscore, minhash, packing, simhash, tokencounts, toxicity, vectorcodes
+from prismlake.llm import chat, decontamination, fingerprints, hardnegatives, licenses, linededup, lmscore, minhash, packing, simhash, tokencounts, toxicity, vectorcodes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokencounts.op8_token_counts,
         licenses.op9_license_scan,
         packing.op10_best_fit_packing,
+        hardnegatives.op11_hard_negative_mining,
         vectorcodes.op12_vector_code_compression,
         simhash.op13_simhash_near_dedup,
     ]
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.OP4_SQL, "op6_benchmark_decontamination": decontamination.OP6_SQL, "op9_license_scan": licenses.OP9_SQL, "op12_vector_code_compression": vectorcodes.OP12_SQL}
+    return {"op4_chat_formatting": chat.OP4_SQL, "op6_benchmark_decontamination": decontamination.OP6_SQL, "op9_license_scan": licenses.OP9_SQL, "op11_hard_negative_mining": hardnegatives.OP11_SQL, "op12_vector_code_compression": vectorcodes.OP12_SQL}
