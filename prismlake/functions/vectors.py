@@ -28,6 +28,21 @@ def as_matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
+def sums_in_order(products: np.ndarray) -> np.ndarray:
+    """Sums of rows, component after component: the doubles that ``dot`` gives."""
+    return np.add.accumulate(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
+
+
+def slack(dimension: int) -> float:
+    """How far two ways of summing an inner product in doubles can be apart, as a share of the product of norms.
+
+    Each way is off by n * u / (1 - n * u) of the sum of the products' sizes at most (u = 2^-53, n operations in any order),
+    and that sum is at most the product of the norms; some room covers the norms' own rounding.
+    """
+    n = dimension + 2
+    return 2 * n * 2.0**-53 / (1 - n * 2.0**-53) * (1 + 1e-6)
+
+
 def dot(a: Column, b: Column) -> Column:
     """V2. The sizes must be equal: filter on them first, since a shorter side would count as nulls."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

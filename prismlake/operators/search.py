@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from prismlake.functions import faces as face_functions
 from prismlake.functions import text, vectors
 from prismlake.functions.scalars import filter_time, rank_time
-from prismlake.operators.store import valid_children
+from prismlake.operators import pivots
+from prismlake.operators.store import Derived, valid_children
 from prismlake.plans.query import Filters, Query
 from prismlake.schemas import FACE_MODEL, TEXT_MODEL
 from prismlake.sources.tables import Store
@@ -26,6 +27,8 @@ from prismlake.sources.tables import Store
 
 #: Bytes of query vectors that a worker holds at once.
 BLOCK_BYTES = 64 << 20
+#: Blocks of a stated query set at most.
+MOST_BLOCKS = 4
 
 
 def candidates(media: DataFrame, filters: Filters) -> DataFrame:
@@ -48,19 +51,21 @@ def page(media: DataFrame, filters: Filters, limit: int, offset: int) -> DataFra
 
 
 def words_of(photo_text: DataFrame) -> DataFrame:
-    """A posting for each distinct word of each text: the scalable form of the full-text index."""
-    return photo_text.select("mediaId", F.explode(text.tokens(F.col("searchText"))).alias("word"))
+    """A posting for each distinct word of each text, with the text's revision and model: the full-text index."""
+    state = [c for c in ("dateModified", "modelVersion") if c in photo_text.columns]
+    return photo_text.select("mediaId", *state, F.explode(text.tokens(F.col("searchText"))).alias("word"))
 
 
 class TextIndex:
-    """The full-text index as a kept table (D12): postings in files sorted by word, and the folded texts' ids.
+    """The full-text index as a kept table (D12): postings in files sorted by word, made of the folded texts.
 
     ``postings`` reads only the row groups of the words that are asked for, by their statistics. Postings lie in buckets
-    by photo as all tables of a ``Store``, so a change rewrites the buckets of the photos it touches, in the version that
-    has their texts.
+    by photo as all tables of a ``Store`` and follow ``photo_text`` (``derived``), so a change of photos or texts puts
+    them into the version that has it.
     """
 
     NAME = "text_postings"
+    derived = Derived(NAME, "photo_text", words_of)
 
     def __init__(self, tables: Store):
         self.tables = tables
@@ -72,9 +77,10 @@ class TextIndex:
     def postings(self, words: Sequence[str]) -> DataFrame:
         return self.tables.read(self.NAME).where(F.col("word").isin(list(words)))
 
-    def matches(self, words: Sequence[str]) -> DataFrame:
-        """Ids of photos whose text has every word."""
-        return text_matches_by_postings(self.tables.read(self.NAME), words)
+    def matches(self, words: Sequence[str], media: DataFrame | None = None, model: str = TEXT_MODEL) -> DataFrame:
+        """Ids of photos whose text has every word; with ``media``, of texts of the model and the photo's revision only."""
+        found = self.postings(words)
+        return text_matches_by_postings(found if media is None else valid_children(found, media, model), words)
 
 
 def text_matches(photo_text: DataFrame, media: DataFrame, words: Sequence[str], model: str = TEXT_MODEL) -> DataFrame:
@@ -179,13 +185,16 @@ def still_there(results: DataFrame, library: DataFrame) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, dimension: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of unit vectors (id, embedding) with a dot product of at least ``threshold``.
 
-    Only for a stated query set on the left: it goes to the workers as a matrix, in blocks of about ``block_bytes``, and
+    For a stated query set on the left: it goes to the workers as a matrix, in blocks of about ``block_bytes``, and
     each batch of the right is one matrix product with it. The right is read where it lies, once for each block,
-    and never shuffled.
+    and never shuffled. A left side of more than ``MOST_BLOCKS`` blocks is no such set: it is joined by pivots, where neither
+    side comes to the driver.
     """
     ours = left.where(F.size("embedding") == dimension).select(F.col("id").cast("long").alias("id"), vectors.as_doubles(F.col("embedding")).alias("v"))
     theirs = right.where(F.size("embedding") == dimension).select(F.col("id").cast("long"), vectors.as_doubles(F.col("embedding")).alias("v"))
     blocks = max(1, math.ceil(ours.count() * 8 * (dimension + 1) / block_bytes))
+    if blocks > MOST_BLOCKS:
+        return pivots.similarity_join(left, right, threshold, dimension)
     out = None
     for k in range(blocks):
         rows = ours.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()  # about `block_bytes`

@@ -1,4 +1,4 @@
-"""The store's rules as DataFrame transformations.
+"""The store's rules as DataFrame transformations.
 
 A row's revision is ``dateModified``. Functions take stored and incoming rows and return the new state; the
 caller publishes it (``prismlake.sources.tables``). Children without their parent's revision are dropped by a
@@ -7,7 +7,8 @@ semi-join, so a state written in part is harmless.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ def upsert_media(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return _latest(stored, incoming, True)
 
 
+def merge_changes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``upsert_media`` for a feed that may say, in a column ``gone``, that a photo's newest revision is its deletion."""
+    if "gone" not in incoming.columns:
+        return upsert_media(stored, incoming)
+    newest = _latest(stored.withColumn("gone", F.lit(False)), incoming.withColumn("gone", F.coalesce("gone", F.lit(False))), True)
+    return newest.where("not gone").drop("gone")
+
+
 def ensure_metadata(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """As ``upsert_media``, but a stored row of the same revision, with its vector, stays."""
     if "embedding" in incoming.columns:
@@ -55,6 +64,26 @@ def cascade(tables: dict[str, DataFrame], media: DataFrame, before: DataFrame) -
     return {name: df.join(same, "mediaId", "left_semi") if name in CHILDREN else df for name, df in tables.items()}
 
 
+@dataclass(frozen=True)
+class Derived:
+    """A kept table that follows another one. Each of its rows is made from one row of ``base`` and has its mediaId."""
+
+    name: str
+    base: str
+    make: Callable[[DataFrame], DataFrame]
+
+    def followed(self, stored: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+        """The table once ``base`` has become ``after``: only new and changed base rows are made anew, rows of gone ones go.
+
+        A photo's base row is told from the one before by a 64-bit hash of all its columns.
+        """
+        columns = [c for c in before.columns if c != "mediaId"]
+        marked = [df.select("mediaId", F.xxhash64(*columns).alias("_mark")) for df in (before, after)]
+        stays = marked[0].join(marked[1], ["mediaId", "_mark"], "left_semi").select("mediaId")
+        new = self.make(after.join(stays, "mediaId", "left_anti"))
+        return stored.join(stays, "mediaId", "left_semi").unionByName(new.select(*stored.columns))
+
+
 def put_text(stored: DataFrame, incoming: DataFrame, media: DataFrame) -> DataFrame:
     """D3: texts whose photo is there at their revision replace the stored ones; late and orphaned ones are dropped."""
     good = incoming.join(media.select("mediaId", "dateModified"), ["mediaId", "dateModified"], "left_semi").select(*stored.columns)

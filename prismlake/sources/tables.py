@@ -39,7 +39,7 @@ class Store:
 
     def _published(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version long, parts string").parquet(f"{self.path}/published")
+            return self.spark.read.schema("version long, parts string, streams string").parquet(f"{self.path}/published")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error):
                 return None
@@ -58,6 +58,15 @@ class Store:
             raise ValueError(f"version {version} isn't published")
         return json.loads(row["parts"])
 
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that the newest version has, -1 if none."""
+        version = self.version()
+        return self._streams(version).get(stream, -1)
+
+    def _streams(self, version: int) -> dict[str, int]:
+        row = self._published().where(F.col("version") == version).first() if version else None
+        return json.loads(row["streams"] or "{}") if row else {}
+
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(KEY), F.lit(self.buckets)).cast("int")
 
@@ -73,9 +82,10 @@ class Store:
         folders = [f"{self.path}/{name}/{v}/bucket={b}" for b, v in part["buckets"].items() if some is None or b in some]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def publish(self, tables: dict[str, DataFrame], buckets: Iterable[int] | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], buckets: Iterable[int] | None = None, batch: tuple[str, int] | None = None) -> int:
         """Writes the tables (where they have photos, the given buckets of them), each part sorted by photo so that files
-        prune by id, and then the version. Buckets that are not given, and other tables, stay as they are."""
+        prune by id, and then the version. Buckets that are not given, and other tables, stay as they are.
+        ``batch`` is the stream and the number of its batch that this version has, for ``applied``."""
         before = self.version()
         version, parts = before + 1, self._parts(before)
         for name, df in tables.items():
@@ -88,7 +98,8 @@ class Store:
             rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
             stay = {} if buckets is None or not dealt else {b: v for b, v in parts.get(name, {"buckets": {}})["buckets"].items() if int(b) not in set(buckets)}
             parts[name] = {"schema": json.loads(df.schema.json()), "buckets": stay | {b: version for b in self._folders(folder, "bucket=")}}
-        row = self.spark.createDataFrame([(version, json.dumps(parts))], "version long, parts string")
+        streams = self._streams(before) | ({batch[0]: batch[1]} if batch else {})
+        row = self.spark.createDataFrame([(version, json.dumps(parts), json.dumps(streams))], "version long, parts string, streams string")
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/published")
         self._drop_old(version)
         return version

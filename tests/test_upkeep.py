@@ -85,6 +85,8 @@ def test_folding_is_that_of_the_driver(spark):
     samples = ["Ánh Dương ĐẸP", "plain text", "ﬁ ½ Å K", "한국어 각", "가각", "été", "ÀÉÎõü ß ẞ Ʀ", "𝔘nicode 𐐀", "", "日本 語", "ǅ Ǆ", "İstanbul"]
     samples += [chr(c) for c in range(0xA0, 0x10000, 7) if unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cs", "Cn")]  # older than the JVM's tables
     df = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "i int, t string")
+    for t in ("ΟΔΟΣ ΣΑΣ Σ", "Đường ĐI", "İ̇x", None):
+        assert t is None or text.folded(t) == text.fold_query(t)
     for i, t, got in df.select("i", "t", text.fold(F.col("t")).alias("f")).collect():
         bare = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.category(c).startswith("M"))
         if bare.lower() == bare.casefold() and len(bare.lower()) == len(bare) and all(unicodedata.category(c) != "Cn" for c in t):
