@@ -32,6 +32,42 @@ def classify(current: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.select(*current.columns, work.alias("work"))
 
 
+def whole_plan(current: DataFrame, stored: DataFrame, face_index: DataFrame, photo_text: DataFrame, face_model: str = FACE_MODEL, text_model: str = TEXT_MODEL) -> DataFrame:
+    """R1, J1, J4-J6, P15 in one pass over co-located tables (``sources.colocated``), without an exchange.
+
+    A row for each photo of the library or the store: work (new, changed, pending, unchanged or deleted), whether its face
+    and text rows are valid, and whether they must be made; those of deleted photos need nothing.
+    """
+
+    def columns(df: DataFrame, prefix: str, *names: str) -> DataFrame:
+        return df.select(F.col("mediaId").alias(f"{prefix}Id"), *(F.col(n).alias(f"{prefix}_{n}") for n in names))
+
+    now, known = columns(current, "now", "dateModified"), columns(stored, "stored", "dateModified", "embeddingDimension")
+    faces, texts = (columns(df, prefix, "dateModified", "modelVersion") for df, prefix in ((face_index, "face"), (photo_text, "text")))
+    rows = now
+    for side, prefix, how in ((faces, "face", "left"), (texts, "text", "left"), (known, "stored", "full")):
+        rows = rows.join(side.hint("merge"), F.col("nowId") == F.col(f"{prefix}Id"), how)
+    work = (
+        F.when(F.col("nowId").isNull(), "deleted").when(F.col("storedId").isNull(), "new").when(~F.col("stored_dateModified").eqNullSafe(F.col("now_dateModified")), "changed")
+        .when(F.col("stored_embeddingDimension") == 0, "pending").otherwise("unchanged")
+    )
+    there = F.col("nowId").isNotNull()
+
+    def valid(prefix: str, model: str):
+        return there & F.coalesce((F.col(f"{prefix}_dateModified") == F.col("now_dateModified")) & (F.col(f"{prefix}_modelVersion") == model), F.lit(False))
+
+    face, text = valid("face", face_model), valid("text", text_model)
+    return rows.select(
+        F.coalesce("nowId", "storedId").alias("mediaId"), work.alias("work"), face.alias("faceValid"), text.alias("textValid"), (there & ~face).alias("facePending"), (there & ~text).alias("textPending")
+    )
+
+
+def plan_counts(plan: DataFrame) -> DataFrame:
+    """The numbers of a ``whole_plan``; only sums of each task move."""
+    counted = {"total": F.col("work") != "deleted", **{w: F.col("work") == w for w in ("new", "changed", "pending", "deleted")}, "facesValid": F.col("faceValid"), "textsValid": F.col("textValid")}
+    return plan.agg(*(F.count_if(c).alias(n) for n, c in counted.items()))
+
+
 def to_embed(current: DataFrame, stored: DataFrame) -> DataFrame:
     return classify(current, stored).where("work <> 'unchanged'").drop("work")
 
