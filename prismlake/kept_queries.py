@@ -16,6 +16,7 @@ from prismlake.sources import colocated
 from prismlake.sources import library as sources
 from prismlake.sources.tables import Store, scratch
 from prismlake.streaming import index as streaming
+from prismlake.streaming import live
 
 # --- kept tables that follow a stream (D3, D5, D12, R2, R5) ---
 
@@ -46,6 +47,28 @@ def streamed_text_index(lib):
     return now.join(kept.matches(("the", "and"), now, MODEL), "mediaId", "left_semi").select("mediaId", "dateModified")
 
 
+LATER = "CASE WHEN m.mediaId % 5 = 0 THEN 1 ELSE 0 END"
+
+
+@query(f"""SELECT unnest(['photos', 'faces', 'texts']) AS name, unnest([photos, faces, texts]) AS n FROM (
+  SELECT count(*) AS photos, count(*) FILTER (f.dateModified = m.dateModified + {LATER} AND f.modelVersion = 'v1') AS faces, count(*) FILTER (t.dateModified = m.dateModified + {LATER} AND t.modelVersion = 'v1') AS texts
+  FROM media m LEFT JOIN face_index f ON m.mediaId = f.mediaId LEFT JOIN photo_text t ON m.mediaId = t.mediaId WHERE m.mediaId % 7 <> 0)""", "media", "face_index", "photo_text")
+def stream_valid_counts(lib):
+    """Photos and those with valid faces and texts, after revisions and deletions took some back."""
+    folder = scratch(lib.spark)
+    media = lib.media.select("mediaId", "dateModified")
+    feeds = [live.changes_of("photos", media), live.changes_of("faces", lib.face_index), live.changes_of("texts", lib.photo_text)]
+    # in the second batch every fifth photo has a new revision and every seventh goes, in the first some rows that are older
+    later = live.changes_of("photos", media.where("mediaId % 5 = 0").withColumn("dateModified", F.col("dateModified") + 1))
+    gone = live.changes_of("photos", media.where("mediaId % 7 = 0").withColumns({"dateModified": F.col("dateModified") + 2, "gone": F.lit(True)}))
+    first = feeds[0].where("mediaId % 3 = 0").unionByName(feeds[1]).unionByName(gone.where("mediaId % 2 = 0"))
+    second = feeds[0].where("mediaId % 3 <> 0").unionByName(feeds[2]).unionByName(later).unionByName(gone.where("mediaId % 2 = 1"))
+    for k, rows in enumerate((first, second)):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        live.counted(sources.changes(lib.spark, f"{folder}/in", first.schema), f"{folder}/live", MODEL, MODEL).awaitTermination()
+    return live.totals(lib.spark, f"{folder}/live", k)
+
+
 # --- many queries and two growing sides (V5, O1, O3, J9) ---
 
 ASKED = "vec_id % 20 = 0"
