@@ -195,3 +195,11 @@ def with_checksum(files: DataFrame, expected: dict[str, str]) -> DataFrame:
     wanted = F.create_map(*(F.lit(x) for pair in expected.items() for x in pair))[name] if expected else F.lit(None).cast("string")
     digest = F.sha2("content", 256)
     return files.withColumn("sha256", F.when(digest == wanted, digest).otherwise(F.raise_error(F.concat(F.lit("wrong checksum of "), name)).cast("string")))
+
+
+def checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """X15 with the error as a value: ``files`` (path, content) beside ``expected`` (name, sha256), each file with its sha256 or why not."""
+    digest = F.sha2("content", 256)
+    rows = files.withColumn("_name", F.element_at(F.split("path", "/"), -1)).join(expected.select(F.col("name").alias("_name"), F.lower("sha256").alias("_wanted")), "_name", "left")
+    error = F.when(F.col("_wanted").isNull(), F.lit("no checksum of ")).when(F.col("content").isNull(), F.lit("no content of ")).when(digest != F.col("_wanted"), F.lit("wrong checksum of "))
+    return rows.withColumns({"sha256": F.when(digest == F.col("_wanted"), digest), "error": F.concat(error, F.col("_name"))}).drop("_name", "_wanted")

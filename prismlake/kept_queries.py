@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from prismlake import schemas
 from prismlake.datasets import MODEL
-from prismlake.operators import many, pivots, planning, search
+from prismlake.functions import contracts
+from prismlake.operators import asking, many, pivots, planning, search, store
 from prismlake.queries import RANK_TIME, TOKENS
 from prismlake.registry import query
 from prismlake.sources import colocated
@@ -136,3 +137,74 @@ def bucket_lookup(lib):
     """People by handle; only their buckets are opened."""
     people = in_buckets(lib, "people", lib.people.select("id", "name", "handle"), "handle")
     return colocated.lookup(people, ["p_3", "p_17", "p_x"], "handle")
+
+
+# --- progress of a pass while it runs (R3, R10) ---
+
+VISUAL, FACES, TEXT = "(m.mediaId NOT IN (SELECT mediaId FROM stored))", "(m.mediaId % 4 = 0)", "(m.mediaId % 3 = 0)"
+
+
+@query(f"""SELECT unnest(range(11)) AS step, unnest([1, 2, 3, 1, 1, 1, 2, 2, 3, 3, 3]) AS id, unnest([0, 0, 0, n - a, n, n, n - b, n - b, n - c, n - cf, n - cf]) AS processed, n AS total,
+  unnest([0, 0, 0, 0, af, af, 0, 0, 0, cf, cf]) AS failed, unnest(['QUEUED', 'QUEUED', 'QUEUED', 'RUNNING', 'RUNNING', if(af > 0, 'INTERRUPTED', 'COMPLETE'), 'RUNNING', 'UNAVAILABLE', 'RUNNING', 'RUNNING', if(cf > 0, 'INTERRUPTED', 'COMPLETE')]) AS status
+FROM (SELECT count(*) AS n, count(*) FILTER ({VISUAL}) AS a, count(*) FILTER ({VISUAL} AND m.mediaId % 5 = 0) AS af, count(*) FILTER ({FACES}) AS b, count(*) FILTER ({TEXT}) AS c, count(*) FILTER ({TEXT} AND m.mediaId % 5 = 0) AS cf FROM media m)""", "stored")
+def staged_progress(lib):
+    """The rows that others see while three stages run, of which the second's model is missing."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        failing = F.when(F.col("mediaId") % 5 == 0, F.lit("unreadable"))
+        return rows.withColumn("result", F.struct(F.when(failing.isNull(), F.array(F.lit(1.0))).alias("value"), failing.alias("error")))
+
+    def missing(rows: DataFrame) -> DataFrame:
+        raise RuntimeError("the model is missing")
+
+    stages = [
+        planning.Stage("visual", lambda now: now.join(lib.stored.select("mediaId"), "mediaId", "left_anti"), work, True),
+        planning.Stage("faces", lambda now: now.where("mediaId % 4 = 0"), missing, False),
+        planning.Stage("text", lambda now: now.where("mediaId % 3 = 0"), work, False),
+    ]
+    folder = scratch(lib.spark)
+    planning.run_stages(lib.media.select("mediaId", "dateModified"), stages, f"{folder}/run", planning.progress_table(lib.spark, f"{folder}/progress"))
+    return lib.spark.read.parquet(f"{folder}/progress").select("step", "id", "processed", "total", "failed", "status")
+
+
+# --- what fails, as rows (D7, J10, P17, U5, X15) ---
+
+
+@query("SELECT 'search_history' AS name, 0 AS n UNION ALL SELECT 'index_progress', (SELECT count(*) FROM events WHERE event_id % 3 = 0)")
+def history_cleared(lib):
+    """Of two tables of one version only the history is empty afterwards."""
+    tables = Store(lib.spark, scratch(lib.spark))
+    tables.publish({"search_history": lib.history, "index_progress": lib.table("events").where("event_id % 3 = 0").select(F.col("event_id").alias("id"))})
+    tables.publish({"search_history": store.clear(tables.read("search_history"))})
+    counts = [tables.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in ("search_history", "index_progress")]
+    return counts[0].unionByName(counts[1])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN sha256(p_name) END AS sha256, CASE WHEN p_partkey % 7 = 0 THEN 'no checksum of p' || p_partkey WHEN p_partkey % 5 = 0 THEN 'wrong checksum of p' || p_partkey END AS error FROM part")
+def asset_checks(lib):
+    """A file for each part; some have another content than expected, some are not known."""
+    files = lib.table("part").select("p_partkey", F.concat(F.lit("assets/p"), F.col("p_partkey")).alias("path"), F.encode("p_name", "UTF-8").alias("content"))
+    expected = lib.table("part").where("p_partkey % 7 <> 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("name"), F.sha2(F.when(F.col("p_partkey") % 5 == 0, F.lit("other")).otherwise(F.col("p_name")), 256).alias("sha256"))
+    return contracts.checksums(files, expected).select("p_partkey", "sha256", "error")
+
+
+@query("SELECT mediaId, CASE WHEN mediaId % 13 = 0 THEN 'unknown mediaType: AUDIO' END AS error FROM media", "media")
+def unknown_types(lib):
+    """Which rows have a type that isn't known."""
+    rows = lib.media.withColumn("mediaType", F.when(F.col("mediaId") % 13 == 0, F.lit("AUDIO")).when(F.col("mediaId") % 17 == 1, F.lit(None)).otherwise(F.col("mediaType")))
+    return schemas.split_allowed(rows, "mediaType").select("mediaId", "error")
+
+
+TYPED = "'@P_' || CAST(event_id % 700 AS STRING) || ' near @p_' || CAST(event_id % 53 AS STRING) || CASE WHEN event_id % 4 = 0 THEN ' or @nobody, write me@p_1' ELSE '' END"
+
+
+@query(f"""SELECT e AS id, CASE WHEN unknown <> '' THEN 'unknown ' || unknown WHEN old <> '' THEN 'update the face photo of ' || old END AS error, CASE WHEN unknown = '' AND old = '' THEN n ELSE 0 END AS people FROM (
+  SELECT e, coalesce(string_agg('@' || h, ', ' ORDER BY i) FILTER (p.id IS NULL), '') AS unknown, coalesce(string_agg('@' || h, ', ' ORDER BY i) FILTER (p.id IS NOT NULL AND p.embeddingModel <> 'v1'), '') AS old, count(*) AS n
+  FROM (SELECT event_id AS e, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM (
+    SELECT event_id, list_distinct_in_order AS hs FROM (SELECT event_id, list_filter(hs, lambda x, k: list_position(hs, x) = k) AS list_distinct_in_order FROM (
+      SELECT event_id, ['p_' || CAST(event_id % 700 AS STRING), 'p_' || CAST(event_id % 53 AS STRING)] || CASE WHEN event_id % 4 = 0 THEN ['nobody'] ELSE [] END AS hs FROM events)))) x
+  LEFT JOIN people p ON p.handle = x.h GROUP BY e)""", "people")
+def asked_people(lib):
+    """Every event as a typed query: whom it mentions, and what is said of them."""
+    asked = lib.table("events").selectExpr("event_id AS id", f"{TYPED} AS query")
+    return asking.asked_people(asked, lib.people, MODEL).select("id", "error", F.coalesce(F.size("people"), F.lit(0)).cast("long").alias("people"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.schemas import FACE_MODEL, TEXT_MODEL
@@ -124,28 +125,62 @@ class Stage:
     counts_failures: bool  # R10: whether failures count as processed
 
 
-def run_stages(current: DataFrame, stages: list[Stage], folder: str | None = None) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Each stage's good rows, and a progress row for each; an unavailable model ends only its own stage.
+PROGRESS = "step long, id int, name string, processed long, total long, failed long, status string, error string"
 
-    What a stage makes is written once, to ``folder`` (a shared one), and read for its failures and its rows.
+
+def progress_table(spark: SparkSession, path: str) -> Callable[[dict], None]:
+    """A report that appends each row to a table, so that others can watch a pass while it runs."""
+    steps = itertools.count()
+
+    def report(row: dict) -> None:
+        row = {"step": next(steps), **row}
+        spark.createDataFrame([tuple(row[c.split(" ")[0]] for c in PROGRESS.split(", "))], PROGRESS).coalesce(1).write.mode("append").parquet(path)
+
+    return report
+
+
+def run_stages(current: DataFrame, stages: list[Stage], folder: str | None = None, report: Callable[[dict], None] | None = None, chunks: int = 1) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Each stage's good rows, and its last progress row; an unavailable model ends only its own stage.
+
+    A stage's pending rows are dealt into ``chunks`` by photo and written once; each chunk is then read, processed and written
+    once, to ``folder`` (a shared one). Its numbers are observed while it is written, so nothing is counted apart. ``report``
+    gets every stage's QUEUED row, a RUNNING row when a stage begins and after each chunk, and the last row.
     """
-    folder = folder or scratch(current.sparkSession)
-    total, good, progress = current.count(), {}, []
+    spark = current.sparkSession
+    folder = folder or scratch(spark)
+    total, good, last = current.count(), {}, []
+    report = report or (lambda row: None)
+    for i, stage in enumerate(stages, 1):
+        report({"id": i, "name": stage.name, "processed": 0, "total": total, "failed": 0, "status": "QUEUED", "error": None})
     for i, stage in enumerate(stages, 1):
-        pending = stage.pending(current)
-        n = pending.count()
+        pending, seen = stage.pending(current), Observation()
+        dealt = pending.withColumn("_chunk", F.pmod(F.xxhash64("mediaId"), F.lit(chunks)).cast("int"))
+        dealt.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("_chunk").parquet(f"{folder}/{stage.name}/pending")
+        n = seen.get["n"]
+        row = {"id": i, "name": stage.name, "processed": total - n, "total": total, "failed": 0, "status": "RUNNING", "error": None}
+        report(dict(row))
+        schema = None
         try:
-            made = stage.process(pending)
-            made.write.parquet(f"{folder}/{stage.name}")
-            done = current.sparkSession.read.schema(made.schema).parquet(f"{folder}/{stage.name}")
-            failed = done.where("result.error is not null").count()
-            good[stage.name] = split_errors(done)[0]
-            status, error = ("INTERRUPTED" if failed else "COMPLETE"), None
+            for chunk in range(chunks if n else 0):
+                rows = spark.read.schema(dealt.schema).parquet(f"{folder}/{stage.name}/pending").where(F.col("_chunk") == chunk).drop("_chunk")
+                made, seen = stage.process(rows), Observation()
+                numbers = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("result.error").isNotNull()).alias("failed")]
+                made.observe(seen, *numbers).write.mode("overwrite").parquet(f"{folder}/{stage.name}/done/chunk={chunk}")
+                schema, failed = made.schema, seen.get["failed"]
+                row["failed"] += failed
+                row["processed"] += seen.get["n"] if stage.counts_failures else seen.get["n"] - failed
+                report(dict(row))
+            row["status"] = "INTERRUPTED" if row["failed"] else "COMPLETE"
+            if schema is None:  # nothing was pending
+                schema = stage.process(pending.where("false")).schema
         except RuntimeError as unavailable:
-            failed, status, error = 0, "UNAVAILABLE", str(unavailable)
-        worked = 0 if error else n if stage.counts_failures else n - failed
-        progress.append({"id": i, "processed": total - n + worked, "total": total, "failed": failed, "status": status, "error": error})
-    return good, progress
+            row |= {"status": "UNAVAILABLE", "error": str(unavailable)}
+        else:
+            paths = [f"{folder}/{stage.name}/done/chunk={chunk}" for chunk in range(chunks if n else 0)]
+            good[stage.name] = split_errors(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))[0]
+        report(dict(row))
+        last.append(row)
+    return good, last
 
 
 def overall_progress(indexed: Column, faces: Column) -> Column:

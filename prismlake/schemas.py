@@ -51,6 +51,12 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
     return df.select(*columns)
 
 
+def split_allowed(df: DataFrame, column: str, values: tuple[str, ...] = MEDIA_TYPES) -> DataFrame:
+    """U5 with the error as a value: ``error`` says which rows ``allowed`` would fail on."""
+    unknown = F.col(column).isNotNull() & ~F.col(column).isin(*values)
+    return df.withColumn("error", F.when(unknown, F.concat(F.lit(f"unknown {column}: "), F.col(column))))
+
+
 def allowed(df: DataFrame, column: str, values: tuple[str, ...] = MEDIA_TYPES) -> DataFrame:
     """Fails at run time on a value outside ``values``."""
     wrong = F.concat(F.lit(f"unknown {column}: "), F.col(column))

@@ -136,6 +136,19 @@ def test_assignment_exists_if_any_does(persons, n, seed):
     assert (faces.assign(scores, 0.2) is not None) == possible
 
 
+def test_assignment_keeps_its_choices():
+    """Which faces are taken where several ways exist, as means of scores."""
+    got = [faces.assign(np.random.default_rng(seed).uniform(0, 1, (4, 6)).round(2), 0.5) for seed in (1, 2, 3, 4, 5, 6)]
+    assert np.allclose(got, [0.8875, 0.805, 0.745, 0.94, 0.915, 0.9175])
+    assert faces.assign(np.array([[0.9, 0.8], [0.9, np.nan]]), 0.5) == pytest.approx(0.85)
+    assert faces.assign(np.full((2, 2), 0.5), 0.5) == 0.5 and faces.assign(np.zeros((0, 3))) is None
+
+
+def test_entities():
+    cases = {"&amp;lt;": "&lt;", "&#65;&#x41;&#X6f;": "AAo", "&#x110000;&#xD800;&#;&#x;&#1_0;": "&#x110000;&#xD800;&#;&#x;&#1_0;", "& amp; &amp &&lt;": "& amp; &amp &<", "&NBSP;|&nope;&é;": "\xa0|&nope;&é;", "": "", "&": "&"}
+    assert [text._unescape(k) for k in cases] == list(cases.values())
+
+
 def test_overlaps_and_alignment(spark):
     def box(left, right, score):
         return {"left": left, "top": 0.0, "right": right, "bottom": 100.0, "score": score, "landmarks": []}
