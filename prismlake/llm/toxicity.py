@@ -30,6 +30,7 @@ import functools
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +199,30 @@ def floor(sums: np.ndarray, k: int) -> np.ndarray:
     return np.maximum(np.partition(sums, -k, axis=1)[:, -k] - SLACK, 0.0) if sums.shape[1] >= k else np.zeros(len(sums))
 
 
+def raised(x: np.ndarray) -> np.ndarray:
+    """Half-precision numbers that aren't below ``x``."""
+    half = x.astype(np.float16)
+    return np.where(half < x, np.nextafter(half, np.float16(np.inf)), half)
+
+
+class Built(NamedTuple):
+    """Of rare terms' blocks the number, the start of postings (and the end of the last) and the greatest weight; where each
+    term's blocks start. The weights of clusters' common terms by row and example, all in one run after a zero, and where they
+    start there; by cluster and shared term (common anywhere) the row's number, -1 of others; each term's place among the shared
+    ones, -1 of others; by term and cluster at least the greatest weight."""
+
+    block: np.ndarray
+    start: np.ndarray
+    top: np.ndarray
+    pairs: np.ndarray
+    matrices: list[np.ndarray]
+    flat: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    place: np.ndarray
+    most: np.ndarray
+
+
 class Index:
     """Normalised TF-IDF vectors of the examples in postings by term, cut into blocks with their greatest weights."""
 
@@ -232,44 +257,44 @@ class Index:
         self.known: dict[bytes, tuple] = {}
 
     @functools.cached_property
-    def cut(self) -> tuple[np.ndarray, ...]:
-        """Of rare terms' blocks: number, start, end and greatest weight, and where each term's start."""
-        spot = np.flatnonzero(self.dense[-1]).astype(np.int32)
-        term = np.searchsorted(self.from_, spot, side="right").astype(np.int32) - 1
-        block = (self.numbers[spot] // BLOCK).astype(np.int32)
-        new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])[: len(spot)])
-        start, end = spot[new], np.append(spot[new[1:] - 1], spot[-1:]) + 1  # a rare term's postings in a block stand together
-        most = np.maximum.reduceat(self.weights[spot], new) if len(new) else np.zeros(0, np.float32)
-        return block[new], start, end, most, np.searchsorted(term[new], np.arange(len(self.idf) + 1))
-
-    @functools.cached_property
-    def dense(self) -> tuple:
-        """By cluster, the weights of its common terms by row and example, all in one run after a zero, and where they start there; by
-        cluster and term the row's number (-1 of others); which terms are common anywhere; by term and cluster the greatest
-        weight; and which postings are rare."""
-        n, many = len(self.idf), len(self.edges) - 1
-        cluster = (np.searchsorted(self.edges // BLOCK, np.arange(self.blocks), side="right") - 1).astype(np.int8).repeat(BLOCK)[self.numbers]
-        rare, starts, most, often = np.ones(len(cluster), bool), [1], np.zeros((n, many), np.float32), []
-        kept = []
-        for c, width in enumerate(np.diff(self.edges)):
-            inside = np.flatnonzero(cluster == c).astype(np.int32)
-            own = np.searchsorted(self.from_, inside, side="right").astype(np.int32) - 1
+    def built(self) -> Built:
+        """What a search reads, made of the postings, of which the rare ones alone stay; one array of their size at a time beside them."""
+        n, many, widths = len(self.idf), len(self.edges) - 1, np.diff(self.edges)
+        lengths = np.diff(self.from_)
+        term = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        of_block = np.repeat(np.arange(many, dtype=np.int8), widths // BLOCK)
+        cluster = of_block.repeat(BLOCK)[self.numbers] if len(self.numbers) else np.zeros(0, np.int8)
+        rare, starts, most, often = np.ones(len(cluster), bool), [1], np.zeros((n, many), np.float16), []
+        for c, width in enumerate(widths):
+            inside = np.flatnonzero(cluster == c)
+            own = term[inside]
             if len(own):
                 heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                most[own[heads], c] = np.maximum.reduceat(self.weights[inside], heads)
+                most[own[heads], c] = raised(np.maximum.reduceat(self.weights[inside], heads))
             size = np.bincount(own, minlength=n)
             often.append(np.flatnonzero(size >= max(COMMON * width, 1)))
-            common = size[own] >= max(COMMON * width, 1)
-            rare[inside[common]] = False
-            kept.append((inside[common], own[common]))
+            rare[inside[size[own] >= max(COMMON * width, 1)]] = False
             starts.append(starts[-1] + len(often[-1]) * int(width))
-        rows = np.full((many, n), -1, np.int16 if max(map(len, often), default=0) < 1 << 15 else np.int32)
+        shared = np.unique(np.concatenate(often)) if often else np.zeros(0, np.int64)
+        place = np.full(n, -1, np.int32)
+        place[shared] = np.arange(len(shared))
+        rows = np.full((many, len(shared)), -1, np.int32)
         flat, matrices = np.zeros(starts[-1], np.float32), []
-        for c, ((spot, own), width) in enumerate(zip(kept, np.diff(self.edges), strict=True)):
-            rows[c, often[c]] = np.arange(len(often[c]))
+        for c, width in enumerate(widths):
+            rows[c, place[often[c]]] = np.arange(len(often[c]))
             matrices.append(flat[starts[c] : starts[c + 1]].reshape(-1, int(width)))
-            matrices[-1][rows[c, own], self.numbers[spot] - self.edges[c]] = self.weights[spot]
-        return matrices, flat, np.array(starts), rows, (rows >= 0).any(axis=0), most, rare
+            spot = np.flatnonzero((cluster == c) & ~rare)
+            matrices[-1][rows[c, place[term[spot]]], self.numbers[spot] - self.edges[c]] = self.weights[spot]
+        # from here on only the rare terms' postings
+        del cluster
+        term, self.numbers = term[rare], self.numbers[rare]
+        self.weights, self.from_ = self.weights[rare], None
+        block = (self.numbers // BLOCK).astype(np.min_scalar_type(self.blocks))
+        new = np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])[: len(term)]
+        start = np.append(np.flatnonzero(new), len(term)).astype(np.int32)  # a rare term's postings in a block stand together
+        top = np.maximum.reduceat(self.weights, start[:-1]) if len(term) else np.zeros(0, np.float32)
+        pairs = np.concatenate([[0], np.cumsum(np.bincount(term[new], minlength=n))]).astype(np.int32)
+        return Built(block[new], start, top, pairs, matrices, flat, np.array(starts), rows, place, most)
 
     def raw(self, found: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
         """TF-IDF weights and their norm."""
@@ -288,12 +313,11 @@ class Index:
         """``nearest`` of each vector."""
         if not self.blocks:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
-        blocks, starts, ends, most, pairs = self.cut
-        matrices, flat, matrix_starts, rows, shared, most_in, _ = self.dense
+        blocks, starts, most, pairs, matrices, flat, matrix_starts, rows, place_of, most_in = self.built
         n, width, out = len(vectors), self.blocks * BLOCK, []
         found, weights = np.concatenate([f for f, _ in vectors]), np.concatenate([w for _, w in vectors]).astype(np.float32)
         bounds = np.cumsum([0, *(len(f) for f, _ in vectors)])
-        text = np.repeat(np.arange(n), np.diff(bounds))
+        text, spot_of = np.repeat(np.arange(n), np.diff(bounds)), place_of[found]
         reach = np.add.reduceat(weights[:, None] * most_in[found], bounds[:-1], axis=0) + SLACK  # no cosine in the cluster is greater
         sums, home, floors = np.zeros((n, width), np.float32), reach.argmax(axis=1), np.zeros(n)
 
@@ -301,8 +325,11 @@ class Index:
             """The common terms' part of the cosines of some texts with a cluster, in single precision."""
             here = np.full(n, -1)
             here[texts] = np.arange(len(texts))
-            r, at = rows[c, found].astype(np.int64), here[text]
-            there = (r >= 0) & (at >= 0)
+            at = here[text]
+            there = np.flatnonzero((spot_of >= 0) & (at >= 0))
+            r = np.full(len(found), -1)
+            r[there] = rows[c, spot_of[there]]
+            there = there[r[there] >= 0]
             asked = np.zeros((len(texts), len(matrices[c])), np.float32)
             asked[at[there], r[there]] = weights[there]
             used = np.flatnonzero(asked.any(axis=0))
@@ -318,20 +345,20 @@ class Index:
         for c in np.flatnonzero(opened.any(axis=0)):
             add(c, np.flatnonzero(opened[:, c]))
         for i, (own, sharp) in enumerate(vectors):
-            pair, times = spread(pairs[own], pairs[own + 1])
+            pair, times = spread(pairs[own].astype(np.int64), pairs[own + 1].astype(np.int64))
             weight, block = np.repeat(sharp, times), blocks[pair]
             bound = sums[i].reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weight * most[pair], self.blocks) + SLACK
             some = np.flatnonzero((bound >= floors[i])[block])
             pair = pair[some]
-            spot, times = spread(starts[pair], ends[pair])
+            spot, times = spread(starts[pair].astype(np.int64), starts[pair + 1].astype(np.int64))
             rare = np.bincount(self.numbers[spot], np.repeat(weight[some], times) * self.weights[spot], width).astype(float)
             total = sums[i] + rare
             place = np.flatnonzero(total >= max(floors[i], 1e-12))
             place = place[total[place] >= floor(total[None, place], k)[0]]
             # what is left again, in double precision
-            common = np.flatnonzero(shared[own])
+            common = np.flatnonzero(place_of[own] >= 0)
             cluster = np.searchsorted(self.edges, place, side="right") - 1
-            row = rows[cluster[:, None], own[common]]
+            row = rows[cluster[:, None], place_of[own[common]]].astype(np.int64)
             at = np.where(row >= 0, row * np.diff(self.edges)[cluster][:, None] + (matrix_starts[cluster] + place - self.edges[cluster])[:, None], 0)  # a zero
             cosines = rare[place] + flat[at] @ sharp[common].astype(float)
             keep = np.lexsort((place, -np.round(cosines, 12)))[:k]
@@ -347,7 +374,7 @@ class Index:
         vectors = [(f, self.vector(f, t)) for f, t in new.values()]
         order = np.arange(len(vectors))
         if self.blocks and len(vectors):  # texts of one cluster's terms together, which leaves out the most rows
-            order = np.argsort([(w[:, None] * self.dense[-2][f]).sum(axis=0).argmax() for f, w in vectors], kind="stable")
+            order = np.argsort([(w[:, None] * self.built.most[f]).sum(axis=0).argmax() for f, w in vectors], kind="stable")
         named = list(new)
         for lo in range(0, len(order), TOGETHER):
             some = order[lo : lo + TOGETHER]
@@ -358,7 +385,9 @@ class Index:
         return [self.known[key] if len(text[0]) else (self.bare_rate, []) for key, text in zip(keys, texts, strict=True)]
 
     def __getstate__(self):
-        state = {k: v for k, v in self.__dict__.items() if k not in ("cut", "dense")} | {"known": {}}
+        state = {k: v for k, v in self.__dict__.items() if k != "built"} | {"known": {}}
+        if self.from_ is None:
+            raise ValueError("an index travels before it is searched")
         if self.times is not None:
             steps = np.diff(self.numbers, prepend=self.numbers[:1] * 0)  # modulo the type's size
             packed = {"numbers": steps, "times": self.times, "from_": np.diff(self.from_).astype(np.uint16 if len(self.ids) < 1 << 16 else np.int64)}

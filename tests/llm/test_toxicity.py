@@ -111,12 +111,12 @@ def test_nearest_is_exact_across_clusters(monkeypatch):
     vectors = [vector(i % 3) for i in range(1000)]
     vectors += vectors[:200:3]
     index = toxicity.Index(vocabulary, idf, vectors, np.zeros(len(vectors)), np.arange(len(vectors)), 0.1, 0.1)
-    assert len(index.edges) > 4 and any(len(m) for m in index.dense[0]) and len(index.cut[0])
     width = index.blocks * 32
     dense = np.zeros((width, len(idf)))
     for t in range(len(idf)):
         lo, hi = index.from_[t], index.from_[t + 1]
         dense[index.numbers[lo:hi], t] = index.weights[lo:hi]
+    assert len(index.edges) > 4 and any(len(m) for m in index.built.matrices) and len(index.built.block)
     asked = [vector(i % 3) for i in range(90)] + vectors[:5]
     for (found, weights), (best, got) in zip(asked, index.all_nearest(asked), strict=True):
         cosines = dense[:, found] @ weights
