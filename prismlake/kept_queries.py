@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake import schemas
-from prismlake.datasets import MODEL
+from prismlake import registry, schemas
+from prismlake.datasets import MODEL, NOW_MILLIS, VIEWS
 from prismlake.functions import contracts
-from prismlake.operators import asking, many, pivots, planning, search, store
+from prismlake.operators import albums, asking, many, paging, pivots, planning, search, store
+from prismlake.plans.query import Filters
 from prismlake.queries import RANK_TIME, TOKENS
 from prismlake.registry import query
 from prismlake.sources import colocated
@@ -48,6 +49,50 @@ def streamed_text_index(lib):
     return now.join(kept.matches(("the", "and"), now, MODEL), "mediaId", "left_semi").select("mediaId", "dateModified")
 
 
+# photos that move to another album, go, and come
+MOVED = {"dateModified": "dateModified + 1", "bucketId": "'moved'", "bucketName": "'Moved'"}
+CAME = {"mediaId": "mediaId + 1000000", "uri": "'new_' || CAST(mediaId AS STRING)"}
+AFTERWARDS = f"SELECT * REPLACE ({', '.join(f'CASE WHEN mediaId % 6 = 0 THEN {e} ELSE {c} END AS {c}' for c, e in MOVED.items())}) FROM before WHERE mediaId % 7 <> 0 UNION ALL SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in CAME.items())}) FROM before WHERE mediaId % 10 = 0"
+
+
+@query(f"WITH before AS ({VIEWS['media']}), media AS ({AFTERWARDS})" + registry.SQL["album_catalog"].removeprefix(f"WITH media AS ({VIEWS['media']})"))
+def kept_album_catalog(lib):
+    """The catalog from kept parts, after a stream moved, deleted and added photos, covers among them."""
+    folder = scratch(lib.spark)
+    tables = Store(lib.spark, f"{folder}/store", buckets=8)
+    kept = albums.kept_parts(tables.bucket)
+    media = lib.media.drop("embedding")
+    empty = {name: lib.spark.createDataFrame([], schema) for name, schema in (("photo_text", schemas.PHOTO_TEXT), ("face_index", schemas.FACE_INDEX), ("face_embeddings", schemas.FACES))}
+    tables.publish({"media_embeddings": media, "album_parts": kept.make(media), **empty})
+    alive = F.lit(False).alias("gone")
+    moved = media.where("mediaId % 6 = 0").selectExpr(*(f"{MOVED.get(c, c)} AS {c}" for c in media.columns)).select("*", alive)
+    came = media.where("mediaId % 10 = 0").selectExpr(*(f"{CAME.get(c, c)} AS {c}" for c in media.columns)).select("*", alive)
+    gone = media.where("mediaId % 7 = 0").withColumns({"dateModified": F.col("dateModified") + 2, "gone": F.lit(True)})
+    moved.unionByName(came).unionByName(gone).coalesce(1).write.parquet(f"{folder}/feed")
+    feed = sources.changes(lib.spark, f"{folder}/feed", gone.schema)
+    streaming.into_store(feed, tables, f"{folder}/checkpoint", derived=[kept]).awaitTermination()
+    rows = albums.build_kept(tables.read("album_parts"), tables.read("media_embeddings"), NOW_MILLIS).withColumn("position", F.monotonically_increasing_id())
+    return rows.withColumn("position", F.row_number().over(Window.orderBy("position"))).select("id", "name", "count", "coverUri", "position")  # an album a row
+
+
+@query("SELECT mediaId, dateModified, 'before' AS side FROM media WHERE mediaId % 90 = 0 OR mediaId % 77 = 0 UNION ALL SELECT mediaId, dateModified + 1, 'after' FROM media WHERE mediaId % 90 = 0 AND mediaId % 77 <> 0", "media")
+def snapshot_changes(lib):
+    """What two snapshots differ in, sought in the buckets whose digests differ."""
+    after = lib.media.where("mediaId % 77 <> 0").withColumn("dateModified", F.when(F.col("mediaId") % 90 == 0, F.col("dateModified") + 1).otherwise(F.col("dateModified")))
+    return planning.snapshot_changes(lib.media, after)
+
+
+@query("SELECT mediaId, uri FROM media WHERE embeddingDimension > 0 ORDER BY mediaId LIMIT 64 OFFSET 128", "media")
+def seek_page(lib):
+    """The third page of 64 by cursor, from files sorted by id."""
+    pages = paging.Pages.saved(lib.media.drop("embedding"), scratch(lib.spark))
+    cursor = None
+    for _ in range(2):
+        last = pages.after(cursor, Filters(), 64).agg(F.max("mediaId")).first()[0]
+        cursor = cursor if last is None else last  # a library of fewer pages ends here
+    return pages.after(cursor, Filters(), 64).select("mediaId", "uri")
+
+
 LATER = "CASE WHEN m.mediaId % 5 = 0 THEN 1 ELSE 0 END"
 
 
@@ -118,16 +163,16 @@ PLANNED = """SELECT coalesce(m.mediaId, s.mediaId) AS mediaId,
   m.mediaId IS NOT NULL AND coalesce(f.dateModified = m.dateModified AND f.modelVersion = 'v1', false) AS faceValid, m.mediaId IS NOT NULL AND coalesce(t.dateModified = m.dateModified AND t.modelVersion = 'v1', false) AS textValid,
   m.mediaId IS NOT NULL AND NOT coalesce(f.dateModified = m.dateModified AND f.modelVersion = 'v1', false) AS facePending, m.mediaId IS NOT NULL AND NOT coalesce(t.dateModified = m.dateModified AND t.modelVersion = 'v1', false) AS textPending
 FROM media m LEFT JOIN face_index f ON m.mediaId = f.mediaId LEFT JOIN photo_text t ON m.mediaId = t.mediaId FULL JOIN stored s ON m.mediaId = s.mediaId"""
-VIEWS = ("media", "face_index", "photo_text", "stored")
+ROLES = ("media", "face_index", "photo_text", "stored")
 
 
-@query(PLANNED, *VIEWS)
+@query(PLANNED, *ROLES)
 def whole_index_plan(lib):
     """All of a pass's work in one reading of co-located tables."""
     return colocated_plan(lib)
 
 
-@query(f"SELECT count(*) FILTER (work <> 'deleted') AS total, {', '.join(f'''count(*) FILTER (work = '{w}') AS {w}''' for w in ('new', 'changed', 'pending', 'deleted'))}, count(*) FILTER (faceValid) AS facesValid, count(*) FILTER (textValid) AS textsValid FROM ({PLANNED})", *VIEWS)
+@query(f"SELECT count(*) FILTER (work <> 'deleted') AS total, {', '.join(f'''count(*) FILTER (work = '{w}') AS {w}''' for w in ('new', 'changed', 'pending', 'deleted'))}, count(*) FILTER (faceValid) AS facesValid, count(*) FILTER (textValid) AS textsValid FROM ({PLANNED})", *ROLES)
 def whole_plan_counts(lib):
     return planning.plan_counts(colocated_plan(lib))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.functions.scalars import recent_cutoff
+from prismlake.operators.store import Derived
 
 ALL, RECENT = "all", "recent"
 
@@ -70,12 +74,50 @@ def bucket_albums(photos: DataFrame) -> DataFrame:
 
 def build(photos: DataFrame, now_millis: int) -> DataFrame:
     """System albums, then buckets by size; of one id the first stays."""
+    return _catalog(system_albums(photos, now_millis), bucket_albums(photos))
+
+
+def _catalog(system: DataFrame, buckets: DataFrame) -> DataFrame:
     columns = ["id", "name", "count", "coverUri", "isSystemCollection"]
     nothing = F.lit(None)
-    system = system_albums(photos, now_millis)
-    buckets = bucket_albums(photos)
     system = system.select(*columns, F.col("rank"), nothing.cast(buckets.schema["first"].dataType).alias("first"))
     both = system.unionByName(buckets.select(*columns, F.lit(2).alias("rank"), "first"))
     order = [F.asc("rank"), F.when(F.col("rank") == 2, -F.col("count")).asc(), F.asc("first"), F.asc("name")]
     kept = both.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("_n = 1")
     return kept.orderBy(*order).select(*columns)
+
+
+def album_parts(photos: DataFrame, bucket: Column) -> DataFrame:
+    """What each bucket of a store adds to each album, and to all photos (``whole``): its number of photos, its first place and
+    the cover there. ``mediaId`` is the cover's, which puts the row into the bucket it is made of."""
+    place = scan_place()
+    named = F.col("bucketId").isNotNull() & F.coalesce(F.col("bucketName").rlike(r"\S"), F.lit(False))
+    nobody = F.lit(None).cast("string")
+    keys = F.array(F.struct(F.lit(True).alias("whole"), nobody.alias("id"), nobody.alias("name")), F.when(named, F.struct(F.lit(False).alias("whole"), F.col("bucketId").alias("id"), F.col("bucketName").alias("name"))))
+    rows = photos.select(bucket.alias("_bucket"), F.explode(keys).alias("k"), place.alias("place"), F.struct("mediaId", "uri").alias("cover")).where("k is not null")
+    found = rows.groupBy("_bucket", "k.whole", "k.id", "k.name").agg(F.count("*").alias("count"), F.min_by("cover", "place").alias("cover"), F.min("place").alias("first"))
+    return found.select("cover.mediaId", "whole", "id", "name", "count", F.col("cover.uri").alias("coverUri"), "first")
+
+
+@dataclass(frozen=True)
+class KeptParts(Derived):
+    """Albums as a kept table (A4-A6, W2): a version's change makes the parts of its buckets anew, from these buckets alone. So a
+    cover that goes is replaced by the next one without reading the other buckets."""
+
+    def followed(self, stored: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+        return self.make(after).select(*stored.columns)
+
+
+def kept_parts(bucket: Callable[[], Column]) -> KeptParts:
+    """``album_parts`` beside a store's photos; ``bucket`` is the store's."""
+    return KeptParts("album_parts", "media_embeddings", lambda photos: album_parts(photos, bucket()))
+
+
+def build_kept(parts: DataFrame, photos: DataFrame, now_millis: int) -> DataFrame:
+    """``build`` from kept parts: a row for each bucket and album is read, and of the photos only recent ones."""
+    merged = parts.groupBy("whole", "id", "name").agg(F.sum("count").alias("count"), F.min_by("coverUri", "first").alias("coverUri"), F.min("first").alias("first"))
+    all_photos = merged.where("whole").select(F.lit(0).alias("rank"), F.lit(ALL).alias("id"), F.lit("All Photos").alias("name"), "count", "coverUri", F.lit(True).alias("isSystemCollection"))
+    cutoff = recent_cutoff(now_millis)
+    recent = photos.where(F.col("dateAdded") >= cutoff) if cutoff > 0 else photos
+    system = all_photos.unionByName(system_albums(recent, now_millis).where(F.col("id") == RECENT))
+    return _catalog(system, merged.where("not whole").drop("whole").withColumn("isSystemCollection", F.lit(False)))

@@ -108,6 +108,28 @@ def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("after")))
 
 
+def snapshot_digests(snapshot: DataFrame, buckets: int) -> DataFrame:
+    """For each bucket of photos the number of its rows and sums of four 32-bit parts of their hashes, which don't depend on
+    their order; sums of each task are all that is shuffled."""
+    hashes = [F.xxhash64(F.lit(seed), "mediaId", "dateModified") for seed in (1, 2)]
+    parts = [F.shiftrightunsigned(h, shift).bitwiseAND(0xFFFFFFFF) for h in hashes for shift in (0, 32)]
+    rows = snapshot.select(F.pmod(F.xxhash64("mediaId"), F.lit(buckets)).alias("bucket"), *(p.alias(f"h{i}") for i, p in enumerate(parts)))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(f"h{i}").alias(f"h{i}") for i in range(len(parts))))
+
+
+def differing_buckets(before: DataFrame, after: DataFrame, buckets: int = 1024) -> list[int]:
+    """The buckets in which two snapshots differ, at most ``buckets`` numbers; none if they are equal."""
+    a, b = (snapshot_digests(x, buckets) for x in (before, after))
+    return sorted(r["bucket"] for r in a.exceptAll(b).union(b.exceptAll(a)).select("bucket").distinct().collect())
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``snapshot_difference``, sought only in buckets that differ: rows of the others are read and not shuffled."""
+    some = differing_buckets(before, after, buckets)
+    inside = F.pmod(F.xxhash64("mediaId"), F.lit(buckets)).isin(some) if some else F.lit(False)
+    return snapshot_difference(before.where(inside), after.where(inside))
+
+
 def split_errors(processed: DataFrame, result: str = "result") -> tuple[DataFrame, DataFrame]:
     """Good rows with their value, and bad ones with their error; bad ones stay pending."""
     good = processed.where(F.col(f"{result}.error").isNull()).withColumn("value", F.col(f"{result}.value")).drop(result)
