@@ -14,7 +14,7 @@ equal. Two lanes share one 64-bit sum.
 Defined cases: null text is empty and has one empty paragraph and an empty sketch, alike (1.0) to any other empty one and
 not at all to others; a text without phrases (white space only) is alike only to equal ones; rows that repeat doc_id
 and text are one document when the next document is sought, and are all returned; rows with one doc_id and different
-texts are ordered by a hash of the text; a null doc_id comes first; an empty table gives no rows; extra columns are
+texts are ordered by a hash of the text; a null doc_id is ordered as 0; an empty table gives no rows; extra columns are
 ignored.
 """
 

@@ -1,6 +1,7 @@
-"""Toxicity by nearest labelled examples under TF-IDF cosine, found exactly with a block-max inverted index.
+"""Toxicity by nearest labelled examples under a weighted TF-IDF cosine, found exactly with a block-max inverted index.
 
-Terms are words of letters and digits (A-Z lower-cased). The vocabulary is every word of the labelled examples, so
+The cosine is that of TF-IDF vectors over words and some word prefixes, in which terms that tell the labels apart weigh
+``TELLING`` times as much; it is exact for these vectors. Terms are words of letters and digits (A-Z lower-cased). The vocabulary is every word of the labelled examples, so
 an example's vector has all its words. Besides, a word's first 4, 5 or 6 bytes are a term where they tell the
 examples apart, which catches inflected forms. Terms that tell the examples apart weigh ``TELLING`` times as much:
 those most of whose examples have label 1, too many for chance (binomial tail; ``ALPHA`` such terms are expected by
@@ -20,7 +21,8 @@ without terms. The nearest examples' ids are the evidence.
 
 Defined cases: null and empty texts have no terms; examples without text or label are left out; of
 contradicting labels for one doc_id the toxic one counts, of its texts the least; without any example of label 1 every
-score is the training rate (0 without examples); rows that repeat a doc_id are scored each for itself; an empty table
+score is the training rate (0 without examples); rows that repeat a doc_id are scored each for itself; ``reject`` learns from
+the rows that it scores too, so a labelled row finds itself nearest and its own label decides; an empty table
 gives no rows; other columns are kept by ``reject`` and ignored by ``score``.
 """
 
