@@ -90,17 +90,19 @@ def has_all(word_array: Column, wanted: Sequence[str]) -> Column:
 # fixed value: what a mention looks like
 MENTION = r"(?<![\p{L}\p{N}_@])@([\p{L}\p{M}\p{N}_]+)"
 
+HANDLE = r"^[\p{L}\p{N}_]{1,40}$"
+
 
 def handle(name: Column) -> Column:
     """The canonical handle; null where the name can't be one."""
     clean = F.regexp_replace(F.lower(nfc(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "^@", ""))), r"\s+", "_")
-    return F.when(clean.rlike(r"^[\p{L}\p{N}_]{1,40}$"), clean)
+    return F.when(clean.rlike(HANDLE), clean)
 
 
 def mentions(text: Column) -> Column:
     """Canonical handles mentioned in a text, first appearances in order; addresses aren't mentions."""
     found = F.regexp_extract_all(F.lower(nfc(text)), F.lit(MENTION), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda m: m.rlike(r"^[\p{L}\p{N}_]{1,40}$")))
+    return F.array_distinct(F.filter(found, lambda m: m.rlike(HANDLE)))
 
 
 def without_mentions(text: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,10 +182,23 @@ def quoted_words(lib):
     return lib.table("documents").select("doc_id", asked(F.col("text")).alias("quoted"))
 
 
-@query("SELECT b AS byte, CASE WHEN v THEN chr(b) ELSE chr(256 + CAST(count(*) FILTER (NOT v) OVER (ORDER BY b) AS INTEGER) - 1) END AS character FROM (SELECT CAST(b AS INTEGER) AS b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 AS v FROM range(256) t(b))")
+@query("""SELECT b AS byte, CASE WHEN v THEN chr(b) ELSE chr(256 + CAST(b - (SELECT count(*) FROM range(256) r(k) WHERE k < b AND (k BETWEEN 33 AND 126 OR k BETWEEN 161 AND 172 OR k BETWEEN 174 AND 255)) AS INTEGER)) END AS character, n FROM (
+  SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 AS v, count(*) AS n FROM (
+    SELECT unnest(list_transform(generate_series(1, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER))) AS b FROM (SELECT hex(encode(text)) AS h FROM documents)) GROUP BY b)""")
 def byte_alphabet(lib):
-    """X10."""
-    return lib.spark.createDataFrame(sorted(text.byte_alphabet().items()), "byte int, character string")
+    """How often each byte stands in the documents, beside the character that shows it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for value in batch.column(0).drop_null():
+                total += np.bincount(np.frombuffer(value.as_buffer(), np.uint8), minlength=256)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["byte", "n"])
+
+    found = lib.table("documents").select(F.encode("text", "UTF-8").alias("b")).mapInArrow(counted, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    shown = F.create_map(*(F.lit(x) for pair in text.byte_alphabet().items() for x in pair))
+    return found.select("byte", shown[F.col("byte")].alias("character"), "n")
 
 
 # --- model descriptions (S9, S10, V12, X17, X18) ---

@@ -253,3 +253,27 @@ def asked_people(lib):
     """Every event as a typed query: whom it mentions, and what is said of them."""
     asked = lib.table("events").selectExpr("event_id AS id", f"{TYPED} AS query")
     return asking.asked_people(asked, lib.people, MODEL).select("id", "error", F.coalesce(F.size("people"), F.lit(0)).cast("long").alias("people"))
+
+
+PERSON = "CASE WHEN p.id IS NULL THEN 'unknown @' || h WHEN p.embeddingModel <> 'v1' THEN 'update the face photo of @' || h ELSE '{0}' END"
+# what is typed, by the event's number: query, mode, reference photo, answer
+KINDS = [
+    ("'a beach'", "NORMAL", False, "'vector'"), ("''", "NORMAL", True, "'vector'"), ("NULL", "NORMAL", False, "'enter a prompt, a person or a reference photo'"),
+    ("'@P_' || CAST(event_id % 700 AS STRING)", "NORMAL", False, PERSON.format("people")), ("'by @ the sea'", "NORMAL", False, "'enter a saved name after @'"),
+    ("'The ' || event_type || '!'", "OCR", False, "'words the ' || replace(event_type, '_', ' ')"), ("'the sea'", "OCR", True, "'text search takes no reference photo'"),
+    ("' !? '", "OCR", False, "'enter the words to look for'"), ("'@p_' || CAST(event_id % 700 AS STRING) || ' menu'", "OCR", False, PERSON.format("people words menu")),
+    ("'@' || repeat('a', 41)", "NORMAL", True, "'use 1 to 40 letters, numbers or underscores for a name'"),
+]
+
+
+def by_kind(values) -> str:
+    return "CASE " + " ".join(f"WHEN event_id % {len(KINDS)} = {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT event_id AS id, {by_kind(a for *_, a in KINDS)} AS answer FROM (SELECT event_id, event_type, 'p_' || CAST(event_id % 700 AS STRING) AS h FROM events) e LEFT JOIN people p ON p.handle = h", "people")
+def typed_checks(lib):
+    """Every event as a typed search: what is said of it before anything is encoded."""
+    asked = lib.table("events").selectExpr("event_id AS id", f"{by_kind(q for q, *_ in KINDS)} AS query", f"{by_kind(repr(m) for _, m, *_ in KINDS)} AS mode", f"{by_kind(str(r).lower() for *_, r, _ in KINDS)} AS reference")
+    rows = asking.checked(asked, lib.people, MODEL)
+    parts = F.array(F.when(F.size("people") > 0, "people"), F.when(F.col("wantsVector"), "vector"), F.when(F.size("words") > 0, F.concat(F.lit("words "), F.array_join("words", " "))))
+    return rows.select("id", F.coalesce("error", F.array_join(parts, " ")).alias("answer"))

@@ -28,3 +28,31 @@ def asked_people(asked: DataFrame, people: DataFrame, model: str = FACE_MODEL) -
     error = F.when(F.col("_unknown") != "", F.concat(F.lit("unknown "), "_unknown")).when(F.col("_old") != "", F.concat(F.lit("update the face photo of "), "_old"))
     answers = answers.withColumn("error", error).select("id", F.when(F.col("error").isNull(), F.col("people")).alias("people"), "error")
     return asked.join(answers, "id", "left")
+
+
+def checked(asked: DataFrame, people: DataFrame, model: str = FACE_MODEL) -> DataFrame:
+    """``asked`` (id, query, mode, reference) with people, words, wantsVector (whether anything must be encoded) and error.
+
+    The errors are those of ``plans.query.build`` in its order, told for all queries at once and before anything is encoded:
+    how names are written, what text searches need, whom nobody knows, and whether anything is asked at all.
+    """
+    typed = F.coalesce(F.trim(text.nfc(F.col("query"))), F.lit(""))
+    rows = asked_people(asked.withColumn("query", typed), people, model)
+    bare, ocr = text.without_mentions(F.col("query")), F.col("mode") == "OCR"
+    named = F.regexp_extract_all("query", F.lit(text.MENTION), F.lit(1))
+    rows = rows.withColumns({"_bare": bare, "_named": F.size(named) > 0, "_strange": F.exists(named, lambda m: ~m.rlike(text.HANDLE))})
+    words = F.when(ocr, text.tokens(text.fold(F.col("_bare")))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("words", words)
+    error = (
+        F.when(F.col("_strange"), "use 1 to 40 letters, numbers or underscores for a name")
+        .when(F.col("_bare").rlike(r"(^|\s)@"), "enter a saved name after @")
+        .when(ocr & F.col("reference"), "text search takes no reference photo")
+        .when(ocr & (F.size("words") > text.MOST_WORDS), f"use at most {text.MOST_WORDS} words for text search")
+        .when(ocr & (F.size("words") == 0), "enter the words to look for")
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(~ocr & ~F.col("reference") & ~F.col("_named") & (F.col("_bare") == ""), "enter a prompt, a person or a reference photo")
+    )
+    wants = ~ocr & (F.col("reference") | (F.col("_bare") != ""))
+    rows = rows.withColumn("error", error)
+    right = F.col("error").isNull()
+    return rows.select(*asked.columns, F.when(right, F.col("people")).alias("people"), F.when(right, F.col("words")).alias("words"), (right & wants).alias("wantsVector"), "error")
