@@ -184,7 +184,7 @@ def quoted_words(lib):
 
 @query("""SELECT b AS byte, CASE WHEN v THEN chr(b) ELSE chr(256 + CAST(b - (SELECT count(*) FROM range(256) r(k) WHERE k < b AND (k BETWEEN 33 AND 126 OR k BETWEEN 161 AND 172 OR k BETWEEN 174 AND 255)) AS INTEGER)) END AS character, n FROM (
   SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 AS v, count(*) AS n FROM (
-    SELECT unnest(list_transform(generate_series(1, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER))) AS b FROM (SELECT hex(encode(text)) AS h FROM documents)) GROUP BY b)""")
+    SELECT CAST('0x' || x AS INTEGER) AS b FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents)) GROUP BY b)""")
 def byte_alphabet(lib):
     """How often each byte stands in the documents, beside the character that shows it."""
 
