@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismlake.llm import textops
-from prismlake.llm.session import table, written
+from prismlake.llm.session import table, tidy, written
 
 MIN_WORDS = 50
 _U = np.uint64
@@ -77,7 +77,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *lists], ["doc_id", "text_hash", "one", "two", "n_words"])
 
     rows = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, one array<long>, two array<long>, n_words array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, one array<long>, two array<long>, n_words array<int>")
 
 
 def minimal_runs(n_words: list[int], least: int) -> list[tuple[int, int]]:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import textops
-from prismlake.llm.session import table, written
+from prismlake.llm.session import table, tidy, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -151,7 +151,7 @@ def signed(docs: DataFrame, n: int = SHINGLE, n_bands: int = BANDS, rows: int =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "words_hash", "buckets"])
 
     rows_of = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
-    return rows_of.mapInArrow(run, "doc_id long, text_hash long, words_hash long, buckets array<long>")
+    return rows_of.mapInArrow(tidy(run), "doc_id long, text_hash long, words_hash long, buckets array<long>")
 
 
 def shingle_sets(texts: DataFrame, n: int = SHINGLE, counted: bool = False) -> DataFrame:
@@ -163,7 +163,7 @@ def shingle_sets(texts: DataFrame, n: int = SHINGLE, counted: bool = False) -> D
             sets = [copies(found[a:b], times[a:b] if counted else np.ones(b - a, np.int64)).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], ["key", "shingles"])
 
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "key long, shingles binary")
+    return texts.select(F.col("text").cast("string")).mapInArrow(tidy(run), "key long, shingles binary")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 good.append(shared >= threshold * max(1, one.size + two.size - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+    return with_sets(pairs, sets).mapInArrow(tidy(run), "a long, b long")
 
 
 def against_hubs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -211,7 +211,7 @@ def against_hubs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, similarity double, size long, prefix array<long>, differ long, bits array<long>, clash long")
+    return with_sets(pairs, sets).mapInArrow(tidy(run), "a long, b long, similarity double, size long, prefix array<long>, differ long, bits array<long>, clash long")
 
 
 def components(links: DataFrame) -> DataFrame:

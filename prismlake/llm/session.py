@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,12 +52,26 @@ def written(df: DataFrame, codec: str | None = None) -> DataFrame:
 
 
 def give_back() -> None:
-    """Returns what a Python worker has freed to the system, where its C library can: workers are reused, and what an
-    earlier stage took would otherwise stay with them."""
+    """Returns what a Python worker has freed to the system, where its C library and Arrow's pool can: workers are reused, and
+    what an earlier stage took would otherwise stay with them."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, after whose last batch the worker gives back what it freed: workers that wait for their next
+    task, or for none, count in an executor's memory too."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import textops
-from prismlake.llm.session import give_back, table, written
+from prismlake.llm.session import give_back, table, tidy, written
 
 EXAMPLES, EXAMPLE_BYTES, TERMS, ALPHA, PURE = 16384, 256 << 20, 4096, 0.05, 0.85
 TELLING = 8  # chosen by leaving one training example out at a time, on the 10,000-document set
@@ -157,7 +157,7 @@ def select_terms(examples: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarr
             columns = [found.view(np.int64), np.isin(found, hashes[:words]), np.bincount(which, minlength=len(found)), np.bincount(which, toxic[o[new]], len(found)).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["term", "word", "n", "hits"])
 
-    counts = examples.select(F.col("text").cast("string"), "toxic").mapInArrow(run, "term long, word boolean, n long, hits long")
+    counts = examples.select(F.col("text").cast("string"), "toxic").mapInArrow(tidy(run), "term long, word boolean, n long, hits long")
     counts = written(counts.groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
     every = counts.where("word").select("term").toArrow()["term"].to_numpy().view(_U)  # words of `EXAMPLES` rows
     if not 0 < rate < 1:
@@ -435,7 +435,7 @@ def fit(docs: DataFrame, examples: DataFrame) -> Index:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], ["term", "n"])
 
-    df = docs.select(F.col("text").cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # terms of `EXAMPLES` rows
+    df = docs.select(F.col("text").cast("string")).mapInArrow(tidy(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # terms of `EXAMPLES` rows
     term, n = df["term"].to_numpy(), df["n"].to_numpy()
     total = np.zeros(len(vocabulary.hashes))
     total[term[term >= 0]] = n[term >= 0]
@@ -450,7 +450,7 @@ def fit(docs: DataFrame, examples: DataFrame) -> Index:
             lists = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (found, times)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "terms", "times"])
 
-    rows = examples.select("doc_id", F.col("text").cast("string"), "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms binary, times binary")
+    rows = examples.select("doc_id", F.col("text").cast("string"), "toxic").mapInArrow(tidy(vectors), "doc_id long, toxic int, terms binary, times binary")
     rows = written(rows)
     bare = rows.where("octet_length(terms) = 0").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     full = rows.where("octet_length(terms) > 0").toArrow()  # `EXAMPLES` rows
@@ -500,7 +500,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     keep_text = len(docs.columns) > 2
     names = [*(c for c in docs.columns if c != "text" or keep_text), "score", "predicted", "evidence"]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text" or keep_text), "score double, predicted int, evidence array<long>"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
