@@ -177,6 +177,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         drop = set(gone)
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
 
+    # not to be evaluated again for what is asked of the new texts, as by a filter on them: each evaluation in a stage is a
+    # worker more for each task, and every idle worker of an executor holds what it last loaded
+    without = without.asNondeterministic()
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     copies = F.coalesce("__copies", F.array().cast("array<struct<start:int,length:int,from_doc:bigint,from_start:int>>"))
     return rows.withColumns({"text": without("text", "__gone"), "n_lines": n_lines.cast("long"), "removed_lines": removed, "copies": copies}).drop("__id", "__hash", "__text_hash", "__gone", "__copies")
