@@ -14,7 +14,7 @@ Where passages overlap, the match that agrees most stands: that with the most sh
 side has. So a BSD text with two clauses isn't named after the one with three, nor a licence after a notice inside.
 A match stands if it is the best one at half or more of its words.
 
-Work is done once for each distinct text, told by two 64-bit hashes. The templates' table is broadcast; it comes from
+Results are told apart by text, by two 64-bit hashes; equal texts are still read and matched each for itself. The templates' table is broadcast; it comes from
 at most ``MOST_CHARACTERS`` of templates.
 
 Defined cases: normalised words are lower-cased (A-Z) letters, digits and non-ASCII characters; templates of fewer than
