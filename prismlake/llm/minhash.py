@@ -218,15 +218,16 @@ def components(links: DataFrame) -> DataFrame:
     """key, component (least key) of every key of ``links`` (a, b).
 
     Each round every key takes the least label around it and then its label's label, so long chains halve;
-    labels are written each round, and only a count reaches the driver.
+    labels are written each round, and only a count reaches the driver. All joins are merge joins: labels grow with the
+    links, and a broadcast is built on the driver.
     """
     links = written(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = written(links.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = links.join(labels, links["b"] == labels["key"]).groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
-        best = labels.join(near, "key").select("key", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        near = links.join(labels.hint("merge"), links["b"] == labels["key"]).groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
+        best = labels.join(near.hint("merge"), "key").select("key", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("key").alias("component"), F.col("component").alias("further"))
-        labels = written(best.join(jump, "component").select("key", "old", F.least("component", "further").alias("component")))
+        labels = written(best.join(jump.hint("merge"), "component").select("key", "old", F.least("component", "further").alias("component")))
         if labels.where("old <> component").isEmpty():
             return labels.select("key", "component")
         labels = labels.select("key", "component")

@@ -14,7 +14,8 @@ A bucket (the fingerprints under one key) may still hold a large family. It is c
 by a hash, each pack is held against itself and each other pack of its bucket, and a worker returns links that connect
 what is within the distance there: a search that visits each fingerprint once, so a family gives as many links as it has
 members, not all its pairs. Every pair that shares a bucket is thus connected by links or verified to be further apart.
-Connected components over the links are the classes.
+Connected components over the links are the classes. All joins are merge joins at every size: a broadcast is built on the
+driver, and what small tables save by it fills the driver's memory while they grow to the threshold.
 
 Defined cases: a text of fewer words than a shingle has, but not none, has one shingle of all its words; a text without
 words (null, empty, white space only) has fingerprint zero and links like any other; rows that repeat a doc_id are
@@ -157,12 +158,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int | None = No
     blocks = blocks or blocks_for(distinct.count(), distance)
     keys = distinct.select("fingerprint", F.explode(bucket_keys(blocks, distance)).alias("key")).select("key.*", "fingerprint")
     crowded = keys.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(crowded, ["which", "bits"]).withColumn("packs", F.ceil(F.col("n") / pack))
+    members = keys.join(crowded.hint("merge"), ["which", "bits"]).withColumn("packs", F.ceil(F.col("n") / pack))
     members = members.withColumn("pack", F.pmod(F.xxhash64("fingerprint"), F.col("packs")))
     packs = written(members.groupBy("which", "bits", "pack").agg(F.first("packs").alias("packs"), F.collect_list("fingerprint").alias("held")))
     large = packs.where("packs > 1")
     others = large.select("which", "bits", F.col("pack").alias("_pack"), F.col("held").alias("other"))
-    across = large.join(others, ["which", "bits"]).where("pack < _pack").select("held", "other")
+    across = large.join(others.hint("merge"), ["which", "bits"]).where("pack < _pack").select("held", "other")
     alone = packs.select("held", F.lit(None).cast("array<long>").alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +181,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, n: int = SHINGLE,
     marked = written(fingerprints(docs, n))
     distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     found = components(written(links(distinct, distance, blocks, pack)))
-    classes = distinct.join(found.withColumnRenamed("key", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    classes = distinct.join(found.withColumnRenamed("key", "fingerprint").hint("merge"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = written(classes.select("fingerprint", "component").join(names, "component").select("fingerprint", "component_id"))
-    return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    classes = written(classes.select("fingerprint", "component").join(names.hint("merge"), "component").select("fingerprint", "component_id"))
+    return marked.join(classes.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from prismlake.llm import simhash, textops
+from prismlake.llm import minhash, simhash, textops
+from prismlake.llm.session import written
 
 
 def fingerprint(text, n=4):
@@ -104,6 +105,22 @@ def test_more_blocks_for_more_fingerprints():
         assert sum(simhash.block_masks(blocks)) == (1 << 64) - 1
 
 
+def test_no_join_is_broadcast(spark, monkeypatch):
+    """A broadcast is built on the driver: none at any step, however small the table is."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    for module in (simhash, minhash):
+        monkeypatch.setattr(module, "written", seen)
+    rng = random.Random(6)
+    docs = spark.createDataFrame(list(enumerate(texts_of(rng, 60))), "doc_id long, text string")
+    seen(simhash.near_duplicates(docs, pack=8))
+    assert sum("Join" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, None), (7, "A b  c D\te f"), (7, ""), (-3, "other words in this text here"), (None, "quite another text that stands alone")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=repr)
