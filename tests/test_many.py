@@ -93,6 +93,39 @@ def test_joins_find_every_pair(spark, threshold, wide, scale):
     assert sorted((r.left_id, r.right_id, r.score) for r in found) == expected
 
 
+@pytest.mark.parametrize("dimension", [2, 64])
+def test_joins_of_equally_many_tiles(spark, dimension):
+    """As many tiles on either side, in one cell or in none: each pair once. Floats are joined as floats."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(160, dimension)).astype(np.float32) if dimension > 2 else np.ones((160, dimension), np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>").repartition(4)
+    found = pivots.similarity_join(df, df, 1.0, dimension, tile=40).collect()
+    exact = v.astype(np.float64) @ v.astype(np.float64).T
+    assert sorted((r.left_id, r.right_id) for r in found) == sorted(zip(*(x.tolist() for x in np.nonzero(exact >= 1.0)), strict=True))
+
+
+def test_tiles_hold_few_copies(spark, monkeypatch):
+    """Where nothing can be bounded a row is copied for each tile of the other side, not for each cell; its pairs leave in batches."""
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 16)).astype(np.float32))], "id long, embedding array<float>")
+    whole = []
+    monkeypatch.setattr(pivots, "Cells", lambda *a: whole.append(a))
+    monkeypatch.setattr(pivots, "PAIRS", 500)
+    found = pivots.similarity_join(df, df, 0.0, 16, tile=1500)
+    assert not whole and found.count() > 3000 * 1400
+
+
+def test_very_long_and_very_short_vectors(spark):
+    """Beyond the range of float32's products too."""
+    rows = [(1, [1e30, 1.0]), (2, [1e30, -1.0]), (3, [-1e30, 1.0]), (4, [1e-30, 1e-30]), (5, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    for threshold, chosen in ((1e-61, rows), (1e-61, rows[3:]), (0.0, rows)):
+        some = df.where(df.id.isin([i for i, _ in chosen]))
+        found = {(r.left_id, r.right_id) for r in pivots.similarity_join(some, some, threshold, 2).collect()}
+        exact = {i: np.array(v, np.float32).astype(np.float64) for i, v in chosen}
+        assert found == {(i, j) for i, x in exact.items() for j, y in exact.items() if x[0] * y[0] + x[1] * y[1] >= threshold}
+
+
 def test_cells_are_left_out_where_none_can_pair(spark):
     rng = np.random.default_rng(7)
     frame = spark.createDataFrame(clustered(rng, 600, wide=0.05), "id long, embedding array<double>")
