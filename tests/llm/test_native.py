@@ -233,6 +233,35 @@ def test_long_conversations_take_linear_work(monkeypatch):
     assert chat.locate(turns, rewriting)[2] and not chat.locate(turns, by_two)[2]
 
 
+def test_no_length_changes_what_is_told():
+    """A template that rewrites history for a while is told in long conversations too; a turnwise one takes linear work."""
+    rng = random.Random(5)
+    turns = [(rng.choice(["user", "assistant"]), rng.choice(["", "<a>", "text", "\\"])) for _ in range(200)]
+
+    def for_a_while(some):
+        return ("!" if 140 <= len(some) < 150 else "") + chat.marked_turns(some)
+
+    assert chat.locate(turns, for_a_while) == chat.by_prefix(turns, for_a_while)
+    assert chat.locate(turns, for_a_while)[2]
+    calls = []
+
+    @chat.turnwise
+    def declared(some):
+        calls.append(len(some))
+        return chat.marked_turns(some)
+
+    @chat.turnwise
+    def broken(some):  # declares what it doesn't keep
+        return f"{len(some)} turns" + chat.marked_turns(some)
+
+    for n in (0, 1, 2, 3, 127, 128, 129, 200):
+        assert chat.locate(turns[:n], declared) == chat.by_prefix(turns[:n], chat.marked_turns) == chat.locate(turns[:n], chat.marked_turns)
+        assert chat.locate(turns[:n], broken) == chat.by_prefix(turns[:n], broken)
+    calls.clear()
+    chat.locate(turns, declared)
+    assert sum(calls) < 12 * len(turns)
+
+
 def test_conversation_of_the_added_id(spark, tmp_path):
     spark.createDataFrame([(-7, 0, "user", "mine", 1)], "conv_id long, turn long, role string, text string, n_turns int").write.parquet(str(tmp_path / "conversations.parquet"))
     rows = chat.op4_chat_formatting(spark, str(tmp_path)).collect()
